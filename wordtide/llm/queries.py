@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup
+from . import exact_dedup, language_id, near_dedup, packing, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +24,30 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(spark, table(spark, sf_dir, "documents")).drop("key")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies in the training windows."""
+    return packing.pack(spark, table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document and of every web page (the other's id is null)."""
+    docs = table(spark, sf_dir, "documents")
+    rows = language_id.document_rows(docs).unionByName(language_id.page_rows(table(spark, sf_dir, "pages")), allowMissingColumns=True)
+    return language_id.identify(spark, rows.select("doc_id", "page_id", "text", "declared", "suffix", "host"), docs)
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sanitised text, and how many entities and terms were replaced in it."""
+    done = pii.sanitise(spark, table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "text", F.col("_entities").alias("entities"), F.col("_removed").alias("terms"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_packing": op6_packing,
+    "op7_language_id": op7_language_id,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
