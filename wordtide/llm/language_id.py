@@ -35,7 +35,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime, textkit
@@ -90,12 +90,34 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
     return [lang for lang, _ in rows], np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
 
 
-def _score(model: np.ndarray, languages: int):
+def _lists(values: np.ndarray) -> pa.ListArray:
+    n, k = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(values.ravel()))
+
+
+def _matrix(column: pa.Array, k: int) -> np.ndarray:
+    """A list column as rows of k numbers; null is a row of zeros."""
+    out = np.zeros((len(column), k))
+    some = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    if len(some):
+        out[some] = np.asarray(column.drop_null().flatten()).reshape(-1, k)
+    return out
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _score(model: np.ndarray):
+    """grams, the tempered log likelihoods of the text, and the posterior of the text alone."""
+    languages = len(model)
+
     def run(batches):
         for b in batches:
             data, off = textkit.column(b.column("text"), lower=True)
             n = b.num_rows
-            grams, sums = np.zeros(n, np.int64), np.zeros((n, languages), np.float64)
+            grams, sums = np.zeros(n, np.int64), np.zeros((n, languages))
             for lo, hi in textkit.chunks(off):
                 cell, row = _cells(data, off, lo, hi)
                 if not len(cell):
@@ -105,21 +127,45 @@ def _score(model: np.ndarray, languages: int):
                 grams[at] = count
                 for k in range(languages):
                     sums[at, k] = np.add.reduceat(model[k][cell], first, dtype=np.float64)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * languages), pa.array(sums.ravel()))
+            sums *= np.minimum(1.0, EVIDENCE / np.maximum(grams, 1))[:, None]
             keep = [name for name in b.schema.names if name != "text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(grams), flat], [*keep, "grams", "loglik"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(grams), _lists(sums), _lists(_softmax(sums))], [*keep, "grams", "loglik", "alone"])
 
     return run
 
 
-def _softmax(df: DataFrame, scores: list[Column], to: list[str]) -> DataFrame:
-    """``df`` with the softmax of ``scores`` as the columns ``to``; in steps, so that no expression is repeated."""
-    raw = [f"_raw_{c}" for c in to]
-    df = df.select("*", *(s.alias(r) for s, r in zip(scores, raw)))
-    df = df.select("*", F.greatest(*raw, F.lit(-1e300)).alias("_top"))
-    df = df.select("*", *(F.exp(F.col(r) - F.col("_top")).alias(c) for r, c in zip(raw, to)))
-    df = df.select("*", functools.reduce(lambda a, b: a + b, [F.col(c) for c in to]).alias("_total"))
-    return df.withColumns({c: F.col(c) / F.col("_total") for c in to}).drop("_top", "_total", *raw)
+def _fuse(languages: list[str], overall: np.ndarray, declared_totals: np.ndarray, declared_kinds: int, keep: list[str]):
+    k = len(languages)
+    names = np.array(languages, object)
+
+    def run(batches):
+        for b in batches:
+            grams = b.column("grams").to_numpy()
+            text, alone = _matrix(b.column("loglik"), k), _matrix(b.column("alone"), k)
+            alone[grams == 0] = 0
+
+            def level(key: str, above: np.ndarray) -> np.ndarray:
+                """The prior of a row's key without the row, smoothed towards the level above."""
+                known = b.column(key).is_valid().to_numpy(zero_copy_only=False)
+                sums = _matrix(b.column(f"{key}_sums"), k)
+                own = alone * known[:, None]
+                left = np.maximum(sums - own, 0)
+                return (left + PULL * above) / (left.sum(1, keepdims=True) + PULL)
+
+            prior = level("host", level("suffix", np.tile(overall, (len(grams), 1))))
+            known = b.column("declared").is_valid().to_numpy(zero_copy_only=False)
+            own = alone * known[:, None]
+            says = np.log((np.maximum(_matrix(b.column("declared_sums"), k) - own, 0) + 1) / (np.maximum(declared_totals - own, 0) + 1 + declared_kinds))
+            scores = text + np.log(prior) + says * known[:, None]
+            unknown = np.minimum(grams, EVIDENCE) * -math.log(CELLS) + math.log(UNKNOWN)
+            fused = _softmax(np.c_[scores, unknown])[:, :k] if len(grams) else np.zeros((0, k))
+            best = fused.argmax(1) if len(grams) else np.zeros(0, np.int64)
+            top = fused[np.arange(len(best)), best]
+            accepted = (grams > 0) & (top >= CONFIDENCE)
+            lang = np.where(accepted, names[best], "und") if len(best) else []
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(grams), pa.array(lang, pa.string()), pa.array(np.round(top, 4), pa.float64()), pa.array(accepted, pa.bool_())], [*keep, "grams", "lang", "confidence", "accepted"])
+
+    return run
 
 
 def identify(spark: SparkSession, rows: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -131,45 +177,23 @@ def identify(spark: SparkSession, rows: DataFrame, labelled: DataFrame, sample:
     keep = [c for c in rows.columns if c != "text"]
     if not languages:
         return rows.select(*keep, F.lit(0).cast("long").alias("grams"), F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     base = runtime.shared_dir(spark)
-    scored = rows.mapInArrow(_score(model, len(languages)), f"{schema}, grams long, loglik array<double>")
-    temper = F.least(F.lit(1.0), EVIDENCE / F.greatest("grams", F.lit(1)))
-    k = range(len(languages))
-    scored = scored.select(*keep, "grams", *((F.element_at("loglik", i + 1) * temper).alias(f"ll{i}") for i in k))
-    scored = _softmax(scored, [F.col(f"ll{i}") for i in k], [f"p{i}" for i in k])
-    scored = runtime.stored(scored, f"{base}/scored")
+    scored = runtime.stored(rows.mapInArrow(_score(model), f"{schema}, grams long, loglik array<double>, alone array<double>"), f"{base}/scored")
 
+    k = len(languages)
     seen = scored.filter("grams > 0")
-    sums = [F.sum(f"p{i}").alias(f"s{i}") for i in k]
-    total = seen.agg(F.count("*").alias("n"), *sums).first()
-    overall = [((total[f"s{i}"] or 0.0) + 1) / ((total["n"] or 0) + len(languages)) for i in k]
-    by_suffix = seen.filter("suffix IS NOT NULL").groupBy("suffix").agg(F.count("*").alias("ns"), *(F.sum(f"p{i}").alias(f"fs{i}") for i in k))
-    by_host = seen.filter("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("nh"), *(F.sum(f"p{i}").alias(f"fh{i}") for i in k))
-    by_declared = seen.filter("declared IS NOT NULL").groupBy("declared").agg(F.count("*").alias("nd"), *(F.sum(f"p{i}").alias(f"fd{i}") for i in k))
-    suffixes, hosts, declared = (runtime.stored(x, f"{base}/{name}") for x, name in ((by_suffix, "suffix"), (by_host, "host"), (by_declared, "declared")))
-    d_total = declared.agg(F.count("*").alias("n"), *(F.sum(f"fd{i}").alias(f"t{i}") for i in k)).first()
-
+    sums = F.array(*(F.sum(F.element_at("alone", i + 1)) for i in range(k)))
+    total = seen.agg(F.count("*").alias("n"), sums.alias("s")).first()
+    overall = (np.array([x or 0.0 for x in total["s"]]) + 1) / (total["n"] + k)
     out = scored
-    for side, key in ((suffixes, "suffix"), (hosts, "host"), (declared, "declared")):
-        out = out.join(runtime.sized(side, side.count(), 64 + 16 * len(languages)), key, "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    own = lambda c, i: F.when((F.col("grams") > 0) & F.col(c).isNotNull(), F.col(f"p{i}")).otherwise(0.0)
-    one = lambda c: F.when((F.col("grams") > 0) & F.col(c).isNotNull(), 1.0).otherwise(0.0)
-    scores = []
-    for i in k:
-        suffix = (F.greatest(zero(f"fs{i}") - own("suffix", i), F.lit(0.0)) + PULL * overall[i]) / (F.coalesce("ns", F.lit(0)) - one("suffix") + PULL)
-        host = (F.greatest(zero(f"fh{i}") - own("host", i), F.lit(0.0)) + PULL * suffix) / (F.coalesce("nh", F.lit(0)) - one("host") + PULL)
-        says = (F.greatest(zero(f"fd{i}") - own("declared", i), F.lit(0.0)) + 1.0) / ((d_total[f"t{i}"] or 0.0) + d_total["n"] + 1.0)
-        scores.append(F.col(f"ll{i}") + F.log(host) + F.when(F.col("declared").isNotNull(), F.log(says)).otherwise(0.0))
-    effective = F.least(F.col("grams"), F.lit(EVIDENCE))
-    unknown = effective * F.lit(-math.log(CELLS)) + math.log(UNKNOWN)
-    fused = [f"q{i}" for i in k]
-    out = _softmax(out, [*scores, unknown], [*fused, "q_und"])
-    out = out.withColumn("best", F.greatest(*fused, F.lit(0.0)))
-    name = functools.reduce(lambda c, i: c.when(F.col(fused[i]) == F.col("best"), F.lit(languages[i])), k, F.when(F.lit(False), F.lit("")))
-    accepted = (F.col("grams") > 0) & (F.col("best") >= CONFIDENCE)
-    return out.select(*keep, "grams", F.when(accepted, name).otherwise("und").alias("lang"), F.round("best", 4).alias("confidence"), accepted.alias("accepted"))
+    for key in ("suffix", "host", "declared"):
+        side = runtime.stored(seen.filter(F.col(key).isNotNull()).groupBy(key).agg(sums.alias(f"{key}_sums")), f"{base}/{key}")
+        out = out.join(runtime.sized(side, side.count(), 64 + 8 * k), key, "left")
+        if key == "declared":
+            d = side.agg(F.count("*").alias("n"), F.array(*(F.sum(F.element_at("declared_sums", i + 1)) for i in range(k))).alias("s")).first()
+    fuse = _fuse(languages, overall, np.array([x or 0.0 for x in d["s"]]), d["n"], keep)
+    return out.mapInArrow(fuse, f"{schema}, grams long, lang string, confidence double, accepted boolean")
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
