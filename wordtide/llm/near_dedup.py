@@ -10,15 +10,18 @@ above the threshold survive while others die out (Christiani, Pagh and
 Sivertsen, "Scalable and robust set similarity join", 2018). Nodes of at most
 LEAF documents are compared exhaustively, and so are nodes that don't shrink.
 TREES independent trees lift the recall: a pair at the threshold that
-survives one tree with probability 0.5 is found with 0.98.
+survives two levels of one tree with probability 0.6 is found with 0.99.
 
-Nodes above LOCAL documents are branched by Spark, level after level; below
-that a node fits a task and the rest of its subtree is branched there.
+The first ROOT levels are branched while the signatures are made, from 32-bit
+minwise tokens; documents alone in their node go no further. Signatures then
+keep 16 bits of each token. Nodes above LOCAL documents are branched by Spark,
+level after level; below that a node fits a task and the rest of its subtree is
+branched there.
 
 Documents with equal signatures are collapsed first, so that thousands of
 copies are one entry. A compared pair well above the threshold is an edge, one
-near it is verified on the whole shingle sets, one below is dropped; edges
-become groups by connected components.
+near it is verified on the whole shingle sets unless edges connect it already,
+one below is dropped; edges become groups by connected components.
 
 Defined for every input: texts without a word (null, empty, punctuation) are no
 duplicates; texts of one or two words are one shingle; rows with a null id are
@@ -38,7 +41,9 @@ from . import runtime, textkit
 THRESHOLD = 0.5
 SHINGLE = 3
 HASHES = 128
-TREES = 6
+TREES = 5
+#: Levels branched before documents are first grouped.
+ROOT = 2
 LEAF = 128
 LOCAL = 20_000
 #: Standard deviations of the estimate on either side of the threshold that are verified.
@@ -53,7 +58,9 @@ _A = (_RNG.integers(0, 1 << 31, 512, dtype=np.uint32) << np.uint32(1)) | np.uint
 _B = _RNG.integers(0, 1 << 32, 512, dtype=np.uint32)
 
 
-def _signatures(size: int, hashes: int):
+def _signatures(size: int, hashes: int, trees: int, threshold: float):
+    roots = textkit.mix(np.arange(1, trees + 1, dtype=np.uint64))
+
     def run(batches):
         for b in batches:
             data, off = textkit.column(b.column("text"), lower=True)
@@ -70,15 +77,24 @@ def _signatures(size: int, hashes: int):
                     np.multiply(x, _A[j], out=v)
                     np.add(v, _B[j], out=v)
                     sig[:, j] = np.minimum.reduceat(v, first)
-                flat = pa.Array.from_buffers(pa.binary(hashes * 4), len(first), [None, pa.py_buffer(sig.tobytes())])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[first])), flat.cast(pa.binary())], ["doc_id", "sig"])
+                n = len(first)
+                at, node = np.tile(np.arange(n), trees), np.repeat(roots, n)
+                for _ in range(ROOT):
+                    rows, node = _children(node, sig[at], threshold)
+                    at = at[rows]
+                order = np.argsort(at, kind="stable")
+                ends = np.r_[0, np.cumsum(np.bincount(at, minlength=n))].astype(np.int32)
+                short = ((sig * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
+                flat = pa.Array.from_buffers(pa.binary(hashes * 2), n, [None, pa.py_buffer(short.tobytes())])
+                nodes = pa.ListArray.from_arrays(pa.array(ends), pa.array(node[order].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[first])), flat.cast(pa.binary()), nodes], ["doc_id", "sig", "nodes"])
 
     return run
 
 
-def signatures(docs: DataFrame, size: int = SHINGLE, hashes: int = HASHES) -> DataFrame:
-    """(doc_id, sig): the minwise values of every document that has a word."""
-    return runtime.cast_ids(docs).filter("text IS NOT NULL").mapInArrow(_signatures(size, hashes), "doc_id long, sig binary")
+def signatures(docs: DataFrame, size: int = SHINGLE, hashes: int = HASHES, trees: int = TREES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, sig, nodes): the minwise values of every document that has a word, and its nodes at level ROOT of all trees."""
+    return runtime.cast_ids(docs).filter("text IS NOT NULL").mapInArrow(_signatures(size, hashes, trees, threshold), "doc_id long, sig binary, nodes array<long>")
 
 
 def _children(node: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -98,30 +114,19 @@ def _children(node: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.n
 
 
 def _sigs(column, hashes: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, hashes)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, hashes)
 
 
-def _branch(trees: int, threshold: float, hashes: int, keep_sig: bool):
-    """Rows (doc_id, sig[, node]) to their children; without a node every tree's root is branched."""
+def _branch(threshold: float, hashes: int):
+    """Rows (node, doc_id, sig, size) to their children."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            sig, ids = _sigs(b.column("sig"), hashes), b.column("doc_id").to_numpy()
-            if "node" in b.schema.names:
-                nodes = [b.column("node").to_numpy().view(np.uint64)]
-            else:
-                nodes = [np.full(len(ids), textkit.mix(np.array([t + 1], np.uint64))[0]) for t in range(trees)]
-            for node in nodes:
-                row, child = _children(node, sig, threshold)
-                out = [pa.array(child.view(np.int64)), pa.array(ids[row])]
-                names = ["node", "doc_id"]
-                if keep_sig:
-                    out.append(b.column("sig").take(pa.array(row)))
-                    out.append(b.column("size").take(pa.array(row)))
-                    names += ["sig", "parent"]
-                yield pa.RecordBatch.from_arrays(out, names)
+            row, child = _children(b.column("node").to_numpy().view(np.uint64), _sigs(b.column("sig"), hashes), threshold)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(b.column(c).take(at) for c in ("doc_id", "sig", "size"))], ["node", "doc_id", "sig", "parent"])
 
     return run
 
@@ -263,15 +268,22 @@ def _verify(threshold: float):
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float, size: int = SHINGLE) -> DataFrame:
     """Those of ``pairs(a, b)`` whose whole shingle sets reach the threshold."""
-    n = pairs.count()
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = runtime.cast_ids(docs).join(runtime.sized(ids, 2 * n), "doc_id", "left_semi")
+    ids = runtime.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), runtime.shared_dir(pairs.sparkSession))
+    texts = runtime.cast_ids(docs).join(runtime.sized(ids, ids.count()), "doc_id", "left_semi")
     sets = texts.mapInArrow(_sets(size), "doc_id long, tokens binary").dropDuplicates(["doc_id"])
     x = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long")
 
 
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose ends are in different components."""
+    small = runtime.sized(parts, parts.count())
+    of = lambda c: small.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def _blocks(rows: DataFrame, block: int, top: int) -> DataFrame:
     """Oversized dense nodes as pairs of blocks, each a node of its own: nothing is skipped."""
     parts = -(-top // block)
@@ -284,16 +296,16 @@ def _blocks(rows: DataFrame, block: int, top: int) -> DataFrame:
 def groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, hashes: int = HASHES, trees: int = TREES, leaf: int = LEAF, local: int = LOCAL) -> DataFrame:
     """(doc_id, dup_of) of every near-duplicate but the smallest id of its group."""
     base = runtime.shared_dir(spark)
-    named = runtime.stored(signatures(docs, size, hashes), f"{base}/signatures")
+    named = runtime.stored(signatures(docs, size, hashes, trees, threshold), f"{base}/signatures")
     copies = named.withColumn("rep", F.min("doc_id").over(_by("sig")))
-    copies = runtime.stored(copies.select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")), f"{base}/collapsed")
+    copies = runtime.stored(copies.select("doc_id", "rep", *(F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("sig", "nodes"))), f"{base}/collapsed")
     runtime.forget(spark, f"{base}/signatures")
     equal = copies.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = copies.filter("sig IS NOT NULL").select("doc_id", "sig").dropDuplicates(["doc_id"])
+    reps = copies.filter("sig IS NOT NULL")
 
-    keyed = reps.mapInArrow(_branch(trees, threshold, hashes, False), "node long, doc_id long")
+    keyed = reps.select(F.explode("nodes").alias("node"), "doc_id")
     keyed = keyed.withColumn("size", F.count("*").over(_by("node"))).filter("size > 1")
-    level = runtime.stored(keyed.join(reps, "doc_id").select("node", "doc_id", "sig", "size"), f"{base}/level1")
+    level = runtime.stored(keyed.join(reps.select("doc_id", "sig").dropDuplicates(["doc_id"]), "doc_id").select("node", "doc_id", "sig", "size"), f"{base}/level1")
     found, depth = [], 1
     edge = "a long, b long, sure boolean"
     solve = _edges(threshold, hashes, leaf)
@@ -303,7 +315,7 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, s
         top = big.agg(F.max("size")).first()[0]
         if top is None:
             break
-        down = big.mapInArrow(_branch(trees, threshold, hashes, True), "node long, doc_id long, sig binary, parent long")
+        down = big.mapInArrow(_branch(threshold, hashes), "node long, doc_id long, sig binary, parent long")
         down = down.withColumn("size", F.count("*").over(_by("node"))).filter("size > 1")
         depth += 1
         level = runtime.stored(down, f"{base}/level{depth}")
@@ -318,8 +330,11 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, s
     edges = runtime.stored(edges.distinct(), f"{base}/edges")
     for k in range(1, depth + 1):
         runtime.forget(spark, f"{base}/level{k}")
-    near = verified(edges.filter("NOT sure").select("a", "b").distinct(), docs, threshold, size)
-    parts = runtime.components(spark, edges.filter("sure").select("a", "b").union(equal).union(near))
+    parts = runtime.stored(runtime.components(spark, edges.filter("sure").select("a", "b").union(equal)), f"{base}/parts")
+    near = runtime.stored(_apart(edges.filter("NOT sure").select("a", "b"), parts), f"{base}/near")
+    if near.limit(1).count():
+        links = parts.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        parts = runtime.components(spark, links.union(verified(near, docs, threshold, size)))
     return parts.select(F.col("node").alias("doc_id"), F.col("root").alias("dup_of"))
 
 
