@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, near_dedup, packing, pii
+from . import bpe, chat, exact_dedup, language_id, near_dedup, packing, pii, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(spark, table(spark, sf_dir, "documents")).drop("key")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document; copies share one."""
+    return sharding.shard(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every piece of every document lies in the training windows."""
     return packing.pack(spark, table(spark, sf_dir, "documents"))
@@ -36,6 +41,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(spark, rows.select("doc_id", "page_id", "text", "declared", "suffix", "host"), docs)
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document, and whether they decode to its text."""
+    return bpe.encode(spark, table(spark, sf_dir, "documents"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, repaired and rendered."""
+    return chat.chats(spark, table(spark, sf_dir, "conversations"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sanitised text, and how many entities and terms were replaced in it."""
     done = pii.sanitise(spark, table(spark, sf_dir, "documents"))
@@ -45,8 +60,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
     "op7_language_id": op7_language_id,
+    "op8_bpe": op8_bpe,
+    "op9_chat": op9_chat,
     "op10_pii": op10_pii,
 }
 
