@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, language_id, near_dedup, packing, pii, sharding
+from . import bpe, chat, exact_dedup, language_id, near_dedup, packing, pii, sharding, substring_dedup, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,16 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest others of every vector, by cosine."""
+    return topk.search(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of fifty words or more that occurred before, and where."""
+    return substring_dedup.repeats(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, dup_of) of every exact copy."""
     return exact_dedup.duplicates(spark, table(spark, sf_dir, "documents")).drop("key")
@@ -59,6 +69,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_topk": op2_topk,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
@@ -69,6 +81,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_topk": """
+        SELECT vec_id, rank, neighbor_id, score FROM (
+            SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor_id) AS INTEGER) AS rank FROM (
+                SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+                FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id))
+        WHERE rank <= 10""",
     "op4_exact_dedup": """
         SELECT doc_id, dup_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS dup_of FROM documents WHERE text IS NOT NULL)
         WHERE doc_id <> dup_of GROUP BY doc_id, dup_of""",
