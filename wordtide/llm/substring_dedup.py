@@ -12,10 +12,15 @@ same way, is merge-joined with every run, which moves none of the history.
 FAN_IN runs of one level are compacted into one of the next, again by a merge join; the
 earliest and the latest place of a hash stay.
 
-Matches on one diagonal of a pair of documents are one candidate. Candidates
-are verified: the words around both places are fetched and compared, the match is
-extended as far as they agree, and it counts from WORDS words on. What is reported
-are the later copies, each with an earlier place of the same words.
+A fingerprint is linked with the place of its hash just before it, so that no place is the source of
+very many; where the match along that link may be shorter than WORDS words, also with the
+first place of the hash and the first and last of each run. Matches on one diagonal of a
+pair of documents whose windows touch are one candidate. Candidates are verified: the
+words of both places are fetched and compared, inside the outermost windows by a 128-bit digest and word for
+word up to the next fingerprint beyond them, and the match counts from WORDS words on. Matches of a
+diagonal that overlap are joined. What is reported are the later copies, each with an earlier place of the same words.
+A passage none of whose fingerprints has a link to a place with as many equal words is
+missed; that takes a shorter phrase in it which other documents have in between.
 
 Earlier means in a former batch, or in the same one with a smaller id, or in the
 same document at a smaller position.
@@ -44,8 +49,6 @@ FAN_IN = 2
 #: Fingerprints of a bucket, on average.
 BUCKET_ROWS = 1_000_000
 
-#: Words on either side of the outermost fingerprints of a match to which it can extend.
-_MARGIN = WORDS
 
 FOUND = "doc_id long, start long, words long, src_id long, src_start long, char_start long, char_end long"
 
@@ -154,10 +157,9 @@ class Index:
                 self._drop(gone)
 
     def ingest(self, prints: DataFrame, batch: int) -> DataFrame:
-        """(doc_id, pos, src_id, src_pos) of the batch's fingerprints that occurred before; then they are indexed.
+        """(doc_id, pos, src, more) of the batch's fingerprints that occurred before; then they are indexed.
 
-        A fingerprint is linked with the first place of its hash and with the one before it; the
-        batch's first with the first and the last of each run.
+        src is the place just before; more holds the first place, and the first and last of each run.
         """
         from pyspark.sql import Window
 
@@ -166,115 +168,165 @@ class Index:
         place = F.struct("batch", "doc_id", "pos")
         w = Window.partitionBy("h").orderBy("doc_id", "pos")
         hits = self.spark.table(mine).select("h", "doc_id", "pos", F.first(place).over(w).alias("f"), F.lag(place).over(w).alias("before"))
-        links = [F.col("before")]
+        more = [F.col("f")]
         for k, (_, name) in enumerate(self.runs):
-            hits = hits.join(self._places(name, f"f{k}", f"l{k}").hint("merge"), "h", "left").withColumn("f", F.least("f", f"f{k}"))
-            links.append(F.when(F.col("before").isNull(), F.col(f"l{k}")))
+            hits = hits.join(self._places(name, f"f{k}", f"l{k}").hint("merge"), "h", "left")
+            more += [F.col(f"f{k}"), F.col(f"l{k}")]
+        last = [F.col(f"l{k}") for k in range(len(self.runs))]
+        older = F.greatest(*last) if len(last) > 1 else last[0] if last else F.lit(None)
+        hits = hits.withColumn("before", F.coalesce("before", older)).filter("before IS NOT NULL")
         self.runs.append((0, mine))
-        src = hits.select("doc_id", "pos", F.explode(F.array_distinct(F.array_compact(F.array("f", *links)))).alias("m"))
-        src = src.select("doc_id", "pos", F.col("m.doc_id").alias("src_id"), F.col("m.pos").alias("src_pos"))
-        return src.filter("doc_id <> src_id OR pos <> src_pos")
+        own = (F.col("doc_id"), F.col("pos"))
+        others = F.filter(F.array_distinct(F.array_compact(F.array(*more))), lambda m: (m != F.col("before")) & ~((m["doc_id"] == own[0]) & (m["pos"] == own[1])))
+        bare = lambda m: F.struct(m["doc_id"].alias("doc_id"), m["pos"].alias("pos"))
+        return hits.select("doc_id", "pos", bare(F.col("before")).alias("src"), F.transform(others, bare).alias("more"))
 
     def close(self) -> None:
         for name in list(self.names):
             self._drop(name)
 
 
-def candidates(hits: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
-    """(doc_id, src_id, shift, lo, hi): matches of a pair on a diagonal, joined while their windows are near.
+def _marked(links: DataFrame, gram: int) -> DataFrame:
+    """``links(doc_id, pos, src, …)`` with their diagonal and its part: windows that touch, from the one at lo to the one at hi.
 
-    lo is the first window's word, hi the last one's, in the document; in the source both are less by shift.
+    In the source both positions are less by shift.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("doc_id", "src_id", "shift").orderBy("pos")
-    h = hits.select("doc_id", "src_id", (F.col("pos") - F.col("src_pos")).alias("shift"), "pos").distinct()
-    h = h.withColumn("new", (F.col("pos") - F.lag("pos").over(w) > words).cast("int"))
+    diagonal = ["doc_id", "src_id", "shift"]
+    w = Window.partitionBy(*diagonal).orderBy("pos")
+    part = Window.partitionBy(*diagonal, "part")
+    rest = [c for c in links.columns if c not in ("doc_id", "pos", "src")]
+    h = links.select("doc_id", "pos", F.col("src.doc_id").alias("src_id"), (F.col("pos") - F.col("src.pos")).alias("shift"), *rest)
+    h = h.withColumn("new", (F.col("pos") - F.lag("pos").over(w) > gram).cast("int"))
     h = h.withColumn("part", F.sum(F.coalesce("new", F.lit(0))).over(w))
-    return h.groupBy("doc_id", "src_id", "shift", "part").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).drop("part")
+    return h.select(*diagonal, "pos", F.min("pos").over(part).alias("lo"), F.max("pos").over(part).alias("hi"), *rest)
 
 
-def _slices(gram: int):
-    """The words (as hashes, with their character ends) around each wanted range of a text."""
+_PAIR = ["doc_id", "src_id", "shift", "lo", "hi"]
+
+
+def candidates(hits: DataFrame, base: str, words: int = WORDS, gram: int = GRAM) -> DataFrame:
+    """(doc_id, src_id, shift, lo, hi): candidates along the links to the place before, and along the others where those may be too short."""
+    marked = runtime.stored(_marked(hits, gram), f"{base}/marked")
+    first = marked.filter("pos = lo").select(*_PAIR)
+    weak = marked.filter(F.col("hi") - F.col("lo") + gram < words).select("doc_id", "pos", F.explode("more").alias("src"))
+    return first.union(_marked(weak, gram).filter("pos = lo").select(*_PAIR)).distinct()
+
+
+def _digests(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two prefix sums, of which the digest of any range of words follows."""
+    p = textkit.powers(len(h) + 1)[0][: len(h)]
+    out = []
+    for salt in (0x9FB21C651E98DF25, 0xD6D0D3E3A5C1B7F1):
+        out.append(np.r_[np.zeros(1, np.uint64), np.cumsum(textkit.mix(h ^ np.uint64(salt)) * p)])
+    return out[0], out[1]
+
+
+_SLICE = "doc_id long, src_id long, shift int, lo int, hi int, source boolean, digest binary, left binary, right binary, begins binary, ends binary"
+_SLICE_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 5]
+_SLICE_NAMES = [c.split()[0] for c in _SLICE.split(", ")]
+
+
+def _slices(gram: int, margin: int):
+    """Of each wanted range of a text: a digest of its words, the words on either side (32 bits of their hashes), and the characters around."""
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SLICE_TYPES)], _SLICE_NAMES)
 
     def run(batches):
         for b in batches:
             data, off = textkit.column(b.column("text"), lower=True)
             plain, plain_off = textkit.column(b.column("text"))
-            wanted = b.column("wanted").to_pylist()
             ids = b.column("doc_id").to_pylist()
             rows: list[tuple] = []
-            held = 0
-            for k in range(b.num_rows):
-                if not wanted[k]:
-                    continue
+            for k, wanted in enumerate(b.column("wanted")):
                 w = textkit.words(data, off, k, k + 1)
                 o = textkit.words(plain, plain_off, k, k + 1)
                 # characters before each byte of the text as it is
-                chars = np.r_[0, np.cumsum((o.data & 0xC0) != 0x80)].astype(np.int64)
-                for lo, hi in {(x["lo"], x["hi"]) for x in wanted[k]}:
-                    a, z = max(0, lo - _MARGIN), min(len(w.hash), hi + gram + _MARGIN)
-                    part = w.hash[a:z].tobytes()
-                    rows.append((ids[k], lo, hi, a, part, chars[o.start[a:z]].tobytes(), chars[o.end[a:z]].tobytes()))
-                    held += 3 * len(part)
-                    if held > 8 << 20:
-                        yield _slice_batch(rows)
-                        rows, held = [], 0
+                chars = np.r_[0, np.cumsum((o.data & 0xC0) != 0x80)].astype(np.int32)
+                begins, ends = chars[o.start], chars[o.end]
+                one, two = _digests(w.hash)
+                _, back = textkit.powers(len(w.hash) + 1)
+                short = (w.hash >> np.uint64(32)).astype(np.uint32)
+                mine, asked = ids[k], wanted.as_py()
+                source = np.array([e["source"] for e in asked])
+                lo, hi, shift = (np.array([e[c] for e in asked], np.int64) for c in ("lo", "hi", "shift"))
+                first, end = lo - shift * source, hi - shift * source + gram
+                fine = (first >= 0) & (end <= len(short))
+                a, z = np.where(fine, first, 0), np.where(fine, end, 0)
+                digests = np.stack([(d[z] - d[a]) * back[a] for d in (one, two)], 1)
+                for i in np.flatnonzero(fine).tolist():
+                    e, a, z = asked[i], int(first[i]), int(end[i])
+                    pair = (e["other"], mine) if e["source"] else (mine, e["other"])
+                    places = (b"", b"") if e["source"] else (begins[max(0, a - margin) : a + 1].tobytes(), ends[z - 1 : z + margin].tobytes())
+                    rows.append((*pair, e["shift"], e["lo"], e["hi"], e["source"], digests[i].tobytes(), short[max(0, a - margin) : a].tobytes(), short[z : z + margin].tobytes(), *places))
+                    if len(rows) >= 8192:
+                        yield batch(rows)
+                        rows = []
             if rows:
-                yield _slice_batch(rows)
+                yield batch(rows)
 
     return run
 
 
-_SLICE = "doc_id long, lo int, hi int, first int, hashes binary, begins binary, ends binary"
-
-
-def _slice_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "lo", "hi", "first", "hashes", "begins", "ends"])
+def _agree(x: bytes, y: bytes, backwards: bool) -> int:
+    """How many words in a row are the same, from the end that touches the range."""
+    n = min(len(x), len(y))
+    if not n:
+        return 0
+    a, b = (np.frombuffer(t, np.uint32) for t in ((x[-n:], y[-n:]) if backwards else (x[:n], y[:n])))
+    same = (a == b)[::-1] if backwards else a == b
+    return len(same) if same.all() else int(same.argmin())
 
 
 def _compare(words: int, gram: int):
-    """Verified, maximal matches of candidate ranges with their slices of both texts."""
+    """Verified matches of candidates; the two slices of a candidate follow one another, the source's last."""
 
     def run(batches):
+        held: dict = {}
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                x, y = np.frombuffer(r["x_hashes"], np.uint64), np.frombuffer(r["y_hashes"], np.uint64)
-                # on the diagonal, word x_first + i of the text is word i - d of the source's slice
-                d = r["y_first"] + r["shift"] - r["x_first"]
-                lo, hi = max(0, d), min(len(x), d + len(y))
-                if hi - lo < words:
+                if not r["source"]:
+                    held = r
+                    continue
+                if any(held.get(c) != r[c] for c in (*_PAIR, "digest")):
                     continue
-                same = x[lo:hi] == y[lo - d : hi - d]
-                edge = np.flatnonzero(np.diff(np.r_[False, same, False]))
-                for s, e in zip(edge[::2] + lo, edge[1::2] + lo):
-                    at = r["x_first"] + int(s)
-                    # a part of the slice that belongs to another candidate of the diagonal is that one's
-                    if e - s < words or at > r["hi"] or r["x_first"] + int(e) < r["lo"] + gram:
-                        continue
-                    begins, ends = np.frombuffer(r["begins"], np.int64), np.frombuffer(r["ends"], np.int64)
-                    rows.append((r["doc_id"], at, int(e - s), r["src_id"], at - r["shift"], int(begins[s]), int(ends[e - 1])))
+                left, right = _agree(held["left"], r["left"], True), _agree(held["right"], r["right"], False)
+                n = r["hi"] - r["lo"] + gram + left + right
+                if n < words:
+                    continue
+                begins, ends = np.frombuffer(held["begins"], np.int32), np.frombuffer(held["ends"], np.int32)
+                start = r["lo"] - left
+                rows.append((r["doc_id"], start, n, r["src_id"], start - r["shift"], int(begins[-1 - left]), int(ends[right])))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 7)], ["doc_id", "start", "words", "src_id", "src_start", "char_start", "char_end"])
 
     return run
 
 
+def joined(matches: DataFrame) -> DataFrame:
+    """Matches of one diagonal that overlap or touch as one."""
+    from pyspark.sql import Window
+
+    diagonal = ["doc_id", "src_id", "shift"]
+    w = Window.partitionBy(*diagonal).orderBy("start", "words")
+    m = matches.withColumns({"shift": F.col("start") - F.col("src_start"), "end": F.col("start") + F.col("words")})
+    m = m.withColumn("new", (F.col("start") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"))
+    m = m.withColumn("part", F.sum(F.coalesce("new", F.lit(0))).over(w))
+    m = m.groupBy(*diagonal, "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
+    return m.select("doc_id", "start", (F.col("end") - F.col("start")).alias("words"), "src_id", (F.col("start") - F.col("shift")).alias("src_start"), "char_start", "char_end")
+
+
 def verify(spark: SparkSession, found: DataFrame, docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
     """The matches that the texts of ``docs(doc_id, text)`` bear out, as FOUND."""
-    base = runtime.shared_dir(spark)
-    mine = found.select("doc_id", F.struct("lo", "hi").alias("r"))
-    theirs = found.select(F.col("src_id").alias("doc_id"), F.struct((F.col("lo") - F.col("shift")).alias("lo"), (F.col("hi") - F.col("shift")).alias("hi")).alias("r"))
-    wanted = runtime.stored(mine.union(theirs).groupBy("doc_id").agg(F.collect_set("r").alias("wanted")), f"{base}/wanted")
-    n = wanted.count()
-    texts = docs.join(runtime.sized(wanted, n, 256), "doc_id")
-    slices = runtime.stored(texts.mapInArrow(_slices(gram), _SLICE), f"{base}/slices")
-    x = slices.select("doc_id", "lo", "hi", F.col("first").alias("x_first"), F.col("hashes").alias("x_hashes"), "begins", "ends")
-    y = slices.select(F.col("doc_id").alias("src_id"), F.col("lo").alias("y_lo"), F.col("hi").alias("y_hi"), F.col("first").alias("y_first"), F.col("hashes").alias("y_hashes"))
-    both = found.join(x, ["doc_id", "lo", "hi"])
-    both = both.withColumns({"y_lo": F.col("lo") - F.col("shift"), "y_hi": F.col("hi") - F.col("shift")}).join(y, ["src_id", "y_lo", "y_hi"])
-    return both.select("doc_id", "src_id", "shift", "lo", "hi", "x_first", "x_hashes", "y_first", "y_hashes", "begins", "ends").mapInArrow(_compare(words, gram), FOUND).distinct()
+    entry = lambda other, source: F.struct(F.col(other).alias("other"), "shift", "lo", "hi", F.lit(source).alias("source")).alias("e")
+    sides = found.select("doc_id", entry("src_id", False)).union(found.select(F.col("src_id").alias("doc_id"), entry("doc_id", True)))
+    wanted = runtime.stored(sides.groupBy("doc_id").agg(F.collect_list("e").alias("wanted")), f"{runtime.shared_dir(spark)}/wanted")
+    texts = docs.join(runtime.sized(wanted, wanted.count(), 256), "doc_id")
+    slices = texts.select("doc_id", "text", "wanted").mapInArrow(_slices(gram, words - gram + 1), _SLICE)
+    paired = slices.repartition("doc_id", "src_id", "shift").sortWithinPartitions(*_PAIR, "source")
+    return joined(paired.mapInArrow(_compare(words, gram), FOUND))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, words: int = WORDS, gram: int = GRAM, batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
@@ -304,5 +356,5 @@ def repeats(spark: SparkSession, docs: DataFrame, words: int = WORDS, gram: int
         found = hits if found is None else found.union(hits)
     index.close()
     runtime.forget(spark, f"{base}/prints")
-    near = runtime.stored(candidates(found, words, gram), f"{base}/candidates")
+    near = runtime.stored(candidates(found, base, words, gram), f"{base}/candidates")
     return verify(spark, near, texts, words, gram)
