@@ -323,7 +323,8 @@ def verify(spark: SparkSession, found: DataFrame, docs: DataFrame, words: int =
     entry = lambda other, source: F.struct(F.col(other).alias("other"), "shift", "lo", "hi", F.lit(source).alias("source")).alias("e")
     sides = found.select("doc_id", entry("src_id", False)).union(found.select(F.col("src_id").alias("doc_id"), entry("doc_id", True)))
     wanted = runtime.stored(sides.groupBy("doc_id").agg(F.collect_list("e").alias("wanted")), f"{runtime.shared_dir(spark)}/wanted")
-    texts = docs.join(runtime.sized(wanted, wanted.count(), 256), "doc_id")
+    # what is wanted grows with the data and is never broadcast; hashing it spares the texts a sort
+    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id")
     slices = texts.select("doc_id", "text", "wanted").mapInArrow(_slices(gram, words - gram + 1), _SLICE)
     paired = slices.repartition("doc_id", "src_id", "shift").sortWithinPartitions(*_PAIR, "source")
     return joined(paired.mapInArrow(_compare(words, gram), FOUND))
