@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import lexicons
 from .stemmer import stem
@@ -58,9 +59,15 @@ def negations(words: Column, verbs: Sequence[str] = lexicons.VERBS, antonyms: Ma
     """
     opposite = _map(antonyms)
     listed = tuple(antonyms)
-
-    def one(t: Column, i: Column) -> Column:
-        at = lambda k: F.get(words, i + k)
+    none = F.lit(None).cast("string")
+    far = F.lit(1 << 30)
+    # a token with the two before it and the two after it; the last two rows have no token
+    around = F.arrays_zip(F.slice(words, 1, far), F.concat(F.array(none), words), F.concat(F.array(none, none), words), F.slice(words, 2, far), F.slice(words, 3, far))
+    field = {0: "0", -1: "1", -2: "2", 1: "3", 2: "4"}
+
+    def one(z: Column) -> Column:
+        at = lambda k: z.getField(field[k])
+        t = at(0)
         plain = F.when(at(1).isNotNull(), F.replace(t, F.lit("n't"), F.lit("not"))).otherwise(t)
         verb, filler, other = (lambda k: _in(at(k), verbs)), (lambda k: _in(at(k), fillers)), (lambda k: _in(at(k), listed))
         skips = lambda k: filler(k) & at(k + 1).isNotNull()
@@ -70,7 +77,6 @@ def negations(words: Column, verbs: Sequence[str] = lexicons.VERBS, antonyms: Ma
             .when(other(1), F.try_element_at(opposite, at(1)))
             .otherwise(plain)
         )
-        none = F.lit(None).cast("string")
         after = is_negation(at(-1)) & ~is_negation(t)
         return (
             F.when(is_negation(t), negated)
@@ -79,7 +85,7 @@ def negations(words: Column, verbs: Sequence[str] = lexicons.VERBS, antonyms: Ma
             .otherwise(t)
         )
 
-    return F.filter(F.transform(words, one), lambda t: t.isNotNull())
+    return F.filter(F.transform(around, one), lambda t: t.isNotNull())
 
 
 def squeeze(token: Column) -> Column:
@@ -123,7 +129,7 @@ def clean(text: Column) -> Column:
     return rejoin(without_stop_words(words))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stemmed(text: pd.Series) -> pd.Series:
     """Every word of a text by its stem."""
     return text.map(lambda t: None if t is None else " ".join(map(stem, t.split(" "))))

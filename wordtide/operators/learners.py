@@ -8,11 +8,13 @@ gives votes (seq, label, p0, p1, pred); the first document's are 0.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import forecasts as fc
 from . import tokens as tk
 from .prefix import earliest_within, ordinal, prior
 
@@ -78,11 +80,15 @@ def _normalised(docs: DataFrame, words: DataFrame, p: list[Column], t: list[Colu
     return _score(docs, words, base, [F.log((m[c] + SMOOTHING) / one(m)) for c in CLASSES])
 
 
-def sketch_form(stream: DataFrame) -> DataFrame:
-    """Votes of the learner that trains on the words of a frequent-word sketch, where none is evicted."""
-    counted = tk.tokens(stream)
-    docs = _prior_documents(tk.documents(stream, counted)).withColumn("first", F.col("n0") + F.col("n1") == 0)
-    words = prior(counted, ["word"], "seq", {f"c{c}": _of(c, F.col("x")) for c in CLASSES})
+def sketch_form(stream: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """Votes of the learner that trains on the words of a frequent-word sketch.
+
+    ``counted`` are tokens with the ``epoch`` of their word, where the sketch evicts; without them none is evicted.
+    """
+    plain = tk.tokens(stream)
+    counted = plain.withColumn("epoch", F.lit(1)) if counted is None else counted
+    docs = _prior_documents(tk.documents(stream, plain)).withColumn("first", F.col("n0") + F.col("n1") == 0)
+    words = prior(counted, ["word", "epoch"], "seq", {f"c{c}": _of(c, F.col("x")) for c in CLASSES})
     p = [SMOOTHING + F.col(f"n{c}") for c in CLASSES]
     t = [SMOOTHING * (F.col("v1") - 1) + F.col(f"t{c}") for c in CLASSES]
     m = [F.when(F.col(f"c{c}") > 0, SMOOTHING + F.col(f"c{c}")).otherwise(0.0) for c in CLASSES]
@@ -188,6 +194,26 @@ def model(stream: DataFrame) -> DataFrame:
     return both.select("word", "n0", "n1", *(((SMOOTHING + F.col(f"n{c}")) / (SMOOTHING * (F.col("v1") + 2) + F.col(f"t{c}"))).alias(f"p_word_{c}") for c in CLASSES))
 
 
+def time_series(stream: DataFrame, names: Sequence[str] = fc.EXPERTS) -> DataFrame:
+    """Votes of the learner that puts forecasts in the place of counts; there is no term for the length."""
+    counted = tk.tokens(stream)
+    words, classes = fc.document_forecasts(counted, stream, names)
+    share = [F.log((F.col(f"f{c}") + SMOOTHING) / (F.col("f0") + F.col("f1") + 2 * SMOOTHING)) for c in CLASSES]
+    start = F.broadcast(stream.agg(F.min("seq").alias("_start")))
+    docs = classes.crossJoin(start).withColumn("first", F.col("seq") == F.col("_start"))
+    return votes(_score(docs, words, share, share))
+
+
+def vanilla_with(stream: DataFrame, values: DataFrame) -> DataFrame:
+    """Votes of the plain learner in which ``values(seq, word, v0, v1)`` stand for the counts of the words that they name."""
+    counted = tk.tokens(stream)
+    docs = _prior_documents(tk.documents(stream, counted)).withColumn("first", F.col("n0") + F.col("n1") == 0)
+    words = prior(counted, ["word"], "seq", {f"c{c}": _of(c, F.col("x")) for c in CLASSES})
+    words = words.join(values.select("seq", "word", "v0", "v1"), ["seq", "word"], "left")
+    base = [F.log(SMOOTHING + F.col(f"n{c}")) - F.col("n") * F.log(SMOOTHING * (F.col("v1_first") + 2) + F.col(f"t{c}")) for c in CLASSES]
+    return votes(_score(docs.withColumnRenamed("v1", "v1_first"), words, base, [F.log(SMOOTHING + F.coalesce(f"v{c}", f"c{c}")) for c in CLASSES]))
+
+
 def holdout(stream: DataFrame, share: float = 0.7) -> DataFrame:
     """Votes on the documents after the first ``share`` by a learner trained on those."""
     counted = tk.tokens(stream)

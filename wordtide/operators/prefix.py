@@ -19,19 +19,19 @@ def prior(df: DataFrame, by: Sequence[str], order: str, sums: Mapping[str, Colum
     a block's rows the rest, so neither a key with very many rows nor an empty
     ``by`` puts all rows in one task.
     """
-    values = {f"_v_{k}": v for k, v in {**sums, **maxima}.items()}
-    df = df.withColumns({**values, "_b": F.floor(F.col(order) / block)})
-    keys = [*by, "_b"]
-    totals = df.groupBy(*keys).agg(*(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums), *(F.max(f"_v_{k}").alias(f"_t_{k}") for k in maxima))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, *(F.sum(f"_t_{k}").over(before).alias(f"_o_{k}") for k in sums), *(F.max(f"_t_{k}").over(before).alias(f"_o_{k}") for k in maxima))
+    values = {f"_prior_v_{k}": v for k, v in {**sums, **maxima}.items()}
+    df = df.withColumns({**values, "_prior_block": F.floor(F.col(order) / block)})
+    keys = [*by, "_prior_block"]
+    totals = df.groupBy(*keys).agg(*(F.sum(f"_prior_v_{k}").alias(f"_prior_t_{k}") for k in sums), *(F.max(f"_prior_v_{k}").alias(f"_prior_t_{k}") for k in maxima))
+    before = Window.partitionBy(*by).orderBy("_prior_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, *(F.sum(f"_prior_t_{k}").over(before).alias(f"_prior_o_{k}") for k in sums), *(F.max(f"_prior_t_{k}").over(before).alias(f"_prior_o_{k}") for k in maxima))
     inside = Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
-    df = df.withColumns({**{f"_i_{k}": F.sum(f"_v_{k}").over(inside) for k in sums}, **{f"_i_{k}": F.max(f"_v_{k}").over(inside) for k in maxima}})
+    df = df.withColumns({**{f"_prior_i_{k}": F.sum(f"_prior_v_{k}").over(inside) for k in sums}, **{f"_prior_i_{k}": F.max(f"_prior_v_{k}").over(inside) for k in maxima}})
     on = [df[k].eqNullSafe(totals[k]) for k in keys]
     both = df.join(totals, on, "left").drop(*(totals[k] for k in keys))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    out = {k: zero(f"_i_{k}") + zero(f"_o_{k}") for k in sums} | {k: F.greatest(f"_i_{k}", f"_o_{k}") for k in maxima}
-    return both.withColumns(out).drop("_b", *values, *(f"_{p}_{k}" for p in "io" for k in [*sums, *maxima]))
+    out = {k: zero(f"_prior_i_{k}") + zero(f"_prior_o_{k}") for k in sums} | {k: F.greatest(f"_prior_i_{k}", f"_prior_o_{k}") for k in maxima}
+    return both.withColumns(out).drop("_prior_block", *values, *(f"_prior_{p}_{k}" for p in "io" for k in [*sums, *maxima]))
 
 
 def ordinal(df: DataFrame, order: str, to: str, block: int = BLOCK) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .prefix import ordinal, prior
@@ -45,6 +45,3 @@ def first_vocabulary(docs: DataFrame) -> DataFrame:
     """One row (v1): the number of distinct words of the first document."""
     return docs.agg(F.min_by("v", "seq").cast("double").alias("v1"))
 
-
-def by_key(keys: list[str], order: str) -> Window:
-    return Window.partitionBy(*keys).orderBy(order)

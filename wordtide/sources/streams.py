@@ -73,7 +73,7 @@ def labelled_stream(spark: SparkSession, sf_dir: str, label: str = "toxic") -> D
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     d = read("documents").select(F.col("doc_id").alias("seq"), "text")
     chosen = read("labels").select(F.col("doc_id").alias("seq"), F.col(label).cast("int").alias("label"))
-    timed = read("events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    timed = read("events").select(F.col("event_id").alias("seq"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"))
     return d.join(chosen, "seq").join(timed, "seq").select("seq", "ts", "label", "text")
 
 
