@@ -177,8 +177,9 @@ def unrepeated(docs: DataFrame) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with one document for each text (the smallest id); all columns stay."""
-    pairs = duplicates(spark, docs).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_key"))
+    gone, key = runtime.fresh(docs, "_gone"), runtime.fresh(docs, "_key")
+    pairs = duplicates(spark, docs).select(F.col("doc_id").alias(gone), F.col("key").alias(key))
     pairs = runtime.stored(pairs, runtime.shared_dir(spark))
-    gone = runtime.sized(pairs, pairs.count())
-    kept = docs.join(gone, (docs["doc_id"].cast("long") == F.col("_gone")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_key")), "left_anti")
+    lost = runtime.sized(pairs, pairs.count())
+    kept = docs.join(lost, (docs["doc_id"].cast("long") == F.col(gone)) & (F.xxhash64(docs["text"].cast("string")) == F.col(key)), "left_anti")
     return unrepeated(kept)

@@ -214,7 +214,6 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 def accept(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """``docs`` without those whose language is rejected or whose id is null; all columns stay."""
-    found = identify(spark, document_rows(docs), docs, **how).filter("NOT accepted AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
+    found = identify(spark, document_rows(docs), docs, **how).filter("NOT accepted AND doc_id IS NOT NULL").select("doc_id").distinct()
     found = runtime.stored(found, runtime.shared_dir(spark))
-    gone = runtime.sized(found, found.count())
-    return docs.filter("doc_id IS NOT NULL").join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return runtime.without_ids(docs.filter("doc_id IS NOT NULL"), runtime.sized(found, found.count()))

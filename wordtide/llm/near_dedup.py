@@ -346,6 +346,5 @@ def _by(column: str):
 
 def deduplicate(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one document (the smallest id) of each near-duplicate group; all columns stay."""
-    found = runtime.stored(groups(spark, docs, **how).select(F.col("doc_id").alias("_gone")), runtime.shared_dir(spark))
-    gone = runtime.sized(found, found.count())
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    found = runtime.stored(groups(spark, docs, **how).select("doc_id"), runtime.shared_dir(spark))
+    return runtime.without_ids(docs, runtime.sized(found, found.count()))

@@ -182,7 +182,7 @@ def disclosing(spark: SparkSession, docs: DataFrame, context: int = CONTEXT, sup
     if not many:
         counted = spark.createDataFrame([], "term long, nt long")
     elif many * 8 <= runtime.BROADCAST_BYTES:
-        wanted = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in terms.collect()], np.int64)))
+        wanted = spark.sparkContext.broadcast(np.sort(terms.toArrow()["term"].to_numpy()))
         counted = whole.mapInArrow(_count_terms(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("nt"))
     else:
         counted = whole.mapInArrow(_count_terms(None), "term long, n long").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("nt"))
@@ -222,27 +222,34 @@ def sanitise_text(text: str, gone: set[int] = frozenset(), general: set[int] = f
     return "".join(parts) + text[at:], len(found), terms
 
 
-def _rewrite(batches):
-    for b in batches:
-        done = [
-            (None, 0, 0) if t is None else sanitise_text(t, {x["term"] for x in k or () if x["remove"]}, {x["term"] for x in k or () if not x["remove"]})
-            for t, k in zip(b.column("text").to_pylist(), b.column("_terms").to_pylist())
-        ]
-        keep = [c for c in b.schema.names if c not in ("text", "_terms")]
-        texts, n, m = zip(*done) if done else ((), (), ())
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], [*keep, "text", "_entities", "_removed"])
+def _rewrite(terms: str, keep: list[str]):
+    def run(batches):
+        for b in batches:
+            done = [
+                (None, 0, 0) if t is None else sanitise_text(t, {x["term"] for x in k or () if x["remove"]}, {x["term"] for x in k or () if not x["remove"]})
+                for t, k in zip(b.column("text").to_pylist(), b.column(terms).to_pylist())
+            ]
+            texts, n, m = zip(*done) if done else ((), (), ())
+            columns = [b.column(c) for c in keep] + [pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [f"c{k}" for k in range(len(columns))])
+
+    return run
 
 
-def sanitise(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with sanitised texts, and the columns _entities and _removed: how many of each were replaced."""
+def sanitise(spark: SparkSession, docs: DataFrame, entities: str = "_entities", removed: str = "_removed", **how) -> DataFrame:
+    """``docs`` with sanitised texts, and two more columns, whose names must be free: how many entities and terms were replaced."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
     occurrences, known = disclosing(spark, docs, **how)
     suspect = F.coalesce(F.col("text").rlike(SUSPECT), F.lit(False))
-    plan = occurrences.join(known, "entity").groupBy("doc_id").agg(F.collect_set(F.struct("term", "remove")).alias("_terms")).withColumnRenamed("doc_id", "_doc")
+    doc, terms = runtime.fresh(docs, "_doc"), runtime.fresh(docs, "_terms")
+    plan = occurrences.join(known, "entity").groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set(F.struct("term", "remove")).alias(terms))
     plan = runtime.stored(plan, runtime.shared_dir(spark))
-    small = runtime.sized(plan, plan.count(), 1024)
-    mine = docs.filter(suspect).join(small, docs["doc_id"].cast("long") == F.col("_doc"), "left").drop("_doc")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    done = mine.mapInArrow(_rewrite, ", ".join([*fields, "text string", "_entities long", "_removed long"]))
-    clean = docs.filter(~suspect).withColumns({"_entities": F.lit(0).cast("long"), "_removed": F.lit(0).cast("long")})
+    size = plan.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(terms)), F.lit(0)).alias("m")).first()
+    small = runtime.sized(plan, 2 * size["n"] + size["m"], 32)
+    mine = docs.filter(suspect).join(small, docs["doc_id"].cast("long") == F.col(doc), "left").drop(doc)
+    keep = [f for f in docs.schema if f.name != "text"]
+    types = [f.dataType.simpleString() for f in keep] + ["string", "long", "long"]
+    done = mine.mapInArrow(_rewrite(terms, [f.name for f in keep]), ", ".join(f"c{k} {t}" for k, t in enumerate(types)))
+    done = done.toDF(*(f.name for f in keep), "text", entities, removed)
+    clean = docs.filter(~suspect).withColumns({entities: F.lit(0).cast("long"), removed: F.lit(0).cast("long")})
     return clean.unionByName(done.select(clean.columns))

@@ -63,7 +63,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sanitised text, and how many entities and terms were replaced in it."""
-    done = pii.sanitise(spark, table(spark, sf_dir, "documents"))
+    done = pii.sanitise(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "text", F.col("_entities").alias("entities"), F.col("_removed").alias("terms"))
 
 

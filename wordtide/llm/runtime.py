@@ -50,6 +50,21 @@ def cast_ids(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the ids of ``gone(doc_id)``; all columns stay."""
+    name = fresh(docs, "_gone")
+    ids = gone.select(F.col("doc_id").alias(name))
+    return docs.join(ids, docs["doc_id"].cast("long") == F.col(name), "left_anti")
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
