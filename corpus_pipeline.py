@@ -34,9 +34,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without personal data, secrets and terms that disclose them; n_chars is that of the new text."""
-    done = pii.sanitise(spark, docs)
+    found, gone = runtime.fresh(docs, "_entities"), runtime.fresh(docs, "_removed")
+    done = pii.sanitise(spark, docs, found, gone)
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        done = done.withColumn("n_chars", F.when(F.col(found) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return done.select(docs.columns)
 
 
