@@ -1,0 +1,92 @@
+import math
+import re
+from collections import defaultdict
+
+from wordtide.llm import pii
+
+from .helpers import clashing, frame
+
+CARD, BAD_CARD = "4111 1111 1111 1111", "4111 1111 1111 1112"
+
+
+def test_kinds():
+    found = lambda t: [k for _, _, k, _ in pii.entities(t)]
+    assert found("a.b+c@mail5.example.com and 10.0.0.255") == ["EMAIL", "IP"]
+    assert found(f"{CARD} or {BAD_CARD}") == ["CARD"]
+    assert found("DE89 3704 0044 0532 0130 00, DE88 3704 0044 0532 0130 00") == ["ACCOUNT"]
+    assert found('+1 (743) 555-3824, (212) 555-0100, 078-05-1120') == ["PHONE", "PHONE", "SSN"]
+    assert found('token = "2321bac4d15ec8f90433955bf9d3cf61da5b"') == ["SECRET"]
+    assert found("version 3.0 of 2024-01-05, 9.5 % in CC BY-NC 4.0") == []
+
+
+def brute(docs):
+    """Sanitised texts from the formulas, in plain loops."""
+    word = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]+")
+    n = len({d for d, t in docs if t is not None})
+    ne, net, ctx, nt = defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
+    term = lambda w: len(w.encode()) >= 3 and not re.search(r"\d", w)
+    for d, t in docs:
+        if t is None:
+            continue
+        spans = list(word.finditer(t))
+        found = pii.entities(t)
+        for w in spans:
+            nt[w.group().lower()].add(d)
+        inside = {k for k, w in enumerate(spans) for s, e, _, _ in found if w.start() < e and s < w.end()}
+        for s, e, kind, value in found:
+            mine = [k for k, w in enumerate(spans) if w.start() < e and s < w.end()]
+            lo, hi = (mine[0], mine[-1] + 1)
+            near = [k for k in [*range(max(0, lo - 10), lo), *range(hi, min(len(spans), hi + 10))] if k not in inside and term(spans[k].group())]
+            key, context = (kind, value), tuple(spans[k].group().lower() for k in near)
+            ne[key].add(d)
+            for k in near:
+                w = spans[k].group().lower()
+                net[key, w].add(d)
+                ctx[key, w].add(context)
+    share = {}
+    for (key, w), ds in net.items():
+        if len(ctx[key, w]) >= pii.SUPPORT and len(ne[key]) < n:
+            share[key, w] = math.log2(n * len(ds) / (len(ne[key]) * len(nt[w]))) / math.log2(n / len(ne[key]))
+    out = {}
+    for d, t in docs:
+        if t is None:
+            out[d] = None
+            continue
+        found = pii.entities(t)
+        cuts = [(s, e, f"[{kind}]") for s, e, kind, _ in found]
+        keys = {(kind, value) for _, _, kind, value in found}
+        for w in word.finditer(t):
+            level = max([share.get((k, w.group().lower()), 0) for k in keys], default=0)
+            if level >= pii.GENERALISE and term(w.group()) and not any(s < w.end() and w.start() < e for s, e, _ in cuts[: len(found)]):
+                cuts.append((w.start(), w.end(), "" if level >= pii.REMOVE else "[TERM]"))
+        new, at = "", 0
+        for s, e, x in sorted(cuts):
+            new, at = new + t[at:s] + x, e
+        out[d] = new + t[at:]
+    return out
+
+
+def test_matches_brute_force(spark):
+    filler = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    docs = []
+    for i in range(6):
+        docs.append((i, f"Report {filler[i]} about Zorblatt Industries {filler[i + 1]} mail joe@zorb.example.com from {filler[i + 2]}"))
+    for i in range(6, 60):
+        docs.append((i, f"the {filler[i % 10]} and {filler[i * 7 % 10]} went Über about" + (" Industries" if i in (9, 11, 13) else "") + (f" call +1 (743) 555-38{i} now" if i % 9 == 0 else "")))
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(spark, frame(spark, docs)).collect()}
+    assert got == brute(docs)
+    assert "Zorblatt" not in got[0] and "[EMAIL]" in got[0] and "[TERM]" in got[0]
+    clean = [d for d, t in docs if not pii.entities(t)]
+    assert all(got[d] == dict(docs)[d] for d in clean)
+
+
+def test_edges(spark):
+    long = "word " * 200_000 + "me@x.example.org"
+    rows = [(1, None), (2, ""), (3, "a@b.example.com"), (3, "a@b.example.com"), (None, "c@d.example.com hello"), (4, long), (5, f"{CARD} über")]
+    df = clashing(frame(spark, rows))
+    done = pii.sanitise(spark, df, "found", "cut")
+    assert set(done.columns) == {*df.columns, "found", "cut"}
+    got = sorted(((r["doc_id"] or 0, r["text"] or "", r["found"]) for r in done.collect()), key=str)
+    assert (0, "[EMAIL] hello", 1) in got and (1, "", 0) in got and got.count((3, "[EMAIL]", 1)) == 2 and (5, "[CARD] über", 1) in got
+    assert next(t for d, t, _ in got if d == 4) == "word " * 200_000 + "[EMAIL]"
+    assert pii.sanitise(spark, frame(spark, [])).count() == 0
