@@ -33,13 +33,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import runtime
+from .textkit import runs
 
 K = 10
 DIGITS = 6
 LEAF = 256
 FANOUT = 32
 #: Vectors of a block; blocks travel whole.
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 4096
 #: Pivots shape the tree's top level, not the result; with more data their blocks become more.
 PIVOTS = 1024
 
@@ -105,18 +106,24 @@ class Best:
 
     def offer(self, rows: np.ndarray, sims: np.ndarray, ids: np.ndarray) -> None:
         """Neighbours ``ids`` with ``sims[query, neighbour]`` for the queries ``rows``."""
+        k = self.score.shape[1]
         good = sims >= self.score[rows, -1][:, None] - _SLACK
-        some = np.flatnonzero(good.any(1))
-        if not len(some):
+        n = int(np.count_nonzero(good))
+        if not n:
             return
-        columns = np.flatnonzero(good[some].any(0))
-        rows, s = rows[some], np.round(sims[np.ix_(some, columns)], DIGITS)
-        s = np.where(good[np.ix_(some, columns)], s, -3.0)
-        s = np.c_[self.score[rows], s]
-        i = np.c_[self.id[rows], np.broadcast_to(ids[columns], (len(rows), len(columns)))]
-        k = self.score.shape[1]
-        top = np.lexsort((i, -s), axis=-1)[:, :k]
-        self.score[rows], self.id[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
+        if n > 4 * k * len(rows) and sims.shape[1] > k:
+            # early on most of them pass: only what may be among a query's k best of these does
+            good &= sims >= np.partition(sims, -k, axis=1)[:, -k][:, None] - _SLACK
+        r, c = np.nonzero(good)
+        some, at = np.unique(r, return_inverse=True)
+        mine = rows[some]
+        query = np.r_[np.repeat(np.arange(len(some)), k), at]
+        s = np.r_[self.score[mine].ravel(), np.round(sims[r, c], DIGITS)]
+        i = np.r_[self.id[mine].ravel(), ids[c]]
+        order = np.lexsort((i, -s, query))
+        first, _ = runs(query[order])
+        top = order[first[:, None] + np.arange(k)]
+        self.score[mine], self.id[mine] = s[top], i[top]
 
     def reach(self, rows: np.ndarray) -> float:
         """The worst k-th distance of the queries ``rows``."""
