@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import evaluation as ev
 from . import learners as ln
+from .settle import settled
 from .windows import SPANS
 
 CHUNK = 2 * 3600
@@ -22,7 +23,7 @@ def sliding_votes(stream: DataFrame, spans: Mapping[str, int] | None = None) ->
     whole = out[0]
     for more in out[1:]:
         whole = whole.unionByName(more)
-    return whole
+    return settled(whole)
 
 
 def _voted(df: DataFrame) -> DataFrame:

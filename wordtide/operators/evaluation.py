@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prefix import ordinal, prior
+from .settle import settled
 
 WINDOW = 1000
 BATCH = 50
@@ -89,7 +90,7 @@ def running_totals(votes: DataFrame) -> DataFrame:
 
 def windowed(votes: DataFrame, width: int = WINDOW) -> DataFrame:
     """(seq, pos, accuracy, kappa) over the last ``width`` votes: the difference of two prefix sums."""
-    at = ordinal(votes.select("seq", "label", "pred"), "seq", "pos")
+    at = settled(ordinal(votes.select("seq", "label", "pred"), "seq", "pos"))
     sums = prior(at, [], "pos", {f"c_{k}": cell(k).cast("long") for k in CELLS}).withColumns({f"c_{k}": F.col(f"c_{k}") + cell(k) for k in CELLS})
     old = sums.select((F.col("pos") + width).alias("pos"), *(F.col(f"c_{k}").alias(f"o_{k}") for k in CELLS))
     both = sums.join(old, "pos", "left")
@@ -126,7 +127,7 @@ def _log10(x: float) -> float:
 
 def fading_estimates(measured: DataFrame, factors: Sequence[float] = FACTORS) -> DataFrame:
     """(seq, pos, accuracy, kappa) with faded means fade<k>_accuracy and fade<k>_kappa, each of the one before."""
-    out = measured
+    out = settled(measured)
     for c in ("accuracy", "kappa"):
         of = c
         for k, factor in enumerate(factors, 1):

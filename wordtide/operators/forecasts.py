@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType
 
 from . import trajectories as tj
 from .prefix import prior
+from .settle import settled
 
 CLASSES = (0, 1)
 EXPERTS = ("poisson", "seasonal", "arima", "ewma")
@@ -146,9 +147,10 @@ def poisson_draw(rate: Column, key: Column, seed: int = 0) -> Column:
 
 def experts(periods: DataFrame, names: Sequence[str] = EXPERTS, cap: float = CAP) -> DataFrame:
     """``periods`` with the capped forecast <expert>_<class> of every expert after each period; an unknown name forecasts -1."""
+    periods = settled(periods)
     for name in names:
         if name in _MODELS:
-            periods = _MODELS[name](periods)
+            periods = settled(_MODELS[name](periods))
         else:
             periods = periods.withColumns({f"{name}_{c}": F.lit(-1.0) for c in CLASSES})
     return periods.withColumns({f"{n}_{c}": F.least(f"{n}_{c}", F.lit(cap)) for n in names for c in CLASSES})
@@ -161,9 +163,9 @@ def weighted(forecast: DataFrame, names: Sequence[str] = EXPERTS, cap: float = C
     summed loss; the loss is the squared error of the forecast before, 0 before the first.
     """
     keys = [f"{n}_{c}" for n in names for c in CLASSES]
-    before = prior(forecast, ["word"], "period_id", {}, {"_before": F.struct("period_id", *keys)})
+    before = prior(settled(forecast), ["word"], "period_id", {}, {"_before": F.struct("period_id", *keys)})
     loss = {f"_l_{k}": F.pow(F.col(f"n{k[-1]}") - F.coalesce(F.col(f"_before.{k}"), F.lit(0.0)), 2.0) for k in keys}
-    before = before.withColumns(loss).drop("_before")
+    before = settled(before.withColumns(loss).drop("_before"))
     sums = prior(before, ["word"], "period_id", {f"_c_{k}": F.col(f"_l_{k}") for k in keys})
     c = 2 * cap * cap
     total = {k: F.col(f"_c_{k}") + F.col(f"_l_{k}") for k in keys}
@@ -200,7 +202,7 @@ def tracked(periods: DataFrame, words: Sequence[str], names: Sequence[str] = EXP
     """Truth and forecasts of some words (case is ignored): a row for each closed period, forecasts made before it closed."""
     mine = periods.filter(F.lower("word").isin(*[w.lower() for w in words]))
     keys = [f"{n}_{c}" for n in names for c in CLASSES] + ["f0", "f1"]
-    done = weighted(experts(mine, names), names)
+    done = settled(weighted(experts(mine, names), names))
     before = prior(done, ["word"], "period_id", {}, {"_b": F.struct("period_id", *keys)})
     return before.select("word", "period_id", "t_close", F.col("n0").alias("true_0"), F.col("n1").alias("true_1"), *(F.coalesce(F.col(f"_b.{k}"), F.lit(0.0)).alias(k) for k in keys))
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from . import forecasts as fc
 from . import tokens as tk
 from .prefix import earliest_within, ordinal, prior
+from .settle import settled
 
 SMOOTHING = 1.0
 FADING = {"degree": 0.1, "period": 100.0}
@@ -58,7 +59,7 @@ def _score(docs: DataFrame, words: DataFrame, base: list[Column], word: list[Col
 
 def scores_vanilla(stream: DataFrame) -> DataFrame:
     """Log scores ln(1 + N_c) - n ln(V1 + 2 + T_c) + sum of x ln(1 + n_wc), from the state before each document."""
-    counted = tk.tokens(stream)
+    counted = settled(tk.tokens(stream))
     docs = _prior_documents(tk.documents(stream, counted)).withColumn("first", F.col("n0") + F.col("n1") == 0)
     words = prior(counted, ["word"], "seq", {f"c{c}": _of(c, F.col("x")) for c in CLASSES})
     base = [F.log(SMOOTHING + F.col(f"n{c}")) - F.col("n") * F.log(SMOOTHING * (F.col("v1") + 2) + F.col(f"t{c}")) for c in CLASSES]
@@ -85,7 +86,7 @@ def sketch_form(stream: DataFrame, counted: DataFrame | None = None) -> DataFram
 
     ``counted`` are tokens with the ``epoch`` of their word, where the sketch evicts; without them none is evicted.
     """
-    plain = tk.tokens(stream)
+    plain = settled(tk.tokens(stream))
     counted = plain.withColumn("epoch", F.lit(1)) if counted is None else counted
     docs = _prior_documents(tk.documents(stream, plain)).withColumn("first", F.col("n0") + F.col("n1") == 0)
     words = prior(counted, ["word", "epoch"], "seq", {f"c{c}": _of(c, F.col("x")) for c in CLASSES})
@@ -97,8 +98,8 @@ def sketch_form(stream: DataFrame, counted: DataFrame | None = None) -> DataFram
 
 def _numbered(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with their prior state and position, and tokens with that position."""
-    counted = tk.tokens(stream)
-    docs = ordinal(tk.documents(stream, counted), "seq", "pos")
+    counted = settled(tk.tokens(stream))
+    docs = settled(ordinal(tk.documents(stream, counted), "seq", "pos"))
     return docs, counted.join(docs.select("seq", "pos"), "seq")
 
 
@@ -130,7 +131,7 @@ def fading(stream: DataFrame, degree: float = FADING["degree"], period: float =
 def _accumulated(df: DataFrame, by: list[str], x: Column, names: list[str], degree: float, period: float) -> DataFrame:
     """For each class the sum of earlier increments, each faded by the gap to the one after it, the last by the gap to now."""
     last = {f"last{c}": F.when(F.col("label") == c, F.struct("pos", x.alias("x"))) for c in CLASSES}
-    df = prior(df, by, "seq", {}, last)
+    df = settled(prior(df, by, "seq", {}, last))
     step = {f"_y{c}": F.when((F.col("label") == c) & F.col(f"last{c}").isNotNull(), F.col(f"last{c}.x") * _fade(F.col("pos"), F.col(f"last{c}.pos"), degree, period)).otherwise(0.0) for c in CLASSES}
     df = prior(df.withColumns(step), by, "seq", {f"_a{c}": F.col(f"_y{c}") for c in CLASSES})
     now = {name: F.col(f"_a{c}") + F.when(F.col(f"last{c}").isNotNull(), F.col(f"last{c}.x") * _fade(F.col("pos") - 1, F.col(f"last{c}.pos"), degree, period)).otherwise(0.0) for c, name in zip(CLASSES, names)}
@@ -141,7 +142,7 @@ def aggressive(stream: DataFrame, degree: float = AGGRESSIVE["degree"], period:
     """Votes of the learner that accumulates faded increments."""
     docs, counted = _numbered(stream)
     v1 = F.broadcast(tk.first_vocabulary(docs))
-    docs = _accumulated(docs, [], F.lit(1.0), ["n0", "n1"], degree, period).drop("last0", "last1")
+    docs = settled(_accumulated(docs, [], F.lit(1.0), ["n0", "n1"], degree, period).drop("last0", "last1"))
     docs = _accumulated(docs, [], F.col("n"), ["t0", "t1"], degree, period).crossJoin(v1).withColumn("first", F.col("pos") == 1)
     words = _accumulated(counted, ["word"], F.col("x"), ["c0", "c1"], degree, period)
     p = [SMOOTHING + F.col(f"n{c}") for c in CLASSES]
@@ -166,8 +167,8 @@ def windowed(stream: DataFrame, seconds: int) -> DataFrame:
 
     A windowed count is the difference of two prefix sums: before the document, and before the window's first one.
     """
-    counted = tk.tokens(stream)
-    docs = window_starts(_prior_documents(tk.documents(stream, counted)), seconds)
+    counted = settled(tk.tokens(stream))
+    docs = settled(window_starts(settled(_prior_documents(tk.documents(stream, counted))), seconds))
     state = [f"{k}{c}" for k in "nt" for c in CLASSES]
     gone = docs.select(F.col("seq").alias("lo"), *(F.col(k).alias(f"{k}_gone") for k in state))
     docs = docs.join(gone, "lo", "left").withColumn("first", F.col("n0") + F.col("n1") == 0)
@@ -186,7 +187,7 @@ def windowed(stream: DataFrame, seconds: int) -> DataFrame:
 
 def model(stream: DataFrame) -> DataFrame:
     """(word, n0, n1, p_word_0, p_word_1): the plain learner after all documents."""
-    counted = tk.tokens(stream)
+    counted = settled(tk.tokens(stream))
     per = counted.groupBy("word").agg(*(F.sum(_of(c, F.col("x"))).alias(f"n{c}") for c in CLASSES))
     total = counted.agg(*(F.sum(_of(c, F.col("x"))).alias(f"t{c}") for c in CLASSES))
     v1 = tk.first_vocabulary(tk.documents(stream, counted))
@@ -196,7 +197,7 @@ def model(stream: DataFrame) -> DataFrame:
 
 def time_series(stream: DataFrame, names: Sequence[str] = fc.EXPERTS) -> DataFrame:
     """Votes of the learner that puts forecasts in the place of counts; there is no term for the length."""
-    counted = tk.tokens(stream)
+    counted = settled(tk.tokens(stream))
     words, classes = fc.document_forecasts(counted, stream, names)
     share = [F.log((F.col(f"f{c}") + SMOOTHING) / (F.col("f0") + F.col("f1") + 2 * SMOOTHING)) for c in CLASSES]
     start = F.broadcast(stream.agg(F.min("seq").alias("_start")))
@@ -206,7 +207,7 @@ def time_series(stream: DataFrame, names: Sequence[str] = fc.EXPERTS) -> DataFra
 
 def vanilla_with(stream: DataFrame, values: DataFrame) -> DataFrame:
     """Votes of the plain learner in which ``values(seq, word, v0, v1)`` stand for the counts of the words that they name."""
-    counted = tk.tokens(stream)
+    counted = settled(tk.tokens(stream))
     docs = _prior_documents(tk.documents(stream, counted)).withColumn("first", F.col("n0") + F.col("n1") == 0)
     words = prior(counted, ["word"], "seq", {f"c{c}": _of(c, F.col("x")) for c in CLASSES})
     words = words.join(values.select("seq", "word", "v0", "v1"), ["seq", "word"], "left")
@@ -216,8 +217,8 @@ def vanilla_with(stream: DataFrame, values: DataFrame) -> DataFrame:
 
 def holdout(stream: DataFrame, share: float = 0.7) -> DataFrame:
     """Votes on the documents after the first ``share`` by a learner trained on those."""
-    counted = tk.tokens(stream)
-    docs = ordinal(tk.documents(stream, counted), "seq", "pos")
+    counted = settled(tk.tokens(stream))
+    docs = settled(ordinal(tk.documents(stream, counted), "seq", "pos"))
     cut = F.broadcast(docs.agg(F.floor(F.count("*") * share).alias("cut"), F.min_by("v", "seq").cast("double").alias("v1")))
     docs = docs.crossJoin(cut).withColumn("train", F.col("pos") <= F.col("cut"))
     trained = docs.filter("train").agg(*(F.sum(_of(c, F.lit(1.0))).alias(f"n{c}") for c in CLASSES), *(F.sum(_of(c, F.col("n"))).alias(f"t{c}") for c in CLASSES))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ensembles, evaluation, learners, windows
+from ..operators.settle import settled
 from ..sinks import reports
 from ..sources import streams
 
@@ -87,8 +88,8 @@ class Result:
 
 def evaluate(stream: DataFrame, name: str, scheme: str = "prequential") -> Result:
     """Votes of a learner on a stream, with all reports."""
-    votes = learners.holdout(stream) if scheme == "holdout" else learner(name)(stream)
-    measured = evaluation.windowed(votes)
+    votes = settled(learners.holdout(stream) if scheme == "holdout" else learner(name)(stream))
+    measured = settled(evaluation.windowed(votes))
     tables = {
         "daily_performance": reports.daily_performance(evaluation.daily(measured, stream)),
         "significance": evaluation.significance(votes),

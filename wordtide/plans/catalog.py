@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import ensembles, evaluation, forecasts, learners, lexical, sketches, trajectories, windows
 from ..operators import tokens as tk
+from ..operators.settle import settled
 from ..sources import streams
 from .oracle import ORACLE_SQL
 
@@ -452,7 +453,7 @@ def significance_rows(spark, sf_dir):
 def _three(s):
     named = {"vanilla": learners.vanilla, "sketch": learners.sketch_form, "fading": learners.fading}
     one, two, three = (f(s).withColumn("learner", F.lit(k)) for k, f in named.items())
-    return one.unionByName(two).unionByName(three)
+    return settled(one.unionByName(two).unionByName(three))
 
 
 @query
