@@ -58,6 +58,22 @@ def test_matches_brute_force(spark, batches):
         assert re.findall(r"[a-z0-9]+", by[g["doc_id"]][g["char_start"] : g["char_end"]].lower()) == w[g["start"] : g["start"] + g["words"]]
 
 
+@pytest.mark.parametrize("batches", [1, 4])
+def test_hot_phrase_hides_no_repeat(spark, batches):
+    """A phrase of 49 words that most documents hold, before, between and after those that repeat more around it."""
+    r = random.Random(7)
+    fill = lambda n: " ".join(r.choice(VOCABULARY) for _ in range(n))
+    docs = []
+    for n in (30, 40, 49):
+        phrase, around = fill(n), [(fill(15), fill(15)) for _ in range(4)]
+        for _ in range(40):
+            left, right = r.choice(around) if r.random() < 0.4 else (fill(15), fill(15))
+            docs.append((len(docs), f"{fill(20)} {left} {phrase} {right} {fill(20)}"))
+    got = S.repeats(spark, spark.createDataFrame(docs, SCHEMA), batches=batches).collect()
+    assert spread(got) == brute(docs, 50)
+    assert len(got) == len({(g["doc_id"], g["start"], g["src_id"], g["src_start"]) for g in got})
+
+
 def test_characters_beyond_ascii(spark):
     passage = " ".join(f"é{i}ß" for i in range(60))
     docs = [(1, passage), (2, "ÄÖ ü. " + passage + " ñ")]

@@ -19,8 +19,12 @@ pair of documents whose windows touch are one candidate. Candidates are verified
 words of both places are fetched and compared, inside the outermost windows by a 128-bit digest and word for
 word up to the next fingerprint beyond them, and the match counts from WORDS words on. Matches of a
 diagonal that overlap are joined. What is reported are the later copies, each with an earlier place of the same words.
-A passage none of whose fingerprints has a link to a place with as many equal words is
-missed; that takes a shorter phrase in it which other documents have in between.
+
+Links alone can miss a passage, where a shorter phrase in it stands in many other documents. So
+fingerprints with two earlier places or more, of whose windows of WORDS words one lies in no match so far, are
+settled exactly: at all places of their hashes those windows are hashed whole, with 128 bits, and each is linked
+with its first place. Only equal windows meet, so that a hot phrase costs one row for each of its windows.
+Every window of WORDS words that was there before thus lies in a match.
 
 Earlier means in a former batch, or in the same one with a smaller id, or in the
 same document at a smaller position.
@@ -50,6 +54,7 @@ FAN_IN = 2
 BUCKET_ROWS = 1_000_000
 
 
+_PRINTS = "h long, doc_id long, pos int, back int, many int"
 FOUND = "doc_id long, start long, words long, src_id long, src_start long, char_start long, char_end long"
 
 
@@ -66,10 +71,14 @@ def _window_hashes(w: textkit.Words, gram: int) -> tuple[np.ndarray, np.ndarray]
     return h[at], at
 
 
-def _winnow(h: np.ndarray, row: np.ndarray, neighbours: int) -> np.ndarray:
-    """Positions of the least of every ``neighbours`` hashes in a row of the text (of ties the last)."""
+def _winnow(h: np.ndarray, row: np.ndarray, neighbours: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the least of every ``neighbours`` hashes in a row of the text (of ties the last).
+
+    With each how far before it the first neighbourhood begins whose least it is, and how many in a row there are.
+    """
     n = len(h) - neighbours + 1
     out = np.zeros(len(h), bool)
+    back, many = np.zeros(len(h), np.int32), np.zeros(len(h), np.int32)
     if n > 0:
         # sliding minima by doubling; the hash's complement order makes the last of ties win
         best, at, span = h.copy(), np.arange(len(h)), 1
@@ -79,14 +88,19 @@ def _winnow(h: np.ndarray, row: np.ndarray, neighbours: int) -> np.ndarray:
             later = b <= a
             best, at = np.where(later, b, a), np.where(later, at[step:], at[:-step])
             span += step
-        whole = row[:n] == row[neighbours - 1 :]
-        out[at[:n][whole]] = True
+        begin = np.flatnonzero(row[:n] == row[neighbours - 1 :])
+        chosen = at[begin]
+        out[chosen] = True
+        # the choice never moves back, so the neighbourhoods of one follow one another
+        first, count = textkit.runs(chosen)
+        back[chosen[first]], many[chosen[first]] = chosen[first] - begin[first], count
     # rows with fewer windows than that keep their least one
     first, count = textkit.runs(row)
     for f, c in zip(first[count < neighbours], count[count < neighbours]):
         part = h[f : f + c]
         out[f + c - 1 - int(part[::-1].argmin())] = True
-    return np.flatnonzero(out)
+    keep = np.flatnonzero(out)
+    return keep, back[keep], many[keep]
 
 
 def _fingerprints(words: int, gram: int):
@@ -101,18 +115,21 @@ def _fingerprints(words: int, gram: int):
                 h, at = _window_hashes(w, gram)
                 if not len(h):
                     continue
-                keep = _winnow(h, w.row[at], neighbours)
+                keep, back, many = _winnow(h, w.row[at], neighbours)
                 at = at[keep]
                 first, count = textkit.runs(w.row)
                 begin = np.repeat(first, count)
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(ids[w.row[at]]), pa.array((at - begin[at]).astype(np.int32))], ["h", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(ids[w.row[at]]), pa.array((at - begin[at]).astype(np.int32)), pa.array(back), pa.array(many)], ["h", "doc_id", "pos", "back", "many"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
-    """(h, doc_id, pos): the winnowed window hashes and the word index at which each begins."""
-    return docs.mapInArrow(_fingerprints(words, gram), "h long, doc_id long, pos int")
+    """(h, doc_id, pos, back, many): the winnowed window hashes and the word index at which each begins.
+
+    Of the windows of ``words`` words it stands for the first begins ``back`` words before it; there are ``many``.
+    """
+    return docs.mapInArrow(_fingerprints(words, gram), _PRINTS)
 
 
 class Index:
@@ -157,7 +174,7 @@ class Index:
                 self._drop(gone)
 
     def ingest(self, prints: DataFrame, batch: int) -> DataFrame:
-        """(doc_id, pos, src, more) of the batch's fingerprints that occurred before; then they are indexed.
+        """(h, doc_id, pos, back, many, src, more) of the batch's fingerprints that occurred before; then they are indexed.
 
         src is the place just before; more holds the first place, and the first and last of each run.
         """
@@ -167,7 +184,7 @@ class Index:
         mine = self._write(prints.withColumn("batch", F.lit(batch)).repartition(self.buckets, "h"))
         place = F.struct("batch", "doc_id", "pos")
         w = Window.partitionBy("h").orderBy("doc_id", "pos")
-        hits = self.spark.table(mine).select("h", "doc_id", "pos", F.first(place).over(w).alias("f"), F.lag(place).over(w).alias("before"))
+        hits = self.spark.table(mine).select("h", "doc_id", "pos", "back", "many", F.first(place).over(w).alias("f"), F.lag(place).over(w).alias("before"))
         more = [F.col("f")]
         for k, (_, name) in enumerate(self.runs):
             hits = hits.join(self._places(name, f"f{k}", f"l{k}").hint("merge"), "h", "left")
@@ -179,7 +196,7 @@ class Index:
         own = (F.col("doc_id"), F.col("pos"))
         others = F.filter(F.array_distinct(F.array_compact(F.array(*more))), lambda m: (m != F.col("before")) & ~((m["doc_id"] == own[0]) & (m["pos"] == own[1])))
         bare = lambda m: F.struct(m["doc_id"].alias("doc_id"), m["pos"].alias("pos"))
-        return hits.select("doc_id", "pos", bare(F.col("before")).alias("src"), F.transform(others, bare).alias("more"))
+        return hits.select("h", "doc_id", "pos", "back", "many", bare(F.col("before")).alias("src"), F.transform(others, bare).alias("more"))
 
     def close(self) -> None:
         for name in list(self.names):
@@ -208,7 +225,7 @@ _PAIR = ["doc_id", "src_id", "shift", "lo", "hi"]
 
 def candidates(hits: DataFrame, base: str, words: int = WORDS, gram: int = GRAM) -> DataFrame:
     """(doc_id, src_id, shift, lo, hi): candidates along the links to the place before, and along the others where those may be too short."""
-    marked = runtime.stored(_marked(hits, gram), f"{base}/marked")
+    marked = runtime.stored(_marked(hits.select("doc_id", "pos", "src", "more"), gram), f"{base}/marked")
     first = marked.filter("pos = lo").select(*_PAIR)
     weak = marked.filter(F.col("hi") - F.col("lo") + gram < words).select("doc_id", "pos", F.explode("more").alias("src"))
     return first.union(_marked(weak, gram).filter("pos = lo").select(*_PAIR)).distinct()
@@ -318,18 +335,79 @@ def joined(matches: DataFrame) -> DataFrame:
     return m.select("doc_id", "start", (F.col("end") - F.col("start")).alias("words"), "src_id", (F.col("start") - F.col("shift")).alias("src_start"), "char_start", "char_end")
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` with what is wanted of them."""
+    # what is wanted grows with the data and is never broadcast; hashing it spares the texts a sort
+    n = wanted.count()
+    few = n * 64 <= runtime.BROADCAST_BYTES // 4
+    # but where few texts are wanted their ids spare the others the shuffle
+    mine = docs.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi") if few else docs
+    return mine.join(wanted.hint("shuffle_hash"), "doc_id")
+
+
 def verify(spark: SparkSession, found: DataFrame, docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
     """The matches that the texts of ``docs(doc_id, text)`` bear out, as FOUND."""
     entry = lambda other, source: F.struct(F.col(other).alias("other"), "shift", "lo", "hi", F.lit(source).alias("source")).alias("e")
     sides = found.select("doc_id", entry("src_id", False)).union(found.select(F.col("src_id").alias("doc_id"), entry("doc_id", True)))
     wanted = runtime.stored(sides.groupBy("doc_id").agg(F.collect_list("e").alias("wanted")), f"{runtime.shared_dir(spark)}/wanted")
-    # what is wanted grows with the data and is never broadcast; hashing it spares the texts a sort
-    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id")
+    texts = _texts_of(docs, wanted)
     slices = texts.select("doc_id", "text", "wanted").mapInArrow(_slices(gram, words - gram + 1), _SLICE)
     paired = slices.repartition("doc_id", "src_id", "shift").sortWithinPartitions(*_PAIR, "source")
     return joined(paired.mapInArrow(_compare(words, gram), FOUND))
 
 
+def _uncovered(ranges: DataFrame, matches: DataFrame) -> DataFrame:
+    """Those of ``ranges(doc_id, a, z, …)``, from word a to before z, that lie in no single match."""
+    from pyspark.sql import Window
+
+    known = matches.select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("words")).alias("z"), F.lit(0).alias("_kind"))
+    both = known.unionByName(ranges.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy("doc_id").orderBy("a", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("_reach", F.max(F.when(F.col("_kind") == 0, F.col("z"))).over(w))
+    return both.filter((F.col("_kind") == 1) & (F.coalesce("_reach", F.lit(-1)) < F.col("z"))).select(ranges.columns)
+
+
+def _whole_windows(words: int):
+    """(one, two, doc_id, pos): 128 bits of every asked window of ``words`` words of a text."""
+
+    def run(batches):
+        for b in batches:
+            data, off = textkit.column(b.column("text"), lower=True)
+            ids = b.column("doc_id").to_numpy()
+            for k, asked in enumerate(b.column("asked").to_pylist()):
+                w = textkit.words(data, off, k, k + 1)
+                one, two = _digests(w.hash)
+                _, inverse = textkit.powers(len(w.hash) + 1)
+                a = np.concatenate([np.arange(e["a"], e["a"] + e["many"]) for e in asked])
+                x, y = (((d[a + words] - d[a]) * inverse[a]).view(np.int64) for d in (one, two))
+                for lo in range(0, len(a), 65_536):
+                    cut = slice(lo, lo + 65_536)
+                    part = a[cut].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[cut]), pa.array(y[cut]), pa.array(np.full(len(part), ids[k])), pa.array(part)], ["one", "two", "doc_id", "pos"])
+
+    return run
+
+
+def unsettled(spark: SparkSession, hits: DataFrame, prints: DataFrame, matches: DataFrame, docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame | None:
+    """Candidates for the repeated windows that ``matches`` leave out, each with its first place; None if no fingerprint is in question."""
+    base = runtime.shared_dir(spark)
+    a = F.col("pos") - F.col("back")
+    asked = hits.filter((F.size("more") > 0) & (F.col("many") > 0)).select("h", "doc_id", a.alias("a"), (a + F.col("many") - 1 + words).alias("z"))
+    hot = runtime.stored(_uncovered(asked, matches).select("h").distinct(), f"{base}/hot")
+    n = hot.count()
+    if not n:
+        return None
+    places = prints.filter("many > 0").join(runtime.sized(hot, n, 32), "h", "left_semi")
+    places = runtime.stored(places.groupBy("doc_id").agg(F.collect_list(F.struct(a.alias("a"), "many")).alias("asked")), f"{base}/places")
+    texts = _texts_of(docs, places)
+    windows = runtime.stored(texts.select("doc_id", "text", "asked").mapInArrow(_whole_windows(words), "one long, two long, doc_id long, pos int"), f"{base}/windows")
+    first = windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "pos")).alias("src"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    links = windows.join(first, ["one", "two"]).filter((F.col("doc_id") != F.col("src.doc_id")) | (F.col("pos") != F.col("src.pos")))
+    links = links.select("doc_id", "pos", "src", F.col("pos").alias("a"), (F.col("pos") + words).alias("z"))
+    near = _marked(_uncovered(links, matches).select("doc_id", "pos", "src"), words).filter("pos = lo")
+    return runtime.stored(near.select(*_PAIR[:-1], (F.col("hi") + words - gram).alias("hi")).distinct(), f"{base}/near")
+
+
 def repeats(spark: SparkSession, docs: DataFrame, words: int = WORDS, gram: int = GRAM, batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
     """Every passage of at least ``words`` words that an earlier document, or an earlier part of the same one, has.
 
@@ -348,7 +426,7 @@ def repeats(spark: SparkSession, docs: DataFrame, words: int = WORDS, gram: int
     batch = sum((F.when(F.col("doc_id") > e, 1).otherwise(0) for e in edges), F.lit(0))
     prints = fingerprints(texts, words, gram).withColumn("part", batch.cast("int"))
     prints.write.partitionBy("part").parquet(f"{base}/prints")
-    prints = spark.read.schema("h long, doc_id long, pos int, part int").parquet(f"{base}/prints")
+    prints = spark.read.schema(f"{_PRINTS}, part int").parquet(f"{base}/prints")
     total = prints.count()
     index = Index(spark, max(1, -(-total // BUCKET_ROWS)), fan_in)
     found = None
@@ -356,6 +434,8 @@ def repeats(spark: SparkSession, docs: DataFrame, words: int = WORDS, gram: int
         hits = runtime.stored(index.ingest(prints.filter(F.col("part") == k).drop("part"), k), f"{base}/hits{k}")
         found = hits if found is None else found.union(hits)
     index.close()
-    runtime.forget(spark, f"{base}/prints")
     near = runtime.stored(candidates(found, base, words, gram), f"{base}/candidates")
-    return verify(spark, near, texts, words, gram)
+    matches = runtime.stored(verify(spark, near, texts, words, gram), f"{base}/matches")
+    rest = unsettled(spark, found, prints, matches, texts, words, gram)
+    runtime.forget(spark, f"{base}/prints")
+    return matches if rest is None else joined(matches.union(verify(spark, rest, texts, words, gram)))
