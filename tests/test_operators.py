@@ -328,3 +328,40 @@ def test_predictors(spark):
     assert got["sum"][3] == (4, 0) and got["regression"][3] == (pytest.approx(5), pytest.approx(0))
     with pytest.raises(ValueError):
         lexical.predicted(tk.tokens(s), words, 100, "oracle")
+
+
+def test_adwin_counts_holds_the_sketch_capacity(spark):
+    from wordtide.plans import catalog
+
+    data = "/root/testdata/sf0.001"
+    words = tk.tokens(catalog._stream(spark, data)).select("word").distinct().count()
+    assert words > 100 and catalog.QUERIES["adwin_counts"](spark, data).count() == min(words, sketches.CAPACITY)
+
+
+def test_adwin_skips_only_where_nothing_is_cut():
+    """Cuts are the same whether or not the bound on the variance is tried first."""
+    class Full(sketches.Adwin):
+        def _cut(self):
+            cut = False
+            while True:
+                d = math.log(2 * max(1.0, math.log(max(self.n, 2))) / self.delta)
+                values = [(s, 1 << k) for k in range(len(self.rows) - 1, -1, -1) for s, _ in self.rows[k]]
+                n0, s0, found = 0, 0.0, False
+                for s, size in values:
+                    n0, s0 = n0 + size, s0 + s
+                    n1, s1 = self.n - n0, self.sum - s0
+                    if n0 < 5 or n1 < 5:
+                        continue
+                    m = 1 / n0 + 1 / n1
+                    found |= abs(s0 / n0 - s1 / n1) > math.sqrt(2 * m * self.m2 / self.n * d) + 2 / 3 * m * d
+                if not found:
+                    return cut
+                cut = True
+                self._drop()
+
+    r = random.Random(2)
+    for p, q in ((0.002, 0.05), (0.3, 0.01), (0.02, 0.02)):
+        a, b = sketches.Adwin(), Full()
+        for i in range(900):
+            x = float(r.random() < (p if i < 450 else q))
+            assert a.add(x) == b.add(x) and a.n == b.n

@@ -215,6 +215,9 @@ class Adwin:
             n1, s1 = self.n, self.sum
             d = log(2 * max(1.0, log(max(self.n, 2))) / self.delta)
             v = self.m2 / max(self.n, 1)
+            # parts can't differ by more than all values vary: where that is too little for any cut none is tried
+            if v * max(0.0, sqrt(self.n) - sqrt(2 * max(d, 0))) ** 2 * self.n * (1 + 1e-6) + 1e-9 < (4 / 3 * d) ** 2:
+                return cut
             for k in range(len(self.rows) - 1, -1, -1):
                 size = 1 << k
                 for s, _ in self.rows[k]:

@@ -301,7 +301,7 @@ def spacesaving_lanes(spark, sf_dir):
 @query
 def adwin_counts(spark, sf_dir):
     s = _stream(spark, sf_dir)
-    return sketches.adwin_counts(tk.tokens(s), s, TOP)
+    return sketches.adwin_counts(tk.tokens(s), s, sketches.CAPACITY)
 
 
 @query
