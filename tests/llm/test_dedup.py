@@ -42,6 +42,15 @@ def test_near_dense_blocks(spark):
     assert {(x["doc_id"], x["dup_of"]) for x in got} == {(i, 0) for i in range(1, 150)}
 
 
+def test_near_crowd_below_the_threshold(spark):
+    """A shared passage, Jaccard 0.48: some estimates are well above the threshold, no pair reaches it."""
+    r = random.Random(2)
+    shared = [r.choice(VOCABULARY) for _ in range(80)]
+    docs = [(i, " ".join(shared + [f"y{i}z{k}" for k in range(42)])) for i in range(700)]
+    assert near_groups(docs[:3]) == {}
+    assert near_dedup.groups(spark, frame(spark, docs)).count() == 0
+
+
 def test_near_edges(spark):
     long = " ".join(VOCABULARY[i % 3000] + str(i) for i in range(30_000))
     rows = [(1, None), (2, ""), (3, "..."), (4, "one two"), (5, "One, two!"), (5, "One, two!"), (None, "one two"), (6, long), (7, long + " end"), (8, "other words here")]

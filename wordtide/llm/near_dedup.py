@@ -19,9 +19,12 @@ level after level; below that a node fits a task and the rest of its subtree is
 branched there.
 
 Documents with equal signatures are collapsed first, so that thousands of
-copies are one entry. A compared pair well above the threshold is an edge, one
-near it is verified on the whole shingle sets unless edges connect it already,
-one below is dropped; edges become groups by connected components.
+copies are one entry. A compared pair is an edge unseen only where its estimate is so high
+that not one pair below the threshold is expected there in any crowd (SAFE). Of pairs well above the
+threshold a spanning forest of each task is verified on the whole shingle sets, of pairs near it
+all whose ends that forest leaves apart; pairs below are dropped. Where a pair of a forest
+fails, the pairs that it stood for are compared again and verified one by one. Verified edges
+become groups by connected components.
 
 Defined for every input: texts without a word (null, empty, punctuation) are no
 duplicates; texts of one or two words are one shingle; rows with a null id are
@@ -31,6 +34,8 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +53,8 @@ LEAF = 128
 LOCAL = 20_000
 #: Standard deviations of the estimate on either side of the threshold that are verified.
 MARGIN = 3.0
+#: The same, beyond which an estimate is believed: 113 of 128 values, where a pair at the threshold comes with a probability of 4.5e-20: less than one in a crowd of six billion.
+SAFE = 8.6
 #: A child with more than this share of its parent shows a dense node: compare it, don't branch it.
 DENSE = 0.7
 #: Levels branched by Spark before what is left is compared in blocks.
@@ -144,15 +151,44 @@ def _pairs_of(first: np.ndarray, count: np.ndarray):
             yield (block + i).ravel(), (block + j).ravel()
 
 
-def _edges(threshold: float, hashes: int, leaf: int, exhaustive: bool = False):
-    """Rows sorted by node to edges (a, b, sure): the subtree below each node, then comparison.
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number of each one's component."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which edges make up a spanning forest of the greatest weight (Borůvka)."""
+    order = np.argsort(-weight.astype(np.int64), kind="stable")
+    x, y = a[order], b[order]
+    live, label, kept = np.arange(len(x)), np.arange(n), []
+    while True:
+        live = live[label[x[live]] != label[y[live]]]
+        if not len(live):
+            return order[np.concatenate(kept)] if kept else order[:0]
+        best = np.full(n, len(x))
+        np.minimum.at(best, label[x[live]], live)
+        np.minimum.at(best, label[y[live]], live)
+        kept.append(np.unique(best[best < len(x)]))
+        label = _labels(n, label[x[kept[-1]]], label[y[kept[-1]]])[label]
+
 
-    exhaustive: compare every node as it is.
+def _edges(threshold: float, hashes: int, leaf: int, exhaustive: bool = False, every: bool = False):
+    """Rows sorted by node to edges (a, b, rank): the subtree below each node, then comparison.
+
+    rank: 2 is safe, 1 well above the threshold, 0 near it. exhaustive: compare every node as it is.
+    every: all pairs that safe ones don't connect, between rows that are ``open``.
     """
     sd = (threshold * (1 - threshold) / hashes) ** 0.5
-    low, high = (threshold - MARGIN * sd) * hashes, min(1.0, threshold + MARGIN * sd) * hashes
+    low, high, safe = (threshold - MARGIN * sd) * hashes, min(1.0, threshold + MARGIN * sd) * hashes, min(1.0, threshold + SAFE * sd) * hashes
 
-    def solve(node: np.ndarray, ids: np.ndarray, sig: np.ndarray):
+    def solve(node: np.ndarray, ids: np.ndarray, sig: np.ndarray, chosen: np.ndarray):
         unique, who = np.unique(ids, return_inverse=True)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -160,7 +196,7 @@ def _edges(threshold: float, hashes: int, leaf: int, exhaustive: bool = False):
             for k in range(0, len(i), 1 << 16):
                 a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
                 eq = (sig[a] == sig[b]).sum(1)
-                near = eq >= low
+                near = (eq >= low) & chosen[a] & chosen[b]
                 if near.any():
                     found.append((who[a[near]], who[b[near]], eq[near]))
 
@@ -169,7 +205,7 @@ def _edges(threshold: float, hashes: int, leaf: int, exhaustive: bool = False):
             mine = sig[rows]
             for k in range(len(rows) - 1):
                 eq = (mine[k + 1 :] == mine[k]).sum(1)
-                near = np.flatnonzero(eq >= low)
+                near = np.flatnonzero((eq >= low) & chosen[rows[k]] & chosen[rows[k + 1 :]])
                 if len(near):
                     found.append((np.full(len(near), who[rows[k]]), who[rows[k + 1 + near]], eq[near]))
 
@@ -192,23 +228,18 @@ def _edges(threshold: float, hashes: int, leaf: int, exhaustive: bool = False):
         if not found:
             return None
         a, b, eq = (np.concatenate(x) for x in zip(*found))
-        sure = eq >= high
-        label = np.arange(len(unique))
-        while True:
-            before = label.copy()
-            np.minimum.at(label, a[sure], label[b[sure]])
-            np.minimum.at(label, b[sure], label[a[sure]])
-            label = label[label]
-            if (label == before).all():
-                break
-        member = np.flatnonzero(label != np.arange(len(label)))
-        open_ = np.flatnonzero(~sure & (label[a] != label[b]))
+        n = len(unique)
+        strong = np.flatnonzero(eq >= (safe if every else high))
+        tree = strong[_forest(n, a[strong], b[strong], eq[strong])]
+        label = _labels(n, a[tree], b[tree])
+        rank = (eq[tree] >= high).astype(np.int8) + (eq[tree] >= safe)
+        open_ = np.flatnonzero(label[a] != label[b])
         lo, hi = np.minimum(a[open_], b[open_]), np.maximum(a[open_], b[open_])
         pairs = np.unique(lo * len(unique) + hi)
         lo, hi = pairs // len(unique), pairs % len(unique)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[unique[member], unique[hi]]), pa.array(np.r_[unique[label[member]], unique[lo]]), pa.array(np.r_[np.ones(len(member), bool), np.zeros(len(hi), bool)])],
-            ["a", "b", "sure"],
+            [pa.array(np.r_[unique[a[tree]], unique[hi]]), pa.array(np.r_[unique[b[tree]], unique[lo]]), pa.array(np.r_[rank, np.zeros(len(hi), np.int8)])],
+            ["a", "b", "rank"],
         )
 
     def run(batches):
@@ -217,21 +248,21 @@ def _edges(threshold: float, hashes: int, leaf: int, exhaustive: bool = False):
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append((b.column("node").to_numpy(), b.column("doc_id").to_numpy(), _sigs(b.column("sig"), hashes)))
+            held.append((b.column("node").to_numpy(), b.column("doc_id").to_numpy(), _sigs(b.column("sig"), hashes), b.column("open").to_numpy(zero_copy_only=False) if every else np.ones(b.num_rows, bool)))
             rows += b.num_rows
             if rows < 30_000:
                 continue
-            node, ids, sig = (np.concatenate(x) for x in zip(*held))
+            node, ids, sig, chosen = (np.concatenate(x) for x in zip(*held))
             cut = int(np.searchsorted(node, node[-1]))  # the last node may go on
             if cut:
-                if (out := solve(node[:cut].view(np.uint64), ids[:cut], sig[:cut])) is not None:
+                if (out := solve(node[:cut].view(np.uint64), ids[:cut], sig[:cut], chosen[:cut])) is not None:
                     yield out
-                held, rows = [(node[cut:], ids[cut:], sig[cut:])], len(node) - cut
+                held, rows = [(node[cut:], ids[cut:], sig[cut:], chosen[cut:])], len(node) - cut
             else:
-                held = [(node, ids, sig)]
+                held = [(node, ids, sig, chosen)]
         if held:
-            node, ids, sig = (np.concatenate(x) for x in zip(*held))
-            if (out := solve(node.view(np.uint64), ids, sig)) is not None:
+            node, ids, sig, chosen = (np.concatenate(x) for x in zip(*held))
+            if (out := solve(node.view(np.uint64), ids, sig, chosen)) is not None:
                 yield out
 
     return run
@@ -307,10 +338,13 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, s
     keyed = keyed.withColumn("size", F.count("*").over(_by("node"))).filter("size > 1")
     level = runtime.stored(keyed.join(reps.select("doc_id", "sig").dropDuplicates(["doc_id"]), "doc_id").select("node", "doc_id", "sig", "size"), f"{base}/level1")
     found, depth = [], 1
-    edge = "a long, b long, sure boolean"
-    solve = _edges(threshold, hashes, leaf)
+    edge = "a long, b long, rank byte"
+
+    def compared(rows: DataFrame, exhaustive: bool = False, every: bool = False) -> DataFrame:
+        return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_edges(threshold, hashes, leaf, exhaustive, every), edge)
+
     while True:
-        found.append(level.filter(F.col("size") <= local).repartition("node").sortWithinPartitions("node").mapInArrow(solve, edge))
+        found.append((level.filter(F.col("size") <= local), False))
         big = level.filter(F.col("size") > local)
         top = big.agg(F.max("size")).first()[0]
         if top is None:
@@ -322,19 +356,41 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, s
         stuck = (F.col("size") > local) & ((F.col("size") > DENSE * F.col("parent")) | F.lit(depth >= LEVELS))
         dense = level.filter(stuck)
         if (most := dense.agg(F.max("size")).first()[0]) is not None:
-            found.append(_blocks(dense, local // 2, most).repartition("node").sortWithinPartitions("node").mapInArrow(_edges(threshold, hashes, leaf, True), edge))
+            found.append((_blocks(dense, local // 2, most), True))
         level = level.filter(~stuck)
-    edges = found[0]
-    for e in found[1:]:
-        edges = edges.union(e)
-    edges = runtime.stored(edges.distinct(), f"{base}/edges")
+    edges = runtime.stored(reduce(DataFrame.union, [compared(*f) for f in found]).distinct(), f"{base}/edges")
+    of = lambda rank: edges.filter(F.col("rank") == rank).select("a", "b")
+    links = lambda parts: parts.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    parts = runtime.stored(runtime.components(spark, of(2).union(equal)), f"{base}/parts")
+
+    def joined(parts: DataFrame, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """(components with those of the pairs that hold, the pairs that don't)"""
+        near = runtime.stored(_apart(pairs, parts), f"{base}/{name}")
+        if not near.limit(1).count():
+            return parts, near
+        good = runtime.stored(verified(near, docs, threshold, size), f"{base}/{name}-good")
+        return runtime.stored(runtime.components(spark, links(parts).union(good)), f"{base}/{name}-parts"), near.join(good, ["a", "b"], "left_anti")
+
+    safe = parts
+    parts, bad = joined(parts, of(1).distinct(), "strong")
+    bad = runtime.stored(bad, f"{base}/bad")
+    pairs = of(0)
+    if bad.limit(1).count():
+        # whoever a forest with a false edge connected: their pairs were left out on the strength of it
+        forest = runtime.stored(runtime.components(spark, links(safe).union(of(1))), f"{base}/forest")
+        whole = forest.select("node", "root").union(forest.select(F.col("root").alias("node"), "root")).distinct()
+        roots = bad.select(F.col("a").alias("node")).join(whole, "node").select("root").distinct()
+        doubted = runtime.stored(whole.join(roots, "root", "left_semi").select(F.col("node").alias("doc_id"), F.lit(True).alias("open")).distinct(), f"{base}/doubted")
+        few = runtime.sized(doubted, doubted.count())
+        again = []
+        for rows, exhaustive in found:
+            rows = rows.join(few, "doc_id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+            rows = rows.withColumn("_n", F.sum(F.col("open").cast("int")).over(_by("node"))).filter("_n > 1").drop("_n")
+            again.append(compared(rows, exhaustive, True))
+        pairs = pairs.union(reduce(DataFrame.union, again).select("a", "b"))
+    parts, _ = joined(parts, pairs.distinct(), "near")
     for k in range(1, depth + 1):
         runtime.forget(spark, f"{base}/level{k}")
-    parts = runtime.stored(runtime.components(spark, edges.filter("sure").select("a", "b").union(equal)), f"{base}/parts")
-    near = runtime.stored(_apart(edges.filter("NOT sure").select("a", "b"), parts), f"{base}/near")
-    if near.limit(1).count():
-        links = parts.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        parts = runtime.components(spark, links.union(verified(near, docs, threshold, size)))
     return parts.select(F.col("node").alias("doc_id"), F.col("root").alias("dup_of"))
 
 
