@@ -8,9 +8,11 @@ from wordtide.llm import packing
 
 from .helpers import clashing, frame, languages, near_groups, packed
 from .test_pii import brute as sanitised
+from .test_sharding_packing import pieces as pieces_of
+from .test_sharding_packing import token_ids
 
 
-def brute(rows):
+def brute(spark, rows):
     """Packed pieces from rows (doc_id, text, lang, source)."""
     found = languages([r[1:] for r in rows])
     docs = [(r[0], r[1]) for i, r in enumerate(rows) if found[i] != "und"]
@@ -21,18 +23,19 @@ def brute(rows):
     gone = near_groups(docs)
     docs = [(d, t) for d, t in docs if d not in gone]
     texts = sanitised(docs)
+    ids = token_ids(spark, [(d, texts[d]) for d, _ in docs])
     pieces = []
     for d, _ in docs:
-        n = len(texts[d].split())
+        n = len(ids.get(d, ()))
         pieces += [(d, k, k * packing.WINDOW, min(packing.WINDOW, n - k * packing.WINDOW)) for k in range(-(-n // packing.WINDOW))]
     return {(w, d, k, s, n, o) for (d, k, s, n), (w, o) in zip(pieces, packed([p[3] for p in pieces], packing.WINDOW))}, {d for d, _ in docs}
 
 
 def test_small_corpus_matches_brute_force(spark, tmp_path):
-    rows = duckdb.sql("SELECT doc_id, left(text, 1200), lang, source FROM '/root/testdata/sf0.001/documents.parquet' ORDER BY doc_id").fetchall()
+    rows = duckdb.sql("SELECT doc_id, text, lang, source FROM '/root/testdata/sf0.001/documents.parquet' ORDER BY doc_id").fetchall()
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {tuple(x) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    want, ids = brute(rows)
+    got = pieces_of(corpus_pipeline.run(spark, str(tmp_path)).collect())
+    want, ids = brute(spark, rows)
     assert {x[1] for x in got} == ids
     assert got == want
 
@@ -42,8 +45,9 @@ def test_edges(spark, tmp_path):
     rows = base + [base[0], (None, base[1][1], "en", "s"), (900, None, None, None), (901, "", "en", "s"), (902, base[2][1], None, None)]
     clashing(frame(spark, rows)).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    ids = {x["doc_id"] for x in got}
-    assert ids and ids <= {r[0] for r in base} and len({(x["doc_id"], x["piece"]) for x in got}) == len(got)
+    inside = pieces_of(got)
+    ids = {x[1] for x in inside}
+    assert ids and ids <= {r[0] for r in base} and len({x[1:3] for x in inside}) == sum(len(x["pieces"]) for x in got)
     frame(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
 

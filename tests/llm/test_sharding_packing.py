@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from wordtide.llm import packing, sharding
+from wordtide.llm import bpe, packing, sharding
 
 from .helpers import clashing, frame, packed
 
@@ -54,36 +54,57 @@ def test_sharding_edges(spark):
     assert sharding.shard(spark, frame(spark, [])).count() == 0
 
 
+def pieces(rows):
+    return {(x["window"], *p) for x in rows for p in zip(x["doc_ids"], x["pieces"], x["starts"], x["lengths"], x["offsets"])}
+
+
+def token_ids(spark, docs):
+    """{doc_id: ids} of the encoder, null texts left out."""
+    return {x["doc_id"]: x["ids"] for x in bpe.encode(spark, frame(spark, docs)).collect() if x["ids"]}
+
+
 def test_packing_matches_brute_force(spark):
     r = random.Random(4)
-    docs = [(i, "t " * r.choice((1, 3, 5, 8, 13, 40, 90))) for i in range(300)]
-    got = packing.pack(spark, frame(spark, docs), window=32, lane=100).collect()
-    lanes = {x["doc_id"]: x["n"] for x in frame(spark, docs).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("n")).collect()}
+    docs = [(i, "the " * r.choice((1, 3, 5, 8, 13, 40, 90)) + r.choice("xyz")) for i in range(300)]
+    rows = packing.pack(spark, frame(spark, docs), window=32, lane=100).collect()
+    ids = token_ids(spark, docs)
+    lanes = {x["doc_id"]: x["n"] for x in frame(spark, docs).select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(3)).alias("n")).collect()}
     want = set()
     for lane in range(3):
-        pieces = []
-        for d, t in docs:
-            n = len(t.split())
+        parts = []
+        for d, _ in docs:
+            n = len(ids[d])
             if lanes[d] == lane:
-                pieces += [(d, k, k * 32, min(32, n - k * 32)) for k in range(-(-n // 32))]
-        for (d, k, start, size), (w, offset) in zip(pieces, packed([p[3] for p in pieces], 32)):
+                parts += [(d, k, k * 32, min(32, n - k * 32)) for k in range(-(-n // 32))]
+        for (d, k, start, size), (w, offset) in zip(parts, packed([p[3] for p in parts], 32)):
             want.add(((lane << 32) + w, d, k, start, size, offset))
-    assert {tuple(x) for x in got} == want
+    assert pieces(rows) == want
+    for x in rows:
+        assert x["ids"] == [i for d, s, n in zip(x["doc_ids"], x["starts"], x["lengths"]) for i in ids[d][s : s + n]]
+    assert len({x["window"] for x in rows}) == len(rows)
+
+
+def test_every_token_is_in_one_window(spark):
+    docs = [tuple(x) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    ids = token_ids(spark, docs)
+    rows = packing.pack(spark, frame(spark, docs)).collect()
+    back = defaultdict(dict)
+    for x in rows:
+        assert len(x["ids"]) == sum(x["lengths"]) <= packing.WINDOW
+        for d, s, n, o in zip(x["doc_ids"], x["starts"], x["lengths"], x["offsets"]):
+            back[d][s] = x["ids"][o : o + n]
+    assert {d: [i for s in sorted(parts) for i in parts[s]] for d, parts in back.items()} == ids
+    by_lanes = packing.pack(spark, frame(spark, docs), lanes=7).collect()
+    assert {x["window"] >> 32 for x in by_lanes} == set(range(7)) and sum(len(x["ids"]) for x in by_lanes) == sum(map(len, ids.values()))
 
 
 def test_packing_invariants_and_edges(spark):
-    rows = [(1, None), (2, ""), (3, " \n "), (4, "a b"), (4, "a b"), (None, "a"), (5, "w " * 10_000), (6, "w " * 2048)]
+    rows = [(1, None), (2, ""), (3, " \n "), (4, "a b"), (4, "a b"), (None, "a"), (5, " w" * 10_000), (6, " w" * 2048)]
     got = packing.pack(spark, clashing(frame(spark, rows))).collect()
-    used = defaultdict(list)
     for x in got:
-        used[x["window"]].append((x["offset"], x["offset"] + x["length"]))
-    for spans in used.values():
-        spans.sort()
-        assert spans[0][0] == 0 and spans[-1][1] <= 2048 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+        assert x["offsets"][0] == 0 and all(o + n == p for o, n, p in zip(x["offsets"], x["lengths"], [*x["offsets"][1:], len(x["ids"])])) and len(x["ids"]) <= 2048
     total = defaultdict(int)
-    for x in got:
-        total[x["doc_id"]] += x["length"]
-    assert dict(total) == {4: 4, 5: 10_000, 6: 2048}
+    for _, d, _, _, n, _ in pieces(got):
+        total[d] += n
+    assert dict(total) == {3: len(token_ids(spark, rows[2:3])[3]), 4: 4, 5: 10_000, 6: 2048}
     assert packing.pack(spark, frame(spark, [])).count() == 0
-    sized = frame(spark, [(1, "x"), (2, "y"), (3, "z")]).withColumn("n", F.when(F.col("doc_id") == 1, 5).when(F.col("doc_id") == 2, -1))
-    assert [(x["doc_id"], x["length"]) for x in packing.pack(spark, sized, length="n").collect()] == [(1, 5)]

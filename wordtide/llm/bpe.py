@@ -9,8 +9,10 @@ undoing the merges along the border decides. The back-pointers, followed from
 the end, give the ids that merging pairs by rank would give, in time linear in
 the length of the piece.
 
-Texts are cut into pieces by the tokenizer's own pattern; the encodings of pieces
-are kept in a cache of CACHE entries in each task.
+Texts are cut into pieces by the tokenizer's own pattern. A single space between two
+characters that are none begins a piece, so a text is first cut there, and what lies
+between is cut by the pattern only if it is new: the encodings of words and of pieces of at most LONGEST
+characters are kept, in two generations of CACHE entries in each worker.
 
 Defined for every input: a null text has null ids; an empty text has none; a
 text is encoded whole, however long; text that is not in the vocabulary's
@@ -31,9 +33,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from . import textkit
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 1 << 20
+CACHE = 1 << 18
+LONGEST = 32
 
 SCHEMA = "doc_id long, ids array<int>, tokens long, exact boolean"
 
@@ -63,8 +68,11 @@ class Encoder:
             if len(t) == 1 or self.left[k] != k:
                 self.automaton.add_word(t.decode("latin-1"), (len(t), k))
         self.automaton.make_automaton()
-        self.fits = lru_cache(1 << 20)(self._fits)
-        self.pieces = _Pieces(self)
+        self.fits = lru_cache(CACHE)(self._fits)
+        self.pieces = _Cache(self._piece)
+        self.spaced = pattern == PATTERN
+        self.heads, self.words = _Cache(lambda w: self._word(w, w)), _Cache(lambda w: self._word(w, f" {w}"))
+        self.names = np.array([*tokens, None], object)[:-1]
 
     def _halves(self, token: bytes, below: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``: what merges of lower rank leave of it."""
@@ -104,40 +112,64 @@ class Encoder:
         if (whole := self.rank.get(piece)) is not None and (len(piece) == 1 or self.left[whole] != whole):
             return [whole]
         n = len(piece)
-        last, start = [-1] * (n + 1), [0] * (n + 1)
+        last, start = [-1] * n, [-1] * n
         fits = self.fits
-        # matches come by their ends, the longest first; last[0] is -1 and goes before any token
+        # matches come by their ends, the longest first; before the beginning, at -1, any token fits
         for end, (length, token) in self.automaton.iter(piece.decode("latin-1")):
-            end += 1
             if last[end] < 0:
                 before = end - length
-                if not before or fits(last[before], token):
+                if before < 0 or fits(last[before], token):
                     last[end], start[end] = token, before
         out = []
-        while n:
+        n -= 1
+        while n >= 0:
             out.append(last[n])
             n = start[n]
         return out[::-1]
 
+    def _piece(self, piece: str) -> bytes:
+        return array("i", self.encode_piece(piece.encode())).tobytes()
+
+    def _word(self, word: str, text: str) -> bytes:
+        if word and (word[-1].isspace() or text[0] == " " and word[0].isspace()) or not word and text:
+            raise _Loose
+        pieces = self.find(text)
+        return self._piece(text) if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as 32-bit numbers in a row."""
+        if self.spaced:
+            first, *rest = text.split(" ")
+            try:
+                return self.heads[first] + b"".join(map(self.words.__getitem__, rest))
+            except _Loose:
+                pass
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray | list[int]) -> bytes:
+        return b"".join(self.names[np.asarray(ids, np.int64)].tolist())
 
 
-class _Pieces(dict):
-    """Encodings of pieces; emptied when it is full, so its size is bounded and its answers aren't affected."""
+class _Loose(Exception):
+    """White space that is not one space between two other characters: the pattern must see the whole text."""
 
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self[piece] = array("i", self.encoder.encode_piece(piece.encode())).tobytes()
+class _Cache(dict):
+    """What ``make`` gave for short keys; a full generation replaces the one before, so the size is bounded."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[key] = ids
         return ids
 
 
@@ -153,21 +185,24 @@ def _encoder(tokens: list[bytes], pattern: str) -> Encoder:
     return _made[key]
 
 
+def coder(shared, pattern: str) -> Encoder:
+    """The encoder of a broadcast vocabulary, in a task."""
+    return _encoder(shared.value, pattern)
+
+
 def _encode(shared, pattern: str):
     def run(batches):
-        encoder = _encoder(shared.value, pattern)
-        for b in batches:
-            # a few rows at a time: ids and decoded bytes of a whole batch would weigh many times its text
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                texts = part.column("text").to_pylist()
-                coded = [None if t is None else encoder.encode(t) for t in texts]
-                sizes = np.array([0 if c is None else len(c) // 4 for c in coded], np.int64)
-                flat = np.frombuffer(b"".join(c for c in coded if c), np.int32)
-                exact = [None if t is None else encoder.decode(np.frombuffer(c, np.int32).tolist()) == t.encode() for t, c in zip(texts, coded)]
-                missing = np.array([t is None for t in texts], bool)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat), mask=pa.array(missing))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), lists, pa.array(sizes, mask=missing), pa.array(exact, pa.bool_())], ["doc_id", "ids", "tokens", "exact"])
+        encoder = coder(shared, pattern)
+        # a slice at a time: ids and decoded bytes of a whole batch would weigh many times its text
+        for part in textkit.sliced(batches):
+            texts = part.column("text").to_pylist()
+            coded = [None if t is None else encoder.encode(t) for t in texts]
+            sizes = np.array([0 if c is None else len(c) // 4 for c in coded], np.int64)
+            flat = np.frombuffer(b"".join(c for c in coded if c), np.int32)
+            exact = [None if t is None else encoder.decode(np.frombuffer(c, np.int32)) == t.encode() for t, c in zip(texts, coded)]
+            missing = np.array([t is None for t in texts], bool)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat), mask=pa.array(missing))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), lists, pa.array(sizes, mask=missing), pa.array(exact, pa.bool_())], ["doc_id", "ids", "tokens", "exact"])
 
     return run
 

@@ -114,7 +114,7 @@ def _score(model: np.ndarray):
     languages = len(model)
 
     def run(batches):
-        for b in batches:
+        for b in textkit.sliced(batches):
             data, off = textkit.column(b.column("text"), lower=True)
             n = b.num_rows
             grams, sums = np.zeros(n, np.int64), np.zeros((n, languages))

@@ -69,7 +69,7 @@ def _signatures(size: int, hashes: int, trees: int, threshold: float):
     roots = textkit.mix(np.arange(1, trees + 1, dtype=np.uint64))
 
     def run(batches):
-        for b in batches:
+        for b in textkit.sliced(batches):
             data, off = textkit.column(b.column("text"), lower=True)
             ids = b.column("doc_id")
             for lo, hi in textkit.chunks(off):
@@ -270,7 +270,7 @@ def _edges(threshold: float, hashes: int, leaf: int, exhaustive: bool = False, e
 
 def _sets(size: int):
     def run(batches):
-        for b in batches:
+        for b in textkit.sliced(batches):
             data, off = textkit.column(b.column("text"), lower=True)
             for lo, hi in textkit.chunks(off):
                 h, row = textkit.shingles(textkit.words(data, off, lo, hi), size)

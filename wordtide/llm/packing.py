@@ -7,17 +7,18 @@ algorithm for bin packing", 2006). A level array holds those numbers, a queue
 for each level the windows themselves; of the windows at a level the oldest is
 taken, of tied levels the fullest.
 
-The corpus is cut into lanes by a hash of the id, about LANE documents in
-each, that are packed side by side, each in the order of its ids. A document longer
-than a window fills whole windows of its own; what is left of it is placed
+The corpus is cut into lanes by a hash of the id and the text, of about LANE documents
+each unless their number is given; lanes are packed side by side, each in the order of its ids. A
+document longer than a window fills whole windows of its own; what is left of it is placed
 like any other document.
 
-Lengths are numbers of white-space separated tokens, or those of a column.
+Documents are measured and packed in tokens of the byte-pair encoder: every window comes
+with its token ids, and with what lies where in it. The ids are made before the lanes are
+formed and travel once; a lane's task holds only the windows that are still open.
 
-Defined for every input: a null or empty text (or a length that is null or
-below one) takes no place and has no row; rows with a null id have none either;
-repeated rows are packed as often as they occur; ties are settled as said;
-an empty table gives no rows; other columns are ignored.
+Defined for every input: a null or empty text takes no place; rows with a null id have none
+either; repeated rows are packed as often as they occur; documents of one id come by length, then by
+ids; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +27,19 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, runtime, textkit
+
 WINDOW = 2048
 LANE = 20_000
 
-SCHEMA = "window long, doc_id long, piece int, start long, length int, offset int"
+SCHEMA = "window long, doc_ids array<long>, pieces array<int>, starts array<long>, lengths array<int>, offsets array<int>, ids array<int>"
+_CODED = "doc_id long, tokens long, coded binary, lane long"
+#: Token ids that leave a lane's task at once.
+_FLUSH = 1 << 18
 
 
 class Packer:
@@ -71,36 +78,79 @@ class Packer:
         return window, level
 
 
+def _lists(values: list[list], kind: pa.DataType) -> pa.ListArray:
+    ends = np.r_[0, np.cumsum([len(v) for v in values])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array([x for v in values for x in v], kind))
+
+
+def _windows(rows: list[tuple[int, list[tuple]]]) -> pa.RecordBatch:
+    """Finished windows: their numbers, and (doc_id, piece, start, ids) of what is in them, in order."""
+    parts = [[(d, p, s, len(x) // 4, x) for d, p, s, x in inside] for _, inside in rows]
+    offsets = [(np.cumsum([0, *(x[3] for x in inside)])[:-1]).tolist() for inside in parts]
+    ids = np.frombuffer(b"".join(x[4] for inside in parts for x in inside), np.int32)
+    ends = np.r_[0, np.cumsum([sum(x[3] for x in inside) for inside in parts])].astype(np.int32)
+    columns = [pa.array([w for w, _ in rows], pa.int64())]
+    columns += [_lists([[x[k] for x in inside] for inside in parts], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32()))]
+    columns += [_lists(offsets, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
+    return pa.RecordBatch.from_arrays(columns, ["window", "doc_ids", "pieces", "starts", "lengths", "offsets", "ids"])
+
+
 def _pack(window: int):
+    """Rows sorted by lane to windows; a window leaves as soon as it is full, the others at the end of their lane."""
+
     def run(batches):
-        at, packer = None, None
+        at, packer, open_ = None, None, {}
+        done: list[tuple] = []
+        held = 0
         for b in batches:
-            rows = []
-            for lane, doc, size in zip(b.column("lane").to_pylist(), b.column("doc_id").to_pylist(), b.column("tokens").to_pylist()):
+            for lane, doc, coded in zip(b.column("lane").to_pylist(), b.column("doc_id").to_pylist(), b.column("coded")):
                 if lane != at:
-                    at, packer = lane, Packer(window)
-                piece = start = 0
-                while start < size:
+                    done += sorted(open_.items())
+                    at, packer, open_ = lane, Packer(window), {}
+                coded = coded.as_buffer()
+                size = coded.size // 4
+                for piece, start in enumerate(range(0, size, window)):
                     length = min(window, size - start)
-                    where, offset = packer.place(length)
-                    rows.append(((lane << 32) + where, doc, piece, start, length, offset))
-                    piece, start = piece + 1, start + length
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["window", "doc_id", "piece", "start", "length", "offset"])
+                    number, offset = packer.place(length)
+                    number += lane << 32
+                    inside = open_.setdefault(number, [])
+                    inside.append((doc, piece, start, coded.slice(4 * start, 4 * length).to_pybytes()))
+                    if offset + length == window:
+                        done.append((number, open_.pop(number)))
+                        held += window
+                if held >= _FLUSH:
+                    yield _windows(done)
+                    done, held = [], 0
+        done += sorted(open_.items())
+        for k in range(0, len(done), 256):
+            yield _windows(done[k : k + 256])
 
     return run
 
 
-def lanes(docs: int, lane: int = LANE) -> int:
-    return max(1, -(-docs // lane))
+def _code(shared, pattern: str, lanes: int):
+    """(doc_id, tokens, coded, lane): the ids of every text that has any, as 32-bit numbers in a row."""
+
+    def run(batches):
+        encoder = bpe.coder(shared, pattern)
+        for b in textkit.sliced(batches):
+            coded = [encoder.encode(t) for t in b.column("text").to_pylist()]
+            lane = [mark % lanes for mark in b.column("mark").to_pylist()]
+            b = pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array(coded, pa.binary()), pa.array(lane, pa.int64())], ["doc_id", "tokens", "coded", "lane"])
+            yield b.filter(pc.greater(b.column("tokens"), 0))
+
+    return run
+
 
+def pack(spark: SparkSession, docs: DataFrame, window: int = WINDOW, lane: int = LANE, lanes: int | None = None, tokenizer: str = bpe.TOKENIZER, pattern: str = bpe.PATTERN) -> DataFrame:
+    """Every window: its number, what lies in it, and its token ids.
 
-def pack(spark: SparkSession, docs: DataFrame, window: int = WINDOW, lane: int = LANE, length: str | None = None) -> DataFrame:
-    """(window, doc_id, piece, start, length, offset): where every piece of every document lies."""
-    tokens = F.col(length).cast("long") if length else F.regexp_count(F.col("text").cast("string"), F.lit(r"\S+")).cast("long")
-    n = docs.select(F.count("*")).first()[0]
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens.alias("tokens")).filter("doc_id IS NOT NULL AND tokens > 0")
-    count = lanes(n, lane)
-    sizes = sizes.withColumn("lane", F.pmod(F.xxhash64("doc_id"), F.lit(count)))
-    return sizes.repartition(count, "lane").sortWithinPartitions("lane", "doc_id", "tokens").mapInArrow(_pack(window), SCHEMA)
+    doc_ids, pieces, starts, lengths and offsets run side by side: which piece of which document, from which of
+    the document's tokens on, how many, and where in ``ids`` they begin.
+    """
+    texts = runtime.cast_ids(docs).filter("text IS NOT NULL AND text <> ''")
+    if lanes is None:
+        lanes = max(1, -(-texts.count() // lane))
+    shared = spark.sparkContext.broadcast(bpe.load(tokenizer))
+    coded = texts.withColumn("mark", F.xxhash64("doc_id", "text")).mapInArrow(_code(shared, pattern, lanes), _CODED)
+    return coded.repartition(lanes, "lane").sortWithinPartitions("lane", "doc_id", "tokens", "coded").mapInArrow(_pack(window), SCHEMA)

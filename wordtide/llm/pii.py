@@ -147,7 +147,7 @@ def _count_terms(wanted):
 
     def run(batches):
         only = None if wanted is None else wanted.value
-        for b in batches:
+        for b in textkit.sliced(batches):
             data, off = textkit.column(b.column("text"), lower=True)
             for lo, hi in textkit.chunks(off):
                 w = textkit.words(data, off, lo, hi)

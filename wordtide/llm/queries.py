@@ -40,7 +40,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where every piece of every document lies in the training windows."""
+    """Every training window: its token ids, and which piece of which document lies where in it."""
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
 

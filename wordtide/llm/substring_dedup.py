@@ -107,7 +107,7 @@ def _fingerprints(words: int, gram: int):
     neighbours = words - gram + 1
 
     def run(batches):
-        for b in batches:
+        for b in textkit.sliced(batches):
             data, off = textkit.column(b.column("text"), lower=True)
             ids = b.column("doc_id").to_numpy()
             for lo, hi in textkit.chunks(off):
@@ -252,7 +252,7 @@ def _slices(gram: int, margin: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SLICE_TYPES)], _SLICE_NAMES)
 
     def run(batches):
-        for b in batches:
+        for b in textkit.sliced(batches):
             data, off = textkit.column(b.column("text"), lower=True)
             plain, plain_off = textkit.column(b.column("text"))
             ids = b.column("doc_id").to_pylist()
@@ -371,7 +371,7 @@ def _whole_windows(words: int):
     """(one, two, doc_id, pos): 128 bits of every asked window of ``words`` words of a text."""
 
     def run(batches):
-        for b in batches:
+        for b in textkit.sliced(batches):
             data, off = textkit.column(b.column("text"), lower=True)
             ids = b.column("doc_id").to_numpy()
             for k, asked in enumerate(b.column("asked").to_pylist()):

@@ -6,7 +6,7 @@ numpy passes; no Python object is made for a word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,13 +35,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for k, b in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+    """The first n powers of the base and of its inverse; a worker keeps no more than a chunk needs."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    made = []
+    for b in (_BASE, _INVERSE):
+        p = np.full(max(n, CHUNK_BYTES + 1), b, np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    if n <= CHUNK_BYTES + 1:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
+
+
+def sliced(batches: Iterable[pa.RecordBatch], name: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``limit`` bytes of text, or of one row: what is made of a text weighs many times as much."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(name)), 0)
+        off = np.r_[0, np.cumsum(size.to_numpy(zero_copy_only=False), dtype=np.int64)]
+        for lo, hi in chunks(off, limit):
+            yield b.slice(lo, hi - lo)
 
 
 def column(array: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -89,11 +102,27 @@ def words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> Words:
     first[edges] = inside[edges]
     last[edges - 1] = inside[edges - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    p, q = powers(len(d) + 1)
-    prefix = np.zeros(len(d) + 1, np.uint64)
-    np.cumsum((d.astype(np.uint64) + np.uint64(1)) * p[: len(d)], out=prefix[1:])
-    h = mix((prefix[end] - prefix[start]) * q[start])
-    return Words(d, start, end, np.searchsorted(off, start, "right") - 1 + lo, h)
+    return Words(d, start, end, np.searchsorted(off, start, "right") - 1 + lo, mix(_polynomials(d, start, end)))
+
+
+def _polynomials(d: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The sum of (byte + 1) * base^i over every word, block by block; a word may reach over several."""
+    h = np.zeros(len(start), np.uint64)
+    for at in range(0, len(d), CHUNK_BYTES):
+        block = d[at : at + CHUNK_BYTES]
+        n = len(block)
+        p, q = powers(n + 1)
+        prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum((block.astype(np.uint64) + np.uint64(1)) * p[:n], out=prefix[1:])
+        lo, hi = np.searchsorted(end, at, "right"), np.searchsorted(start, at + n)
+        if lo == hi:
+            continue
+        a, z = np.maximum(start[lo:hi] - at, 0), np.minimum(end[lo:hi] - at, n)
+        part = (prefix[z] - prefix[a]) * q[a]
+        if start[lo] < at:
+            part[:1] *= np.array([pow(_BASE, int(at - start[lo]), 1 << 64)], np.uint64)
+        h[lo:hi] += part
+    return h
 
 
 _SHINGLE = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
