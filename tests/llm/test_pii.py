@@ -1,9 +1,15 @@
 import math
+import random
 import re
+import string
+import time
 import unicodedata
 from collections import defaultdict
 
-from wordtide.llm import pii
+import numpy as np
+import pytest
+
+from wordtide.llm import pii, runtime
 
 from .helpers import clashing, frame
 
@@ -31,38 +37,38 @@ def test_every_entity_is_suspect(spark):
     texts += ["-".join((d * 3, d * 2, d * 4)) for d in digits]
     docs = [(i, f"see {t} here") for i, t in enumerate(texts)]
     assert all(pii.entities(t) for _, t in docs)
-    got = {r["doc_id"]: r for r in pii.sanitise(spark, frame(spark, docs), "found", "cut").collect()}
+    got = {r["doc_id"]: r for r in pii.sanitise(spark, frame(spark, docs), "found", "cut", generalise=2.0, remove=2.0).collect()}  # entities alone
     assert [t for d, t in docs if not got[d]["found"] or got[d]["text"] != pii.sanitise_text(t)[0]] == []
 
 
 def brute(docs):
-    """Sanitised texts from the formulas, in plain loops."""
+    """{doc_id: sanitised text} from the formulas, in plain loops."""
     word = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]+")
-    n = len({d for d, t in docs if t is not None})
-    ne, net, ctx, nt = defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
-    term = lambda w: len(w.encode()) >= 3 and not re.search(r"\d", w)
-    for d, t in docs:
-        if t is None:
-            continue
+    texts = {t for _, t in docs if t is not None}
+    n = len(texts)
+    ne, net, nt = defaultdict(int), defaultdict(set), defaultdict(int)
+    term = lambda w: len(w.encode()) >= 3
+    for t in texts:
         spans = list(word.finditer(t))
         found = pii.entities(t)
-        for w in spans:
-            nt[w.group().lower()].add(d)
+        for w in {w.group().lower() for w in spans}:
+            nt[w] += 1
+        for key in {f[2:] for f in found}:
+            ne[key] += 1
+        if not found:
+            continue
         inside = {k for k, w in enumerate(spans) for s, e, _, _ in found if w.start() < e and s < w.end()}
-        for s, e, kind, value in found:
+        for s, e, *key in found:
             mine = [k for k, w in enumerate(spans) if w.start() < e and s < w.end()]
             lo, hi = (mine[0], mine[-1] + 1)
-            near = [k for k in [*range(max(0, lo - 10), lo), *range(hi, min(len(spans), hi + 10))] if k not in inside and term(spans[k].group())]
-            key, context = (kind, value), tuple(spans[k].group().lower() for k in near)
-            ne[key].add(d)
-            for k in near:
-                w = spans[k].group().lower()
-                net[key, w].add(d)
-                ctx[key, w].add(context)
+            for k in [*range(max(0, lo - 10), lo), *range(hi, min(len(spans), hi + 10))]:
+                if k not in inside and term(spans[k].group()):
+                    net[tuple(key), spans[k].group().lower()].add(t)
     share = {}
-    for (key, w), ds in net.items():
-        if len(ctx[key, w]) >= pii.SUPPORT and len(ne[key]) < n:
-            share[key, w] = math.log2(n * len(ds) / (len(ne[key]) * len(nt[w]))) / math.log2(n / len(ne[key]))
+    for (key, w), ts in net.items():
+        p = ne[key] / n
+        if p < 1:
+            share[key, w] = round(math.log2((len(ts) + pii.BACK_OFF * p) / (nt[w] + pii.BACK_OFF) / p) / -math.log2(p), 9)
     out = {}
     for d, t in docs:
         if t is None:
@@ -71,7 +77,7 @@ def brute(docs):
         found = pii.entities(t)
         cuts = [(s, e, f"[{kind}]") for s, e, kind, _ in found]
         keys = {(kind, value) for _, _, kind, value in found}
-        for w in word.finditer(t):
+        for w in word.finditer(t) if found else ():
             level = max([share.get((k, w.group().lower()), 0) for k in keys], default=0)
             if level >= pii.GENERALISE and term(w.group()) and not any(s < w.end() and w.start() < e for s, e, _ in cuts[: len(found)]):
                 cuts.append((w.start(), w.end(), "" if level >= pii.REMOVE else "[TERM]"))
@@ -82,20 +88,88 @@ def brute(docs):
     return out
 
 
-def test_matches_brute_force(spark):
+def corpus():
     filler = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
     docs = []
     for i in range(6):
         docs.append((i, f"Report {filler[i]} about Zorblatt Industries {filler[i + 1]} mail joe@zorb.example.com from {filler[i + 2]}"))
-    for i in range(6, 60):
-        docs.append((i, f"the {filler[i % 10]} and {filler[i * 7 % 10]} went Über about" + (" Industries" if i in (9, 11, 13) else "") + (f" call +1 (743) 555-38{i} now" if i % 9 == 0 else "")))
+    docs += [(6, f"{filler[0]} and {filler[1]} of Quibblesnatch has number 55812 and writes from solo@one.example.org"), (7, docs[0][1]), (None, docs[1][1])]
+    for i in range(10, 400):
+        docs.append((i, f"the {filler[i % 10]} and {filler[i * 7 % 10]} went Über about n{i}" + (" Industries" if i in (19, 21, 23) else "") + (f" call +1 (743) 555-3{i} now" if i % 9 == 0 else "")))
+    return docs
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_matches_brute_force(spark, monkeypatch, wide):
+    if wide:  # what is broadcast otherwise is joined by shuffle
+        monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
+    docs = corpus()
     got = {r["doc_id"]: r["text"] for r in pii.sanitise(spark, frame(spark, docs)).collect()}
     assert got == brute(docs)
-    assert "Zorblatt" not in got[0] and "[EMAIL]" in got[0] and "[TERM]" in got[0]
+    assert "Zorblatt" not in got[0] and "[EMAIL]" in got[0] and got[7] == got[0] and got[None] == got[1]
+    assert "Quibblesnatch" not in got[6] and "55812" not in got[6] and "and" in got[6]
+    assert any("[TERM]" in t for t in got.values())
     clean = [d for d, t in docs if not pii.entities(t)]
     assert all(got[d] == dict(docs)[d] for d in clean)
 
 
+def test_terms_of_the_small_tables(spark):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    done = pii.sanitise(spark, frame(spark, docs)).collect()
+    assert {r["doc_id"]: r["text"] for r in done} == brute(docs)
+    assert sum(r["_removed"] for r in done) > 0
+
+
+def test_generated_entities(spark):
+    """Values made up kind by kind; where they stand is known from the making, not from the finder."""
+    r = random.Random(8)
+    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
+
+    def card():
+        body = "4" + pick(dig, 14)
+        total = sum(int(c) if k % 2 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(body))
+        whole = body + str(-total % 10)
+        return r.choice((whole, " ".join(whole[k : k + 4] for k in range(0, 16, 4))))
+
+    def account():
+        body = pick(dig, 18)
+        check = 98 - int(body + "131400") % 97
+        return f"DE{check:02d}{body}"
+
+    makers = {
+        "KEY": [lambda: "AKIA" + pick(up + dig, 16), lambda: "ghp_" + pick(low + up + dig, 36), lambda: "xoxb-" + pick(low + dig, 24), lambda: "sk-" + pick(low + up, 32), lambda: f"eyJ{pick(low, 20)}.{pick(low + up, 30)}.{pick(low + dig, 30)}", lambda: f"-----BEGIN RSA PRIVATE KEY-----\n{pick(low + up + dig, 64)}\n-----END RSA PRIVATE KEY-----"],
+        "EMAIL": [lambda: f"{pick(low, 5)}.{pick(low, 6)}@{pick(low, 7)}.example.{r.choice(('com', 'org'))}"],
+        "IP": [lambda: ".".join(str(r.randrange(256)) for _ in range(4))],
+        "SSN": [lambda: f"{pick(dig, 3)}-{pick(dig, 2)}-{pick(dig, 4)}"],
+        "PHONE": [lambda: f"+{r.randint(1, 99)} ({pick(dig, 3)}) {pick(dig, 3)}-{pick(dig, 4)}", lambda: f"({pick(dig, 3)}) {pick(dig, 3)}-{pick(dig, 4)}"],
+        "CARD": [card],
+        "ACCOUNT": [account],
+    }
+    docs, want = [], {}
+    for kind, made in makers.items():
+        for make in made:
+            for _ in range(25):
+                d = len(docs)
+                docs.append((d, f"they wrote to {make()} on that day"))
+                want[d] = f"they wrote to [{kind}] on that day"
+    for w in ("password", "api_key", "token") * 25:
+        d = len(docs)
+        docs.append((d, f"the {w} = {pick(low + dig, 14)} is set"))
+        want[d] = f"the {w} = [SECRET] is set"
+    assert {r["doc_id"]: r["text"] for r in pii.sanitise(spark, frame(spark, docs)).collect()} == want
+
+
+def test_long_text_with_many_entities():
+    """A megabyte in which every second word is an entity and every other one a term to replace."""
+    text = " ".join(f"name{k} user{k}@host.example.com" for k in range(28_000))
+    hashes = pii._terms(" ".join(f"name{k}" for k in range(28_000)))[1].hash.view(np.int64)
+    began = time.process_time()
+    new, entities, terms = pii.sanitise_text(text, hashes[:14_000], hashes[14_000:])
+    assert time.process_time() - began < 5
+    assert entities == terms == 28_000 and new == " ".join(f"{'' if k < 14_000 else '[TERM]'} [EMAIL]" for k in range(28_000))
+
+
 def test_edges(spark):
     long = "word " * 200_000 + "me@x.example.org"
     rows = [(1, None), (2, ""), (3, "a@b.example.com"), (3, "a@b.example.com"), (None, "c@d.example.com hello"), (4, long), (5, f"{CARD} über")]

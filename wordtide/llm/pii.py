@@ -3,25 +3,32 @@
 Protected entities (addresses, telephone and card numbers, keys, passwords, ...) are
 found by patterns, card and account numbers also by their check digits, and
 always generalised to their kind. What else gives an entity away is estimated
-from the corpus (after Sánchez and Batet, "C-sanitized", 2016): with n(x) the number of
-documents that hold x and n(e, t) of those in which term t stands within CONTEXT
-words of entity e,
+from the corpus (after Sánchez and Batet, "C-sanitized", 2016): with N the number of different
+texts, n(x) the number of those that hold x, and n(e, t) of those in which term t stands within
+CONTEXT words of entity e,
 
-    PMI(e; t) = log2(N n(e, t) / (n(e) n(t)))    IC(e) = log2(N / n(e))
+    PMI(e; t) = log2(p(e | t) / p(e))    IC(e) = -log2(p(e))    p(e) = n(e) / N
 
-and PMI / IC is the share of e's information that t discloses. In documents with e,
-terms that disclose REMOVE of it are taken out and those that disclose GENERALISE are
-replaced by ``[TERM]``. SUPPORT different contexts must agree, so that copies of
-one text prove nothing about its words.
+and PMI / IC is the share of e's information that t discloses. One meeting of two rare
+words proves little, so the estimate falls back on that of any term,
 
-All counts cover all documents. Terms that reach the support are counted over
+    p(e | t) = (n(e, t) + BACK_OFF p(e)) / (n(t) + BACK_OFF)
+
+which is the more so the fewer texts hold t. In texts with e, terms that disclose REMOVE of it are taken
+out and those that disclose GENERALISE are replaced by ``[TERM]``, wherever they stand. An entity in a
+single document counts like any other: words that stand by it alone are what names its owner.
+
+All counts cover all documents; copies of a text are one text, each row of m copies counting
+1 / m. Terms that stand near entities are counted over
 the whole corpus: with their hashes sent to the tasks where those are few
-enough for a broadcast, else by a join.
+enough for a broadcast, else by a join. Context is a number of words and not the document, so that the
+pairs of a text grow with its length and not with the square of it.
 
 Defined for every input: a null text stays null; an empty one stays empty; texts
-without an entity are returned unchanged, byte for byte; a row with a null id
-is sanitised for its entities, counts as no document, and its terms stay; repeated rows are one document in
-all counts and stay as often as they occur; long texts are processed whole; an empty table
+without an entity are returned unchanged, byte for byte; ids play no part, so rows with a null
+id or with another's are sanitised like the rest; repeated rows are one text in
+all counts and stay as often as they occur; an entity that every text holds has no information
+to disclose; long texts are processed whole; an empty table
 gives no rows; other columns stay.
 """
 
@@ -38,7 +45,7 @@ from pyspark.sql import functions as F
 from . import runtime, textkit
 
 CONTEXT = 10
-SUPPORT = 3
+BACK_OFF = 1.0
 GENERALISE = 0.75
 REMOVE = 0.9
 
@@ -106,49 +113,61 @@ def _terms(text: str) -> tuple[textkit.Words, textkit.Words]:
 
 
 def _is_term(w: textkit.Words) -> np.ndarray:
-    """At least three bytes long and without a digit."""
-    digit = np.r_[0, np.cumsum((w.data >= 48) & (w.data <= 57))]
-    return (w.end - w.start >= 3) & (digit[w.end] == digit[w.start])
+    """At least three bytes long."""
+    return w.end - w.start >= 3
+
+
+def _char_starts(data: np.ndarray) -> np.ndarray:
+    """The byte at which every character begins, and the end."""
+    return np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]
 
 
 def _contexts(context: int):
-    """(doc_id, entity, context, term) of every entity and term near it, terms by their hashes."""
+    """(mark, entity, term) of every text's entities and the terms near them, terms by their hashes.
+
+    Of an entity without any the term is null; with a null entity come all terms of a text that has entities.
+    """
 
     def run(batches):
-        for b in batches:
-            rows = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+        for b in textkit.sliced(batches):
+            parts = []
+            for mark, text in zip(b.column("mark").to_pylist(), b.column("text").to_pylist()):
                 found = entities(text)
                 if not found:
                     continue
                 plain, folded = _terms(text)
-                starts = [len(text[:s].encode()) for s, _, _, _ in found]
-                ends = [a + len(text[s:e].encode()) for a, (s, e, _, _) in zip(starts, found)]
+                at = _char_starts(plain.data)
+                lo = np.searchsorted(plain.end, at[[s for s, _, _, _ in found]], "right")
+                hi = np.searchsorted(plain.start, at[[e for _, e, _, _ in found]])
                 free = _is_term(folded)
-                spans = []
-                for s, e in zip(starts, ends):
-                    lo, hi = np.searchsorted(plain.end, s, "right"), np.searchsorted(plain.start, e)
-                    free[lo:hi] = False
-                    spans.append((lo, hi))
-                for (lo, hi), (_, _, kind, value) in zip(spans, found):
-                    near = np.r_[max(0, lo - context) : lo, hi : min(len(free), hi + context)].astype(np.int64)
-                    near = near[free[near]]
-                    terms = np.unique(folded.hash[near].view(np.int64))
-                    mark = int.from_bytes(hashlib.blake2b(folded.hash[near].tobytes(), digest_size=8).digest(), "big", signed=True)
-                    e = _name(kind, value)
-                    rows += [(doc, e, mark, t) for t in terms.tolist()] or [(doc, e, mark, None)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 4)], ["doc_id", "entity", "context", "term"])
+                for x, z in zip(lo, hi):
+                    free[x:z] = False
+                names = [_name(kind, value) for _, _, kind, value in found]
+                hashes = folded.hash.view(np.int64)
+                parts.append((mark, None, np.unique(hashes[free])))
+                for x, z, e in zip(lo, hi, names):
+                    near = np.r_[max(0, x - context) : x, z : min(len(free), z + context)].astype(np.int64)
+                    parts.append((mark, e, np.unique(hashes[near[free[near]]])))
+            if not parts:
+                continue
+            count = np.array([max(1, len(t)) for _, _, t in parts])
+            marks = np.repeat(np.array([m for m, _, _ in parts], np.int64), count)
+            names = np.repeat(np.array([e or 0 for _, e, _ in parts], np.int64), count)
+            terms = np.concatenate([t if len(t) else np.zeros(1, np.int64) for _, _, t in parts])
+            columns = [pa.array(marks), pa.array(names, mask=np.repeat([e is None for _, e, _ in parts], count)), pa.array(terms, mask=np.repeat([not len(t) for _, _, t in parts], count))]
+            yield pa.RecordBatch.from_arrays(columns, ["mark", "entity", "term"])
 
     return run
 
 
 def _count_terms(wanted):
-    """(term, n): in how many of a batch's documents each term stands; all terms where ``wanted`` is None."""
+    """(term, n): in how many of a batch's texts each term stands, by the texts' weights; all terms where ``wanted`` is None."""
 
     def run(batches):
         only = None if wanted is None else wanted.value
         for b in textkit.sliced(batches):
             data, off = textkit.column(b.column("text"), lower=True)
+            weight = b.column("weight").to_numpy()
             for lo, hi in textkit.chunks(off):
                 w = textkit.words(data, off, lo, hi)
                 h, row = w.hash.view(np.int64), w.row
@@ -162,78 +181,96 @@ def _count_terms(wanted):
                 order = np.lexsort((row, h))
                 h, row = h[order], row[order]
                 new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]
-                terms, n = np.unique(h[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n)], ["term", "n"])
+                h, row = h[new], row[new]
+                first, _ = textkit.runs(h)
+                yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(np.add.reduceat(weight[row], first))], ["term", "n"])
 
     return run
 
 
-def disclosing(spark: SparkSession, docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
-    """(entity occurrences (doc_id, entity), disclosing terms (entity, term, share, remove)) of the corpus."""
+def _marked(docs: DataFrame, mark: str) -> DataFrame:
+    return docs.withColumn(mark, F.xxhash64("text"))
+
+
+def disclosing(spark: SparkSession, docs: DataFrame, context: int = CONTEXT, back_off: float = BACK_OFF, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
+    """(every text that has entities (mark), its disclosing terms (mark, entity, term, share, remove)) of ``docs(text)``.
+
+    ``mark`` is xxhash64 of the text.
+    """
     base = runtime.shared_dir(spark)
-    texts = runtime.cast_ids(docs).filter("text IS NOT NULL")
-    seen = texts.filter(F.col("text").rlike(SUSPECT)).mapInArrow(_contexts(context), "doc_id long, entity long, context long, term long")
+    texts = _marked(docs.select("text").filter("text IS NOT NULL"), "mark")
+    seen = texts.filter(F.col("text").rlike(SUSPECT)).mapInArrow(_contexts(context), "mark long, entity long, term long")
     seen = runtime.stored(seen, f"{base}/contexts")
-    pairs = seen.filter("term IS NOT NULL").groupBy("entity", "term").agg(F.countDistinct("doc_id").alias("net"), F.countDistinct("context").alias("support")).filter(F.col("support") >= support)
-    pairs = runtime.stored(pairs, f"{base}/pairs")
-    of_entity = seen.groupBy("entity").agg(F.countDistinct("doc_id").alias("ne"))
-    occurrences = seen.select("doc_id", "entity").distinct()
+    occurrences = runtime.stored(seen.filter("entity IS NOT NULL").select("mark", "entity").distinct(), f"{base}/occurrences")
+    near = seen.filter("entity IS NOT NULL AND term IS NOT NULL").distinct()
+    pairs = runtime.stored(near.groupBy("entity", "term").agg(F.count("*").alias("net")), f"{base}/pairs")
+    of_entity = occurrences.groupBy("entity").agg(F.count("*").alias("ne"))
 
     terms = pairs.select("term").distinct()
     many = terms.count()
-    whole = texts.dropDuplicates(["doc_id"]) if _repeats(texts) else texts
-    total = whole.select(F.count("*")).first()[0]
+    copies = runtime.stored(texts.groupBy("mark").count(), f"{base}/copies")
+    total = copies.count()
+    copies = copies.filter("count > 1")
+    weighed = texts.join(runtime.sized(copies, copies.count(), 32), "mark", "left").select("text", (F.lit(1.0) / F.coalesce("count", F.lit(1))).alias("weight"))
     if not many:
-        counted = spark.createDataFrame([], "term long, nt long")
+        counted = spark.createDataFrame([], "term long, n double")
     elif many * 8 <= runtime.BROADCAST_BYTES:
         wanted = spark.sparkContext.broadcast(np.sort(terms.toArrow()["term"].to_numpy()))
-        counted = whole.mapInArrow(_count_terms(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("nt"))
+        counted = weighed.mapInArrow(_count_terms(wanted), "term long, n double")
     else:
-        counted = whole.mapInArrow(_count_terms(None), "term long, n long").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("nt"))
+        counted = weighed.mapInArrow(_count_terms(None), "term long, n double").groupBy("term").agg(F.sum("n").alias("n")).join(terms, "term", "left_semi")
+    counted = counted.groupBy("term").agg(F.round(F.sum("n")).alias("nt"))
     known = pairs.join(counted, "term").join(of_entity, "entity")
-    n = F.lit(float(max(1, total)))
-    share = F.try_divide(F.log2(n * F.col("net") / (F.col("ne") * F.col("nt"))), F.log2(n / F.col("ne")))
+    p = F.col("ne") / F.lit(float(max(1, total)))
+    given = (F.col("net") + back_off * p) / (F.col("nt") + back_off)
+    share = F.round(F.try_divide(F.log2(given / p), -F.log2(p)), 9)
     known = known.select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise)
-    return occurrences, runtime.stored(known.select("*", (F.col("share") >= remove).alias("remove")), f"{base}/terms")
+    known = runtime.stored(known.select("*", (F.col("share") >= remove).alias("remove")), f"{base}/terms")
+    # only terms that a text holds are joined with its entities, so that a frequent entity's terms don't go to all its texts
+    present = seen.filter("entity IS NULL AND term IS NOT NULL").select("mark", "term").distinct()
+    of_text = runtime.stored(present.join(runtime.sized(known, known.count(), 48), "term").join(occurrences, ["mark", "entity"], "left_semi"), f"{base}/of_text")
+    marks = runtime.stored(occurrences.select("mark").distinct(), f"{base}/marks")
+    for name in ("contexts", "occurrences", "pairs", "copies", "terms"):
+        runtime.forget(spark, f"{base}/{name}")
+    return marks, of_text
 
 
-def _repeats(texts: DataFrame) -> bool:
-    return bool(texts.groupBy("doc_id").count().filter("count > 1").limit(1).count())
-
-
-def sanitise_text(text: str, gone: set[int] = frozenset(), general: set[int] = frozenset()) -> tuple[str, int, int]:
+def sanitise_text(text: str, gone: np.ndarray | None = None, general: np.ndarray | None = None) -> tuple[str, int, int]:
     """(sanitised text, entities, terms); terms are given by their hashes."""
     found = entities(text)
     if not found:
         return text, 0, 0
     cuts = [(s, e, f"[{kind}]") for s, e, kind, _ in found]
+    out = np.zeros(0, np.int64) if gone is None else np.asarray(gone, np.int64)
+    masked = np.zeros(0, np.int64) if general is None else np.asarray(general, np.int64)
     terms = 0
-    if gone or general:
+    if len(out) or len(masked):
         plain, folded = _terms(text)
-        wanted = np.array(sorted(gone | general), np.int64)
-        raw = text.encode()
-        for k in np.flatnonzero(np.isin(folded.hash.view(np.int64), wanted) & _is_term(folded)):
-            s = len(raw[: plain.start[k]].decode())
-            e = s + len(raw[plain.start[k] : plain.end[k]].decode())
-            if not any(a < e and s < b for a, b, _ in cuts[: len(found)]):
-                cuts.append((s, e, "" if int(folded.hash[k : k + 1].view(np.int64)[0]) in gone else "[TERM]"))
-                terms += 1
+        hashes = folded.hash.view(np.int64)
+        removed = np.isin(hashes, out)
+        at = np.flatnonzero((removed | np.isin(hashes, masked)) & _is_term(folded))
+        chars = _char_starts(plain.data)
+        s, e = np.searchsorted(chars, plain.start[at]), np.searchsorted(chars, plain.end[at])
+        # entities come in order and don't overlap: the first that ends after a word's start is the one it can touch
+        starts, ends = (np.array([f[k] for f in found]) for k in (0, 1))
+        next_ = np.searchsorted(ends, s, "right")
+        clear = (next_ == len(ends)) | (starts[np.minimum(next_, len(ends) - 1)] >= e)
+        cuts += [(int(a), int(z), "" if gone_ else "[TERM]") for a, z, gone_ in zip(s[clear], e[clear], removed[at[clear]])]
+        terms = int(clear.sum())
         cuts.sort()
-    parts, at = [], 0
+    parts, last = [], 0
     for s, e, new in cuts:
-        parts += [text[at:s], new]
-        at = e
-    return "".join(parts) + text[at:], len(found), terms
+        parts += [text[last:s], new]
+        last = e
+    return "".join(parts) + text[last:], len(found), terms
 
 
-def _rewrite(terms: str, keep: list[str]):
+def _rewrite(gone: str, general: str, keep: list[str]):
     def run(batches):
-        for b in batches:
-            done = [
-                (None, 0, 0) if t is None else sanitise_text(t, {x["term"] for x in k or () if x["remove"]}, {x["term"] for x in k or () if not x["remove"]})
-                for t, k in zip(b.column("text").to_pylist(), b.column(terms).to_pylist())
-            ]
-            texts, n, m = zip(*done) if done else ((), (), ())
+        for b in textkit.sliced(batches):
+            known = zip(b.column("text").to_pylist(), b.column(gone), b.column(general))
+            done = [sanitise_text(t, *(None if not k.is_valid else k.values.to_numpy() for k in terms)) for t, *terms in known]
+            texts, n, m = zip(*done)
             columns = [b.column(c) for c in keep] + [pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [f"c{k}" for k in range(len(columns))])
 
@@ -243,17 +280,26 @@ def _rewrite(terms: str, keep: list[str]):
 def sanitise(spark: SparkSession, docs: DataFrame, entities: str = "_entities", removed: str = "_removed", **how) -> DataFrame:
     """``docs`` with sanitised texts, and two more columns, whose names must be free: how many entities and terms were replaced."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    occurrences, known = disclosing(spark, docs, **how)
-    suspect = F.coalesce(F.col("text").rlike(SUSPECT), F.lit(False))
-    doc, terms = runtime.fresh(docs, "_doc"), runtime.fresh(docs, "_terms")
-    plan = occurrences.join(known, "entity").groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set(F.struct("term", "remove")).alias(terms))
+    marks, of_text = disclosing(spark, docs, **how)
+    mark, own, gone, general = (runtime.fresh(docs, name) for name in ("_mark", "_own", "_gone", "_general"))
+    plan = of_text.select("mark", "term", "remove").union(marks.select("mark", F.lit(None).cast("long"), F.lit(None).cast("boolean"))).groupBy(F.col("mark").alias(mark))
+    plan = plan.agg(*(F.collect_set(F.when(F.col("remove") == r, F.col("term"))).alias(c) for c, r in ((gone, True), (general, False))))
     plan = runtime.stored(plan, runtime.shared_dir(spark))
-    size = plan.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(terms)), F.lit(0)).alias("m")).first()
-    small = runtime.sized(plan, 2 * size["n"] + size["m"], 32)
-    mine = docs.filter(suspect).join(small, docs["doc_id"].cast("long") == F.col(doc), "left").drop(doc)
+    size = plan.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(gone) + F.size(general)), F.lit(0)).alias("m")).first()
+    bytes_ = 96 * size["n"] + 16 * size["m"]
     keep = [f for f in docs.schema if f.name != "text"]
+    zeros = [F.lit(0).cast("long").alias(c) for c in (entities, removed)]
+    mine = docs
+    if bytes_ > runtime.BROADCAST_BYTES:
+        # the plan can't go to all tasks: only texts that may hold an entity move
+        suspect = F.coalesce(F.col("text").rlike(SUSPECT), F.lit(False))
+        mine = docs.filter(suspect)
+    # the plan holds every text with an entity: the others go on as they are and never reach Python
+    mine = _marked(mine, own).join(runtime.sized(plan, bytes_, 1), F.col(own) == F.col(mark), "left")
     types = [f.dataType.simpleString() for f in keep] + ["string", "long", "long"]
-    done = mine.mapInArrow(_rewrite(terms, [f.name for f in keep]), ", ".join(f"c{k} {t}" for k, t in enumerate(types)))
+    done = mine.filter(F.col(mark).isNotNull()).mapInArrow(_rewrite(gone, general, [f.name for f in keep]), ", ".join(f"c{k} {t}" for k, t in enumerate(types)))
     done = done.toDF(*(f.name for f in keep), "text", entities, removed)
-    clean = docs.filter(~suspect).withColumns({entities: F.lit(0).cast("long"), removed: F.lit(0).cast("long")})
+    clean = mine.filter(F.col(mark).isNull()).select(*docs.columns, *zeros)
+    if bytes_ > runtime.BROADCAST_BYTES:
+        clean = clean.union(docs.filter(~suspect).select(*docs.columns, *zeros))
     return clean.unionByName(done.select(clean.columns))
