@@ -27,7 +27,6 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,9 +84,9 @@ def _lists(values: list[list], kind: pa.DataType) -> pa.ListArray:
 
 def _windows(rows: list[tuple[int, list[tuple]]]) -> pa.RecordBatch:
     """Finished windows: their numbers, and (doc_id, piece, start, ids) of what is in them, in order."""
-    parts = [[(d, p, s, len(x) // 4, x) for d, p, s, x in inside] for _, inside in rows]
+    parts = [[(d, p, s, len(x), x) for d, p, s, x in inside] for _, inside in rows]
     offsets = [(np.cumsum([0, *(x[3] for x in inside)])[:-1]).tolist() for inside in parts]
-    ids = np.frombuffer(b"".join(x[4] for inside in parts for x in inside), np.int32)
+    ids = np.concatenate([x[4] for inside in parts for x in inside]).astype(np.int32)
     ends = np.r_[0, np.cumsum([sum(x[3] for x in inside) for inside in parts])].astype(np.int32)
     columns = [pa.array([w for w, _ in rows], pa.int64())]
     columns += [_lists([[x[k] for x in inside] for inside in parts], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32()))]
@@ -95,7 +94,12 @@ def _windows(rows: list[tuple[int, list[tuple]]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["window", "doc_ids", "pieces", "starts", "lengths", "offsets", "ids"])
 
 
-def _pack(window: int):
+def _width(tokens: int) -> np.dtype:
+    """What an id travels as."""
+    return np.dtype(np.uint16 if tokens <= 1 << 16 else np.int32)
+
+
+def _pack(window: int, width: np.dtype):
     """Rows sorted by lane to windows; a window leaves as soon as it is full, the others at the end of their lane."""
 
     def run(batches):
@@ -107,14 +111,14 @@ def _pack(window: int):
                 if lane != at:
                     done += sorted(open_.items())
                     at, packer, open_ = lane, Packer(window), {}
-                coded = coded.as_buffer()
-                size = coded.size // 4
+                coded = np.frombuffer(coded.as_buffer(), width)
+                size = len(coded)
                 for piece, start in enumerate(range(0, size, window)):
                     length = min(window, size - start)
                     number, offset = packer.place(length)
                     number += lane << 32
                     inside = open_.setdefault(number, [])
-                    inside.append((doc, piece, start, coded.slice(4 * start, 4 * length).to_pybytes()))
+                    inside.append((doc, piece, start, coded[start : start + length].copy()))
                     if offset + length == window:
                         done.append((number, open_.pop(number)))
                         held += window
@@ -128,16 +132,15 @@ def _pack(window: int):
     return run
 
 
-def _code(shared, pattern: str, lanes: int):
-    """(doc_id, tokens, coded, lane): the ids of every text that has any, as 32-bit numbers in a row."""
+def _code(shared, pattern: str, lanes: int, width: np.dtype):
+    """(doc_id, tokens, coded, lane): the ids of every text that has any, as numbers in a row."""
 
     def run(batches):
         encoder = bpe.coder(shared, pattern)
         for b in textkit.sliced(batches):
-            coded = [encoder.encode(t) for t in b.column("text").to_pylist()]
+            coded = [np.frombuffer(ids, np.int32).astype(width).tobytes() for ids in encoder.encode_all(b.column("text").to_pylist())]
             lane = [mark % lanes for mark in b.column("mark").to_pylist()]
-            b = pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array(coded, pa.binary()), pa.array(lane, pa.int64())], ["doc_id", "tokens", "coded", "lane"])
-            yield b.filter(pc.greater(b.column("tokens"), 0))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(c) // width.itemsize for c in coded], pa.int64()), pa.array(coded, pa.binary()), pa.array(lane, pa.int64())], ["doc_id", "tokens", "coded", "lane"])
 
     return run
 
@@ -151,6 +154,8 @@ def pack(spark: SparkSession, docs: DataFrame, window: int = WINDOW, lane: int =
     texts = runtime.cast_ids(docs).filter("text IS NOT NULL AND text <> ''")
     if lanes is None:
         lanes = max(1, -(-texts.count() // lane))
-    shared = spark.sparkContext.broadcast(bpe.load(tokenizer))
-    coded = texts.withColumn("mark", F.xxhash64("doc_id", "text")).mapInArrow(_code(shared, pattern, lanes), _CODED)
-    return coded.repartition(lanes, "lane").sortWithinPartitions("lane", "doc_id", "tokens", "coded").mapInArrow(_pack(window), SCHEMA)
+    tokens = bpe.load(tokenizer)
+    width = _width(len(tokens))
+    shared = spark.sparkContext.broadcast(tokens)
+    coded = texts.withColumn("mark", F.xxhash64("doc_id", "text")).mapInArrow(_code(shared, pattern, lanes, width), _CODED)
+    return coded.repartition(lanes, "lane").sortWithinPartitions("lane", "doc_id", "tokens", "coded").mapInArrow(_pack(window, width), SCHEMA)
