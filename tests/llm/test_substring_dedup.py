@@ -74,6 +74,37 @@ def test_hot_phrase_hides_no_repeat(spark, batches):
     assert len(got) == len({(g["doc_id"], g["start"], g["src_id"], g["src_start"]) for g in got})
 
 
+def test_phrase_in_every_document(spark, monkeypatch):
+    """A hot hash in ranges of ids, a crowded text in parts; the phrase alone is too short to be reported."""
+    monkeypatch.setattr(S, "ASKED", 7)
+    monkeypatch.setattr(S.verify, "__defaults__", (S.WORDS, S.GRAM, 7))
+    r = random.Random(9)
+    fill = lambda n: " ".join(r.choice(VOCABULARY) for _ in range(n))
+    phrase, tails = fill(40), [fill(20) for _ in range(3)]
+    docs = [(i, f"{fill(12)} {phrase} {r.choice(tails) if i % 4 == 0 else fill(20)}") for i in range(240)]
+    got = S.repeats(spark, spark.createDataFrame(docs, SCHEMA), batches=2, hot=50).collect()
+    assert spread(got) == brute(docs, 50) != set()
+    alone = [(i, f"{fill(12)} {phrase} {fill(12)}") for i in range(120)]
+    assert S.repeats(spark, spark.createDataFrame(alone, SCHEMA), batches=1, hot=50).count() == 0
+
+
+def test_index_is_opened_again(spark, tmp_path):
+    """Batches one by one, each by an index that is opened anew, against all at once."""
+    r = random.Random(3)
+    passages = [" ".join(r.choice(VOCABULARY) for _ in range(n)) for n in (50, 64, 90)]
+    docs = [(i, f"{t} {r.choice(passages) if r.random() < 0.5 else ''} {i}") for i, t in enumerate(texts(r, 60))]
+    part = lambda a, z: spark.createDataFrame(docs[a:z], SCHEMA)
+    path = f"file://{tmp_path}/index"
+    got = S.repeats(spark, part(0, 20), batches=2, path=path).collect()
+    for a, z in ((20, 21), (21, 45), (45, 60)):
+        index = S.Index(spark, path)
+        assert index.batches == 2 + [20, 21, 45].index(a)
+        got += S.extend(spark, index, part(a, z), part(0, a)).collect()
+        index.close()
+    assert spread(got) == brute(docs, 50)
+    assert all((g["src_id"], g["src_start"]) < (g["doc_id"], g["start"]) for g in got)
+
+
 def test_characters_beyond_ascii(spark):
     passage = " ".join(f"é{i}ß" for i in range(60))
     docs = [(1, passage), (2, "ÄÖ ü. " + passage + " ñ")]

@@ -26,6 +26,12 @@ settled exactly: at all places of their hashes those windows are hashed whole, w
 with its first place. Only equal windows meet, so that a hot phrase costs one row for each of its windows.
 Every window of WORDS words that was there before thus lies in a match.
 
+The index can stay in a folder and be opened again: ``extend`` then takes the next batch, of
+whatever size, without reading the history's texts but where a passage may be shared.
+
+A hash of very many rows (a phrase in every document) is linked in ranges of ids side by
+side; a text that very many others are compared with is sent out in several copies.
+
 Earlier means in a former batch, or in the same one with a smaller id, or in the
 same document at a smaller position.
 
@@ -37,11 +43,12 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import runtime, textkit
@@ -52,9 +59,15 @@ BATCHES = 4
 FAN_IN = 2
 #: Fingerprints of a bucket, on average.
 BUCKET_ROWS = 1_000_000
+#: A hash with more rows than that in a batch is linked in HOT_PARTS ranges of ids.
+HOT_ROWS = 1 << 20
+HOT_PARTS = 64
+#: Ranges of one text that are asked for together.
+ASKED = 4096
 
 
 _PRINTS = "h long, doc_id long, pos int, back int, many int"
+_COLUMNS = ["h", "doc_id", "pos", "back", "many"]
 FOUND = "doc_id long, start long, words long, src_id long, src_start long, char_start long, char_end long"
 
 
@@ -132,75 +145,152 @@ def fingerprints(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataF
     return docs.mapInArrow(_fingerprints(words, gram), _PRINTS)
 
 
+def _frequent(least: int):
+    """(h, n): the hashes that a batch of rows holds at least so often."""
+
+    def run(batches):
+        for b in batches:
+            h, n = np.unique(b.column("h").to_numpy(), return_counts=True)
+            often = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(h[often]), pa.array(n[often])], ["h", "n"])
+
+    return run
+
+
+_PLACE = "STRUCT<batch: INT, doc_id: BIGINT, pos: INT>"
+_RUN = {False: "h BIGINT, doc_id BIGINT, pos INT, back INT, many INT, batch INT", True: f"h BIGINT, f {_PLACE}, l {_PLACE}"}
+
+
 class Index:
-    """A log-structured index of fingerprints: runs (level, table), newest last.
+    """A log-structured index of fingerprints: runs (level, table, merged), newest last, and the fingerprints of every batch.
 
-    The tables are external ones in the shared folder; ``close`` drops them.
+    All of it lies below ``path``: the runs as bucketed tables, the fingerprints by batch, and a manifest
+    that names the runs, written anew after each batch. ``Index(spark, path)`` opens what is there.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int, fan_in: int = FAN_IN):
-        self.spark, self.buckets, self.fan_in = spark, buckets, fan_in
-        self.base, self.runs, self.names = runtime.shared_dir(spark), [], []
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, fan_in: int = FAN_IN, hot: int = HOT_ROWS):
+        self.spark, self.path, self.buckets, self.fan_in, self.hot = spark, path.rstrip("/"), buckets, fan_in, hot
+        self.runs: list[tuple[int, str, bool]] = []
+        self.batches = 0
+        if found := self._manifests():
+            state = json.loads(spark.read.text(found[-1]).first()[0])
+            self.buckets, self.fan_in, self.batches = state["buckets"], state["fan_in"], state["batches"]
+            self.runs = [tuple(r) for r in state["runs"]]
+            for _, name, merged in self.runs:
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({_RUN[merged]}) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+
+    def _manifests(self) -> list[str]:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        # one without its mark of success was cut off
+        names = sorted(str(f.getPath().toString()) for f in fs.listStatus(p)) if fs.exists(p) else []
+        return [n for n in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{n}/_SUCCESS"))]
+
+    def _save(self, gone: list[str]) -> None:
+        old = self._manifests()
+        state = json.dumps({"buckets": self.buckets, "fan_in": self.fan_in, "batches": self.batches, "runs": self.runs})
+        self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest/{self.batches:08d}")
+        for m in old:
+            if not m.endswith(f"/{self.batches:08d}"):
+                runtime.forget(self.spark, m)
+        for name in gone:  # only now does no manifest name them
+            self._drop(name)
 
     def _write(self, df: DataFrame) -> str:
         name = f"wordtide_{uuid.uuid4().hex}"
-        df.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.base}/{name}").format("parquet").saveAsTable(name)
-        self.names.append(name)
+        df.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
-        self.names.remove(name)
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        runtime.forget(self.spark, f"{self.base}/{name}")
+        runtime.forget(self.spark, f"{self.path}/{name}")
 
-    def _places(self, name: str, first: str, last: str) -> DataFrame:
+    def _places(self, run: tuple[int, str, bool], first: str, last: str) -> DataFrame:
         """(h, first, last): the earliest and the latest place of every hash of a run."""
-        t = self.spark.table(name)
         place = F.struct("batch", "doc_id", "pos")
-        low, high = (F.col("f"), F.col("l")) if "f" in t.columns else (place, place)
-        return t.groupBy("h").agg(F.min(low).alias(first), F.max(high).alias(last))
+        low, high = (F.col("f"), F.col("l")) if run[2] else (place, place)
+        return self.spark.table(run[1]).groupBy("h").agg(F.min(low).alias(first), F.max(high).alias(last))
 
-    def compact(self) -> None:
-        """Merge the newest runs while FAN_IN of them have one level."""
-        while len(self.runs) >= self.fan_in and len({level for level, _ in self.runs[-self.fan_in :]}) == 1:
+    def _compact(self) -> list[str]:
+        """Merge the newest runs while FAN_IN of them have one level; the tables that are no longer needed."""
+        gone = []
+        while len(self.runs) >= self.fan_in and len({r[0] for r in self.runs[-self.fan_in :]}) == 1:
             old = self.runs[-self.fan_in :]
-            merged = self._places(old[0][1], "f", "l")
-            for _, name in old[1:]:
-                more = self._places(name, "f2", "l2")
+            merged = self._places(old[0], "f", "l")
+            for run in old[1:]:
+                more = self._places(run, "f2", "l2")
                 merged = merged.join(more.hint("merge"), "h", "full").select("h", F.least("f", "f2").alias("f"), F.greatest("l", "l2").alias("l"))
-            name = self._write(merged)
-            self.runs = [*self.runs[: -self.fan_in], (old[0][0] + 1, name)]
-            for _, gone in old:
-                self._drop(gone)
-
-    def ingest(self, prints: DataFrame, batch: int) -> DataFrame:
-        """(h, doc_id, pos, back, many, src, more) of the batch's fingerprints that occurred before; then they are indexed.
+            self.runs = [*self.runs[: -self.fan_in], (old[0][0] + 1, self._write(merged), True)]
+            gone += [name for _, name, _ in old]
+        return gone
 
-        src is the place just before; more holds the first place, and the first and last of each run.
-        """
-        from pyspark.sql import Window
+    def prints(self) -> DataFrame:
+        """(h, doc_id, pos, back, many, part): the fingerprints of all batches."""
+        return self.spark.read.schema(f"{_PRINTS}, part int").parquet(f"{self.path}/prints")
 
-        self.compact()
-        mine = self._write(prints.withColumn("batch", F.lit(batch)).repartition(self.buckets, "h"))
-        place = F.struct("batch", "doc_id", "pos")
-        w = Window.partitionBy("h").orderBy("doc_id", "pos")
-        hits = self.spark.table(mine).select("h", "doc_id", "pos", "back", "many", F.first(place).over(w).alias("f"), F.lag(place).over(w).alias("before"))
+    def _linked(self, rows: DataFrame, runs: list[DataFrame]) -> DataFrame:
+        """``rows(…, f, before)`` with the places that ``runs`` have of their hashes."""
         more = [F.col("f")]
-        for k, (_, name) in enumerate(self.runs):
-            hits = hits.join(self._places(name, f"f{k}", f"l{k}").hint("merge"), "h", "left")
+        for k, places in enumerate(runs):
+            rows = rows.join(places, "h", "left")
             more += [F.col(f"f{k}"), F.col(f"l{k}")]
-        last = [F.col(f"l{k}") for k in range(len(self.runs))]
+        last = [F.col(f"l{k}") for k in range(len(runs))]
         older = F.greatest(*last) if len(last) > 1 else last[0] if last else F.lit(None)
-        hits = hits.withColumn("before", F.coalesce("before", older)).filter("before IS NOT NULL")
-        self.runs.append((0, mine))
+        rows = rows.withColumn("before", F.coalesce("before", older)).filter("before IS NOT NULL")
         own = (F.col("doc_id"), F.col("pos"))
         others = F.filter(F.array_distinct(F.array_compact(F.array(*more))), lambda m: (m != F.col("before")) & ~((m["doc_id"] == own[0]) & (m["pos"] == own[1])))
         bare = lambda m: F.struct(m["doc_id"].alias("doc_id"), m["pos"].alias("pos"))
-        return hits.select("h", "doc_id", "pos", "back", "many", bare(F.col("before")).alias("src"), F.transform(others, bare).alias("more"))
+        return rows.select("h", "doc_id", "pos", "back", "many", bare(F.col("before")).alias("src"), F.transform(others, bare).alias("more"))
+
+    def ingest(self, prints: DataFrame, to: str) -> DataFrame:
+        """(h, doc_id, pos, back, many, src, more) of a batch's fingerprints that occurred before, written to ``to``; then they are indexed.
+
+        src is the place just before; more holds the first place, and the first and last of each run.
+        """
+        batch, gone = self.batches, self._compact()
+        prints = runtime.stored(prints, f"{self.path}/prints/part={batch}").withColumn("batch", F.lit(batch))
+        place = F.struct("batch", "doc_id", "pos")
+        hot = prints.select("h").mapInArrow(_frequent(8), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > self.hot).select("h")
+        hot = runtime.stored(hot, f"{to}-hot")
+        some = hot.count()
+        few = runtime.sized(hot, some)
+        rest = prints.join(few, "h", "left_anti") if some else prints
+        if some:  # of a hash that very many rows have the run needs only both ends
+            often = prints.join(few, "h", "left_semi")
+            ends = often.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).select("h", F.explode(F.array("f", "l")).alias("p"))
+            none = F.lit(None).cast("int")
+            rest = rest.select(*_COLUMNS, "batch").union(ends.select("h", "p.doc_id", "p.pos", none, none, "p.batch"))
+        mine = self._write(rest.select(*_COLUMNS, "batch").repartition(self.buckets, "h"))
+        w = Window.partitionBy("h").orderBy("doc_id", "pos")
+        rows = self.spark.table(mine).filter("many IS NOT NULL").select(*_COLUMNS, F.first(place).over(w).alias("f"), F.lag(place).over(w).alias("before"))
+        hits = self._linked(rows, [self._places(r, f"f{k}", f"l{k}").hint("merge") for k, r in enumerate(self.runs)])
+        if some:
+            hits = hits.union(self._hot(often, few, place))
+        hits = runtime.stored(hits, to)
+        self.runs.append((0, mine, False))
+        self.batches += 1
+        self._save(gone)
+        return hits
+
+    def _hot(self, often: DataFrame, few: DataFrame, place) -> DataFrame:
+        """The same for hashes that very many rows have: in ranges of ids side by side, of which each needs the last place before it."""
+        edges = often.agg(F.percentile_approx("doc_id", [k / HOT_PARTS for k in range(1, HOT_PARTS)], 1000)).first()[0]
+        parted = often.withColumn("part", sum((F.when(F.col("doc_id") > e, 1).otherwise(0) for e in sorted(set(edges))), F.lit(0)))
+        ends = parted.groupBy("h", "part").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+        by = Window.partitionBy("h").orderBy("part")
+        ends = ends.select("h", "part", F.first("low").over(by).alias("f"), F.lag("high").over(by).alias("above"))
+        w = Window.partitionBy("h", "part").orderBy("doc_id", "pos")
+        rows = parted.withColumn("before", F.lag(place).over(w)).join(ends, ["h", "part"]).withColumn("before", F.coalesce("before", "above"))
+        return self._linked(rows.select(*_COLUMNS, "f", "before"), [self._places(r, f"f{k}", f"l{k}").join(few, "h", "left_semi") for k, r in enumerate(self.runs)])
 
     def close(self) -> None:
-        for name in list(self.names):
-            self._drop(name)
+        """Forget the tables' names; what is below ``path`` stays."""
+        for _, name, _ in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def remove(self) -> None:
+        self.close()
+        runtime.forget(self.spark, self.path)
 
 
 def _marked(links: DataFrame, gram: int) -> DataFrame:
@@ -208,8 +298,6 @@ def _marked(links: DataFrame, gram: int) -> DataFrame:
 
     In the source both positions are less by shift.
     """
-    from pyspark.sql import Window
-
     diagonal = ["doc_id", "src_id", "shift"]
     w = Window.partitionBy(*diagonal).orderBy("pos")
     part = Window.partitionBy(*diagonal, "part")
@@ -324,8 +412,6 @@ def _compare(words: int, gram: int):
 
 def joined(matches: DataFrame) -> DataFrame:
     """Matches of one diagonal that overlap or touch as one."""
-    from pyspark.sql import Window
-
     diagonal = ["doc_id", "src_id", "shift"]
     w = Window.partitionBy(*diagonal).orderBy("start", "words")
     m = matches.withColumns({"shift": F.col("start") - F.col("src_start"), "end": F.col("start") + F.col("words")})
@@ -341,15 +427,21 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     n = wanted.count()
     few = n * 64 <= runtime.BROADCAST_BYTES // 4
     # but where few texts are wanted their ids spare the others the shuffle
-    mine = docs.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi") if few else docs
+    mine = docs.join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi") if few else docs
     return mine.join(wanted.hint("shuffle_hash"), "doc_id")
 
 
-def verify(spark: SparkSession, found: DataFrame, docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
+def verify(spark: SparkSession, found: DataFrame, docs: DataFrame, words: int = WORDS, gram: int = GRAM, asked: int = ASKED) -> DataFrame:
     """The matches that the texts of ``docs(doc_id, text)`` bear out, as FOUND."""
     entry = lambda other, source: F.struct(F.col(other).alias("other"), "shift", "lo", "hi", F.lit(source).alias("source")).alias("e")
     sides = found.select("doc_id", entry("src_id", False)).union(found.select(F.col("src_id").alias("doc_id"), entry("doc_id", True)))
-    wanted = runtime.stored(sides.groupBy("doc_id").agg(F.collect_list("e").alias("wanted")), f"{runtime.shared_dir(spark)}/wanted")
+    base = runtime.shared_dir(spark)
+    sides = runtime.stored(sides, f"{base}/sides")
+    # of a text that very many others are compared with the questions come in parts, each with the text
+    crowded = runtime.stored(sides.groupBy("doc_id").count().filter(F.col("count") > asked), f"{base}/crowded")
+    parts = F.coalesce(F.ceil(F.col("count") / asked), F.lit(1))
+    sides = sides.join(runtime.sized(crowded, crowded.count()), "doc_id", "left").withColumn("part", F.pmod(F.xxhash64("e"), parts))
+    wanted = runtime.stored(sides.groupBy("doc_id", "part").agg(F.collect_list("e").alias("wanted")).drop("part"), f"{base}/wanted")
     texts = _texts_of(docs, wanted)
     slices = texts.select("doc_id", "text", "wanted").mapInArrow(_slices(gram, words - gram + 1), _SLICE)
     paired = slices.repartition("doc_id", "src_id", "shift").sortWithinPartitions(*_PAIR, "source")
@@ -358,8 +450,6 @@ def verify(spark: SparkSession, found: DataFrame, docs: DataFrame, words: int =
 
 def _uncovered(ranges: DataFrame, matches: DataFrame) -> DataFrame:
     """Those of ``ranges(doc_id, a, z, …)``, from word a to before z, that lie in no single match."""
-    from pyspark.sql import Window
-
     known = matches.select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("words")).alias("z"), F.lit(0).alias("_kind"))
     both = known.unionByName(ranges.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
     w = Window.partitionBy("doc_id").orderBy("a", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -368,12 +458,12 @@ def _uncovered(ranges: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def _whole_windows(words: int):
-    """(one, two, doc_id, pos): 128 bits of every asked window of ``words`` words of a text."""
+    """(one, two, batch, doc_id, pos): 128 bits of every asked window of ``words`` words of a text."""
 
     def run(batches):
         for b in textkit.sliced(batches):
             data, off = textkit.column(b.column("text"), lower=True)
-            ids = b.column("doc_id").to_numpy()
+            ids, batch = b.column("doc_id").to_numpy(), b.column("batch").to_numpy()
             for k, asked in enumerate(b.column("asked").to_pylist()):
                 w = textkit.words(data, off, k, k + 1)
                 one, two = _digests(w.hash)
@@ -383,13 +473,13 @@ def _whole_windows(words: int):
                 for lo in range(0, len(a), 65_536):
                     cut = slice(lo, lo + 65_536)
                     part = a[cut].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[cut]), pa.array(y[cut]), pa.array(np.full(len(part), ids[k])), pa.array(part)], ["one", "two", "doc_id", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[cut]), pa.array(y[cut]), pa.array(np.full(len(part), batch[k], np.int32)), pa.array(np.full(len(part), ids[k])), pa.array(part)], ["one", "two", "batch", "doc_id", "pos"])
 
     return run
 
 
-def unsettled(spark: SparkSession, hits: DataFrame, prints: DataFrame, matches: DataFrame, docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame | None:
-    """Candidates for the repeated windows that ``matches`` leave out, each with its first place; None if no fingerprint is in question."""
+def unsettled(spark: SparkSession, hits: DataFrame, prints: DataFrame, matches: DataFrame, docs: DataFrame, words: int = WORDS, gram: int = GRAM, since: int = 0) -> DataFrame | None:
+    """Candidates for the repeated windows of batches from ``since`` on that ``matches`` leave out, each with its first place; None if no fingerprint is in question."""
     base = runtime.shared_dir(spark)
     a = F.col("pos") - F.col("back")
     asked = hits.filter((F.size("more") > 0) & (F.col("many") > 0)).select("h", "doc_id", a.alias("a"), (a + F.col("many") - 1 + words).alias("z"))
@@ -398,27 +488,57 @@ def unsettled(spark: SparkSession, hits: DataFrame, prints: DataFrame, matches:
     if not n:
         return None
     places = prints.filter("many > 0").join(runtime.sized(hot, n, 32), "h", "left_semi")
-    places = runtime.stored(places.groupBy("doc_id").agg(F.collect_list(F.struct(a.alias("a"), "many")).alias("asked")), f"{base}/places")
+    places = runtime.stored(places.groupBy("doc_id", F.col("part").alias("batch")).agg(F.collect_list(F.struct(a.alias("a"), "many")).alias("asked")), f"{base}/places")
     texts = _texts_of(docs, places)
-    windows = runtime.stored(texts.select("doc_id", "text", "asked").mapInArrow(_whole_windows(words), "one long, two long, doc_id long, pos int"), f"{base}/windows")
-    first = windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "pos")).alias("src"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    links = windows.join(first, ["one", "two"]).filter((F.col("doc_id") != F.col("src.doc_id")) | (F.col("pos") != F.col("src.pos")))
+    windows = runtime.stored(texts.select("doc_id", "batch", "text", "asked").mapInArrow(_whole_windows(words), "one long, two long, batch int, doc_id long, pos int"), f"{base}/windows")
+    first = windows.groupBy("one", "two").agg(F.min(F.struct("batch", "doc_id", "pos")).alias("src"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    links = windows.filter(F.col("batch") >= since).join(first, ["one", "two"]).filter((F.col("doc_id") != F.col("src.doc_id")) | (F.col("pos") != F.col("src.pos")))
     links = links.select("doc_id", "pos", "src", F.col("pos").alias("a"), (F.col("pos") + words).alias("z"))
     near = _marked(_uncovered(links, matches).select("doc_id", "pos", "src"), words).filter("pos = lo")
     return runtime.stored(near.select(*_PAIR[:-1], (F.col("hi") + words - gram).alias("hi")).distinct(), f"{base}/near")
 
 
-def repeats(spark: SparkSession, docs: DataFrame, words: int = WORDS, gram: int = GRAM, batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
+def _resolved(spark: SparkSession, index: Index, hits: DataFrame, docs: DataFrame, words: int, gram: int, since: int) -> DataFrame:
+    """What the texts of ``docs`` bear out of the hits of batches from ``since`` on."""
+    base = runtime.shared_dir(spark)
+    near = runtime.stored(candidates(hits, base, words, gram), f"{base}/candidates")
+    matches = runtime.stored(verify(spark, near, docs, words, gram), f"{base}/matches")
+    rest = unsettled(spark, hits, index.prints(), matches, docs, words, gram, since)
+    done = matches if rest is None else runtime.stored(joined(matches.union(verify(spark, rest, docs, words, gram))), f"{base}/done")
+    for name in ("marked", "candidates", *(["matches"] if rest is not None else [])):
+        runtime.forget(spark, f"{base}/{name}")
+    return done
+
+
+def _unrepeated(texts: DataFrame) -> DataFrame:
+    texts = texts.filter("text IS NOT NULL")
+    if texts.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    return texts
+
+
+def extend(spark: SparkSession, index: Index, new: DataFrame, known: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
+    """Every repeated passage of ``new(doc_id, text)``, the next batch of an index that may have been opened again; then it is indexed.
+
+    ``known`` are the documents of all batches before; their ids must be others than those of ``new``. Of the history only
+    the runs, which are merge-joined, and the texts of documents that may share a passage are read.
+    """
+    texts = _unrepeated(runtime.cast_ids(new))
+    since = index.batches
+    hits = index.ingest(fingerprints(texts, words, gram), f"{runtime.shared_dir(spark)}/hits")
+    return _resolved(spark, index, hits, texts.union(_unrepeated(runtime.cast_ids(known))), words, gram, since)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, words: int = WORDS, gram: int = GRAM, batches: int = BATCHES, fan_in: int = FAN_IN, path: str | None = None, hot: int = HOT_ROWS) -> DataFrame:
     """Every passage of at least ``words`` words that an earlier document, or an earlier part of the same one, has.
 
     doc_id, start and words say where and how long it is, in words; src_id and src_start where it
     was before; char_start and char_end are its characters in the text.
-    ``docs`` is ingested in ``batches`` batches in the order of its ids.
+    ``docs`` is ingested in ``batches`` batches in the order of its ids. Where a ``path`` is given the
+    index stays there, for ``extend``.
     """
     base = runtime.shared_dir(spark)
-    texts = runtime.cast_ids(docs).filter("text IS NOT NULL")
-    if texts.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = _unrepeated(runtime.cast_ids(docs))
     span = texts.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).first()
     if span["a"] is None:
         return spark.createDataFrame([], FOUND)
@@ -427,15 +547,14 @@ def repeats(spark: SparkSession, docs: DataFrame, words: int = WORDS, gram: int
     prints = fingerprints(texts, words, gram).withColumn("part", batch.cast("int"))
     prints.write.partitionBy("part").parquet(f"{base}/prints")
     prints = spark.read.schema(f"{_PRINTS}, part int").parquet(f"{base}/prints")
-    total = prints.count()
-    index = Index(spark, max(1, -(-total // BUCKET_ROWS)), fan_in)
+    index = Index(spark, path or f"{base}/index", max(1, -(-prints.count() // BUCKET_ROWS)), fan_in, hot)
     found = None
     for k in range(batches):
-        hits = runtime.stored(index.ingest(prints.filter(F.col("part") == k).drop("part"), k), f"{base}/hits{k}")
+        hits = index.ingest(prints.filter(F.col("part") == k).drop("part"), f"{base}/hits{k}")
         found = hits if found is None else found.union(hits)
-    index.close()
-    near = runtime.stored(candidates(found, base, words, gram), f"{base}/candidates")
-    matches = runtime.stored(verify(spark, near, texts, words, gram), f"{base}/matches")
-    rest = unsettled(spark, found, prints, matches, texts, words, gram)
     runtime.forget(spark, f"{base}/prints")
-    return matches if rest is None else joined(matches.union(verify(spark, rest, texts, words, gram)))
+    done = _resolved(spark, index, found, texts, words, gram, 0)
+    for k in range(batches):
+        runtime.forget(spark, f"{base}/hits{k}")
+    index.close() if path else index.remove()
+    return done
