@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pytest
 
 from wordtide.llm import exact_dedup, near_dedup, runtime
@@ -76,6 +78,20 @@ def test_exact_matches_brute_force(spark, how):
     assert len(got) == len({x["doc_id"] for x in got})
 
 
+def test_exact_many_lanes():
+    """A run is cut into lanes in time that doesn't grow with their number."""
+    rng = np.random.default_rng(0)
+    n = 40_000
+    key = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+    sha = np.frombuffer(rng.bytes(32 * n), exact_dedup._ENTRY)
+    began = time.process_time()
+    out = list(exact_dedup._emit(0, 16, key, sha, np.ones(n, np.int64), np.arange(n)))
+    assert time.process_time() - began < 4
+    assert sum(len(x) // 8 for b in out for x in b.column("id").to_pylist()) == n
+    lanes = [x for b in out for x in b.column("lane").to_pylist()]
+    assert lanes == sorted(set(lanes))
+
+
 def test_exact_edges(spark):
     long = "y" * 1_000_000
     rows = [(1, None), (2, None), (3, ""), (4, ""), (5, "a"), (5, "a"), (None, "a"), (6, long), (7, long), (8, long + "z"), (9, "a"), (9, "b")]

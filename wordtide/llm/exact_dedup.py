@@ -6,8 +6,9 @@ kept. Runs are exchanged in binomial rounds: in round r the runs whose
 numbers agree above the lowest r * log2(FAN_IN) bits meet, and are merged
 into one sorted run. Equal 64-bit sort keys are verified by the 256-bit
 digest and the length before an entry is given up, at every level. A run is
-cut into lanes by the leading bits of its digests, so that the last round
-merges lanes side by side, none larger than LANE_ROWS entries on average.
+cut into lanes by the leading bits of its digests, into a few at first and
+into FAN_IN times as many in every round, as runs grow, so that the last rounds
+merge lanes side by side, none larger than LANE_ROWS entries on average.
 
 Results are defined for every input: a null text is no duplicate of anything;
 an empty text is a text like any other; rows repeated with one id and text are
@@ -26,11 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
+from .textkit import runs
 
 #: Runs merged at once in a round; a power of two.
 FAN_IN = 8
 #: Entries of a lane after the last round, on average.
 LANE_ROWS = 500_000
+#: A first run is cut into no more than 2 to this power lanes.
+FIRST_BITS = 6
 
 _RUN = "lane int, run int, lost boolean, key binary, sha binary, size binary, id binary"
 _ENTRY = np.dtype("S32")
@@ -77,31 +81,31 @@ def _first_runs(bits: int):
         t = pa.concat_tables(parts)
         key = t["key"].to_numpy().view(np.uint64)
         sha = np.frombuffer(t["sha"].combine_chunks().cast(pa.binary(32)).buffers()[1], _ENTRY)[: len(key)]
-        yield from _emit(number, 0, bits, key, sha, t["size"].to_numpy(), t["doc_id"].to_numpy())
+        yield from _emit(number, bits, key, sha, t["size"].to_numpy(), t["doc_id"].to_numpy())
 
     return run
 
 
-def _emit(number: int, shift: int, bits: int, key, sha, size, ids):
+def _emit(number: int, bits: int, key, sha, size, ids):
+    """A merged run, cut into the lanes of the leading ``bits`` of its keys."""
     kept, lost = _merge(key, sha, size, ids)
     for at, gone in ((kept, False), (lost, True)):
+        # both come in the order of the keys, so a lane is a range of them
         lanes = (key[at] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(at), np.int64)
-        for lane in np.unique(lanes):
-            p = at[lanes == lane]
-            yield _batch([_pack(int(lane), number >> shift, gone, key[p], sha[p], size[p], ids[p])])
+        first, count = runs(lanes)
+        for lo in range(0, len(first), 64):
+            cut = zip(first[lo : lo + 64], count[lo : lo + 64])
+            parts = [(int(lanes[f]), at[f : f + n]) for f, n in cut]
+            yield _batch([_pack(lane, number, gone, key[p], sha[p], size[p], ids[p]) for lane, p in parts])
 
 
-def _merge_runs(shift: int):
-    """Merge the runs of a lane that meet in this round; rows come grouped by (lane, run)."""
+def _merge_runs(shift: int, bits: int):
+    """Merge the runs of a lane that meet in this round, to lanes of ``bits``; rows come grouped by (lane, run)."""
 
-    def flush(lane, number, rows):
+    def flush(number, rows):
         key, size, ids = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("key", np.uint64), ("size", np.int64), ("id", np.int64)))
         sha = np.concatenate([np.frombuffer(r["sha"], _ENTRY) for r in rows])
-        kept, lost = _merge(key, sha, size, ids)
-        out = [_pack(lane, number, False, key[kept], sha[kept], size[kept], ids[kept])]
-        if len(lost):
-            out.append(_pack(lane, number, True, key[lost], sha[lost], size[lost], ids[lost]))
-        return _batch(out)
+        yield from _emit(number, bits, key, sha, size, ids)
 
     def run(batches):
         held, at = [], None
@@ -109,12 +113,12 @@ def _merge_runs(shift: int):
             for r in b.to_pylist():
                 where = (r["lane"], r["run"] >> shift)
                 if where != at and held:
-                    yield flush(*at, held)
+                    yield from flush(at[1], held)
                     held = []
                 at = where
                 held.append(r)
         if held:
-            yield flush(*at, held)
+            yield from flush(at[1], held)
 
     return run
 
@@ -140,17 +144,19 @@ def duplicates(spark: SparkSession, docs: DataFrame, fan_in: int = FAN_IN, lane_
     base = runtime.shared_dir(spark)
     d = digests(docs)
     n = d.select(F.count("*")).first()[0]
-    bits = max(0, math.ceil(math.log2(max(1, n) / lane_rows)))
+    last = max(0, math.ceil(math.log2(max(1, n) / lane_rows)))
+    step = int(math.log2(fan_in))
+    bits = min(last, FIRST_BITS)
     level = runtime.stored(d.mapInArrow(_first_runs(bits), _RUN), f"{base}/0")
     lost = level.filter("lost")
     top = level.agg(F.max("run")).first()[0] or 0
-    step = int(math.log2(fan_in))
     k = 0
     while top > 0:
         k += 1
+        bits = min(last, bits + step)
         meet = level.filter("NOT lost").withColumn("to", F.shiftright("run", step))
         meet = meet.repartition("lane", "to").sortWithinPartitions("lane", "to", "run").drop("to")
-        level = runtime.stored(meet.mapInArrow(_merge_runs(step), _RUN), f"{base}/{k}")
+        level = runtime.stored(meet.mapInArrow(_merge_runs(step, bits), _RUN), f"{base}/{k}")
         lost = lost.union(level.filter("lost"))
         top >>= step
     entry = "key long, sha binary, size long, doc_id long"

@@ -315,6 +315,11 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """``rows`` of nodes with more than one, and how many: counted before they meet, and joined, which AQE can split for a node of very many."""
+    return rows.join(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "node")
+
+
 def _blocks(rows: DataFrame, block: int, top: int) -> DataFrame:
     """Oversized dense nodes as pairs of blocks, each a node of its own: nothing is skipped."""
     parts = -(-top // block)
@@ -328,14 +333,19 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, s
     """(doc_id, dup_of) of every near-duplicate but the smallest id of its group."""
     base = runtime.shared_dir(spark)
     named = runtime.stored(signatures(docs, size, hashes, trees, threshold), f"{base}/signatures")
-    copies = named.withColumn("rep", F.min("doc_id").over(_by("sig")))
+    # minima and counts are made before rows meet, and the joins that give them back can split a hot key: no group of copies is ever in one task
+    mark = [F.xxhash64("sig").alias("m1"), F.xxhash64(F.lit(1), "sig").alias("m2")]
+    least = named.select(*mark, "doc_id").groupBy("m1", "m2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    least = runtime.stored(least.filter("n > 1").select("m1", "m2", "rep"), f"{base}/least")
+    few = runtime.sized(least, least.count())
+    copies = named.select(*mark, "doc_id", "sig", "nodes").join(few, ["m1", "m2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     copies = runtime.stored(copies.select("doc_id", "rep", *(F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("sig", "nodes"))), f"{base}/collapsed")
-    runtime.forget(spark, f"{base}/signatures")
+    for name in ("signatures", "least"):
+        runtime.forget(spark, f"{base}/{name}")
     equal = copies.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = copies.filter("sig IS NOT NULL")
 
-    keyed = reps.select(F.explode("nodes").alias("node"), "doc_id")
-    keyed = keyed.withColumn("size", F.count("*").over(_by("node"))).filter("size > 1")
+    keyed = _counted(reps.select(F.explode("nodes").alias("node"), "doc_id"))
     level = runtime.stored(keyed.join(reps.select("doc_id", "sig").dropDuplicates(["doc_id"]), "doc_id").select("node", "doc_id", "sig", "size"), f"{base}/level1")
     found, depth = [], 1
     edge = "a long, b long, rank byte"
@@ -349,10 +359,10 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, s
         top = big.agg(F.max("size")).first()[0]
         if top is None:
             break
-        down = big.mapInArrow(_branch(threshold, hashes), "node long, doc_id long, sig binary, parent long")
-        down = down.withColumn("size", F.count("*").over(_by("node"))).filter("size > 1")
+        down = runtime.stored(big.mapInArrow(_branch(threshold, hashes), "node long, doc_id long, sig binary, parent long"), f"{base}/down{depth}")
         depth += 1
-        level = runtime.stored(down, f"{base}/level{depth}")
+        level = runtime.stored(_counted(down), f"{base}/level{depth}")
+        runtime.forget(spark, f"{base}/down{depth - 1}")
         stuck = (F.col("size") > local) & ((F.col("size") > DENSE * F.col("parent")) | F.lit(depth >= LEVELS))
         dense = level.filter(stuck)
         if (most := dense.agg(F.max("size")).first()[0]) is not None:
@@ -385,8 +395,8 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, s
         again = []
         for rows, exhaustive in found:
             rows = rows.join(few, "doc_id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-            rows = rows.withColumn("_n", F.sum(F.col("open").cast("int")).over(_by("node"))).filter("_n > 1").drop("_n")
-            again.append(compared(rows, exhaustive, True))
+            wanted = rows.filter("open").groupBy("node").count().filter("count > 1").select("node")
+            again.append(compared(rows.join(wanted, "node", "left_semi"), exhaustive, True))
         pairs = pairs.union(reduce(DataFrame.union, again).select("a", "b"))
     parts, _ = joined(parts, pairs.distinct(), "near")
     for k in range(1, depth + 1):
@@ -394,12 +404,6 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, s
     return parts.select(F.col("node").alias("doc_id"), F.col("root").alias("dup_of"))
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)
-
-
 def deduplicate(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one document (the smallest id) of each near-duplicate group; all columns stay."""
     found = runtime.stored(groups(spark, docs, **how).select("doc_id"), runtime.shared_dir(spark))
