@@ -47,6 +47,19 @@ def test_loads_are_those_of_the_greedy_schedule(spark):
     assert sorted(load.values()) == sorted(x for x, _ in heap)
 
 
+def test_one_size_for_nearly_all(spark):
+    """Ranks within a popular size come from parts of its keys: every shard gets as many groups as the heap gives it."""
+    docs = [(i, f"{i:08d}") for i in range(900)] + [(1000 + i, "y" * (i + 20)) for i in range(60)]
+    rows = sharding.shard(spark, frame(spark, docs), shards=7).collect()
+    loads = np.zeros(7, np.int64)
+    for size in sorted({len(t) for _, t in docs}, reverse=True):
+        sharding.spread(loads, size, sum(len(t) == size for _, t in docs))
+    got = defaultdict(int)
+    for x in rows:
+        got[x["shard"]] += x["size"]
+    assert [got[k] for k in range(7)] == loads.tolist() and len(rows) == len(docs)
+
+
 def test_sharding_edges(spark):
     rows = [(1, None), (2, None), (3, ""), (4, "a" * 200_000), (4, "a" * 200_000), (None, "b")]
     got = sharding.shard(spark, clashing(frame(spark, rows))).collect()

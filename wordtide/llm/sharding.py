@@ -9,8 +9,8 @@ Groups of one size are interchangeable, so the heap runs over the table of
 sizes and how many groups have each; it gives every shard its number of groups
 of each size. Where many groups share a size the same numbers follow from a water
 level instead of so many pops. Groups of a size, in the order of their keys,
-then fill the shards' numbers in shard order. Only that table, whose length is the
-number of different sizes, is handled in one task.
+then fill the shards' numbers in shard order; their ranks are found in 256 parts of each
+size. Only that table, whose length is the number of different sizes, is handled in one task.
 
 Defined for every input: a null text is a group of its own; an empty text has
 size 0; repeated rows are of one group and both count; ties go as said; rows with
@@ -80,9 +80,14 @@ def assign(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(key, size, shard) of ``groups(key, size)``, one row for each group."""
     table = groups.groupBy("size").count()
     plan = table.repartition(1).sortWithinPartitions(F.desc("size")).mapInArrow(_schedule(shards), "size long, ends array<long>, homes array<int>")
-    ranked = groups.withColumn("rank", F.row_number().over(Window.partitionBy("size").orderBy("key")))
-    at = F.size(F.filter("ends", lambda e: e < F.col("rank"))) + 1
-    return ranked.join(plan, "size").select("key", "size", F.element_at("homes", at).alias("shard"))
+    # a popular size is cut by the leading byte of its keys: ranked part by part, after what the parts before it hold
+    parted = groups.withColumn("part", F.shiftright("key", 56).cast("int"))
+    before = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parted.groupBy("size", "part").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    cuts = parts.select("size", "part", "before").join(plan, "size")
+    ranked = parted.withColumn("own", F.row_number().over(Window.partitionBy("size", "part").orderBy("key")))
+    at = F.size(F.filter("ends", lambda e: e < F.col("own") + F.col("before"))) + 1
+    return ranked.join(cuts, ["size", "part"]).select("key", "size", F.element_at("homes", at).alias("shard"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS) -> DataFrame:
