@@ -72,7 +72,7 @@ def trigrams(text):
 
 
 def languages(rows, evidence=100, pull=10.0, unknown=1e-3, confidence=0.5, smoothing=0.1, cells=1 << 16):
-    """{index: language or und} of (text, lang, host) rows, fitted on all of them: the fusion in plain loops."""
+    """{index: language or und} of (text, lang, host[, suffix, declared]) rows, fitted on all of them: the fusion in plain loops."""
     names = sorted({r[1] for r in rows if r[1] is not None and r[0] is not None})
     counts = {n: np.full(cells, smoothing) for n in names}
     grams = [trigrams(r[0]) for r in rows]
@@ -88,14 +88,24 @@ def languages(rows, evidence=100, pull=10.0, unknown=1e-3, confidence=0.5, smoot
         alone.append(e / e.sum() if g else np.zeros(len(names)))
     total = sum(alone)
     overall = (total + 1) / (sum(1 for g in grams if g) + len(names))
-    hosts = {}
-    for a, r in zip(alone, rows):
-        if r[2] is not None:
-            hosts[r[2]] = hosts.get(r[2], 0) + a
+    none = np.zeros(len(names))
+    key = lambda r, k: r[k] if len(r) > k else None
+    sums = {k: {} for k in (2, 3, 4)}
+    for g, a, r in zip(grams, alone, rows):
+        for k, of in sums.items():
+            if g and key(r, k) is not None:
+                of[r[k]] = of.get(r[k], 0) + a
     out = {}
+
+    def smoothed(k, r, a, above):
+        left = np.maximum(sums[k].get(r[k], none) - a, 0) if key(r, k) is not None else none
+        return (left + pull * above) / (left.sum() + pull)
+
     for i, (g, s, a, r) in enumerate(zip(grams, text, alone, rows)):
-        left = hosts[r[2]] - a if r[2] is not None else np.zeros(len(names))
-        prior = (left + pull * overall) / (left.sum() + pull)
+        prior = smoothed(2, r, a, smoothed(3, r, a, overall))
+        if key(r, 4) is not None:
+            said = sum(sums[4].values(), none)
+            s = s + np.log((np.maximum(sums[4].get(r[4], none) - a, 0) + 1) / (np.maximum(said - a, 0) + 1 + len(sums[4])))
         scores = np.append(s + np.log(prior), -min(len(g), evidence) * math.log(cells) + math.log(unknown))
         p = np.exp(scores - scores.max())
         p = (p / p.sum())[:-1]

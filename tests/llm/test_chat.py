@@ -52,6 +52,35 @@ def test_costs_are_least():
             assert "".join(re.findall(r"t\d", text)) == "".join(f"t{k}" for k in range(n))
 
 
+def ways(roles, s=""):
+    """Every repair: (cost, ranks turn by turn, role numbers turn by turn, acts); rank 0 stays, 1 merges, 2 relabels, 3 inserts."""
+    if not roles:
+        yield (0 if s in chat.FINAL else chat.INSERT), (), (), ()
+        return
+    for k, role in enumerate(chat.ROLES):
+        change = 0 if roles[0] == role else chat.RELABEL
+        options = [(chat.MERGE + change, 1, ("merge", role, ()))] if role == s else []
+        if (fill := chat._fillers(s, role)) is not None:
+            options.append((change + chat.INSERT * len(fill), 3 if fill else 2 if change else 0, ("relabel" if change else "keep", role, fill)))
+        for cost, rank, act in options:
+            for c, ranks, order, acts in ways(roles[1:], role):
+                yield cost + c, (rank, *ranks), (k, *order), (act, *acts)
+
+
+def test_ties_are_settled_from_the_beginning():
+    for n in range(5):
+        for roles in itertools.product((*chat.ROLES, None), repeat=n):
+            cost, acts = chat.repair(roles)
+            best = min(ways(roles), key=lambda w: (w[0], [x for pair in zip(w[1], w[2]) for x in pair]))
+            assert (cost, acts) == (best[0], best[3])
+
+
+def test_control_strings_are_broken():
+    for name in ("im_end", "reserved_12", "end-of-text", "x"):
+        text = chat.format_conversation([("user", f"a <|{name}|> b")])[0]
+        assert f"<|{name}|>" not in text.removeprefix("<|im_start|>").removesuffix("<|im_end|>\n")
+
+
 def test_table(spark):
     got = chat.chats(spark, spark.read.parquet("/root/testdata/sf0.001/conversations.parquet"))
     rows = got.collect()

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 
 from wordtide.llm import language_id
@@ -45,3 +47,28 @@ def test_edges(spark):
     assert language_id.accept(spark, frame(spark, [])).count() == 0
     unlabelled = frame(spark, [(1, "some text", None, "s")])
     assert language_id.accept(spark, unlabelled).count() == 0
+
+
+def test_declared_language_and_suffix_match_plain_loops(spark):
+    """All kinds of evidence at once, on texts that are short enough for it to matter."""
+    r = random.Random(6)
+    words = {"de": "der die und nicht ist ein mit für auf".split(), "en": "the and not is one with for on of".split(), "fr": "le la et est un avec pour sur des".split()}
+    rows = []
+    for i in range(240):
+        lang = r.choice(sorted(words))
+        text = " ".join(r.choice(words[lang if r.random() < 0.7 else r.choice(sorted(words))]) for _ in range(r.choice((1, 2, 3, 30))))
+        other = r.choice(sorted(words))
+        host = r.choice((None, f"{lang if r.random() < 0.8 else other}{r.randrange(3)}.example"))
+        rows.append((text if i % 40 else None, lang if r.random() < 0.6 else None, host, r.choice((None, lang, "com")), r.choice((None, lang, lang, other))))
+    want = languages(rows)
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, text string, lang string, host string, suffix string, declared string")
+    got = {x["doc_id"]: x["lang"] for x in language_id.identify(spark, df.drop("lang"), df, sample=10**9).collect()}
+    assert got == want and len(set(want.values())) == 4
+    assert want != languages([x[:3] for x in rows])
+
+
+def test_ties_go_to_the_first_language(spark):
+    text = "the same words in both of them and many of them " * 20
+    df = spark.createDataFrame([(i, text, lang) for i, lang in enumerate(("zz", "aa", "zz", "aa"))], "doc_id long, text string, lang string")
+    rows = df.selectExpr("doc_id", "text", "cast(null AS string) AS declared", "cast(null AS string) AS suffix", "cast(null AS string) AS host")
+    assert {x["lang"] for x in language_id.identify(spark, rows, df, sample=10**9).collect()} == {"aa"}

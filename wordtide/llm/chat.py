@@ -36,7 +36,7 @@ ALIASES = {"human": "user", "prompter": "user", "customer": "user", "bot": "assi
 
 SCHEMA = "conv_id long, text string, turns int, cost int, merges int, relabels int, inserts int"
 
-_CONTROL = re.compile(r"<\|(?=[A-Za-z_]+\|>)")
+_CONTROL = re.compile(r"<\|(?=[^\s<>|]+\|>)")
 
 
 def _fillers(a: str, b: str) -> tuple[str, ...] | None:
