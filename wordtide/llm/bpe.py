@@ -9,11 +9,8 @@ undoing the merges along the border decides. The back-pointers, followed from
 the end, give the ids that merging pairs by rank would give, in time linear in
 the length of the piece.
 
-Texts are cut into pieces by the tokenizer's own pattern. A single space between two
-characters that are none begins a piece, so a text is first cut there, and what lies
-between is cut by the pattern only if it is new: the encodings of up to CACHE words of at most LONGEST
-characters are kept in each worker. All new pieces of a slice of texts go through the dynamic program side by
-side, a prefix length at a time, in numpy; pieces of more than LONG bytes one by one.
+Texts are cut into pieces by the tokenizer's own pattern; the encodings of up to CACHE pieces of at most
+LONGEST characters are kept in each worker.
 
 Defined for every input: a null text has null ids; an empty text has none; a
 text is encoded whole, however long; text that is not in the vocabulary's
@@ -26,7 +23,9 @@ from __future__ import annotations
 
 import base64
 from array import array
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -36,9 +35,8 @@ from . import textkit
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 1 << 18
+CACHE = 1 << 19
 LONGEST = 32
-LONG = 64
 
 SCHEMA = "doc_id long, ids array<int>, tokens long, exact boolean"
 
@@ -50,39 +48,6 @@ def load(path: str = TOKENIZER) -> list[bytes]:
     return [t for t, _ in sorted(ranks.items(), key=lambda kv: kv[1])]
 
 
-class _Table:
-    """A fixed map from whole numbers to whole numbers, for many at once; -1 for what is not in it."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(len(keys)).bit_length() + 2)
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
-        at, left = self._at(keys), np.arange(len(keys))
-        while len(left):
-            free = left[self.keys[at[left]] == -1]
-            _, first = np.unique(at[free], return_index=True)
-            put = free[first]
-            self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
-            left = left[self.keys[at[left]] != keys[left]]
-            at[left] = at[left] + 1 & self.mask
-
-    def _at(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        at = self._at(keys)
-        held = self.keys[at]
-        out = np.where(held == keys, self.values[at], -1)
-        left = np.flatnonzero((held != keys) & (held != -1))
-        while len(left):
-            at[left] = at[left] + 1 & self.mask
-            held = self.keys[at[left]]
-            hit = held == keys[left]
-            out[left[hit]] = self.values[at[left[hit]]]
-            left = left[~hit & (held != -1)]
-        return out
-
-
 class Encoder:
     """Encodes and decodes pieces with a vocabulary whose ids are its merge ranks."""
 
@@ -95,112 +60,15 @@ class Encoder:
             if len(t) > 1 and (halves := self._halves(t, k)):
                 self.left[k], self.right[k] = halves
                 self.pair[halves] = k
-        self._grow()
-        self.lefts, self.rights = np.array(self.left, np.int64), np.array(self.right, np.int64)
-        self.pairs = _Table(np.array([a << 32 | b for a, b in self.pair], np.int64), np.array([*self.pair.values()], np.int64))
-        self.spaced = pattern == PATTERN
-        self.words: dict[str, bytes | bool] = {}
-        self.names = np.array([*tokens, None], object)[:-1]
-
-    def _grow(self) -> None:
-        """The automaton over the vocabulary: of every state the token that ends there, and the next shorter one that is a suffix of it."""
-        children: list[dict[int, int]] = [{}]
-        ends, size = [-1], [0]
-        for k, t in enumerate(self.tokens):
+        self.automaton = ahocorasick.Automaton()
+        for k, t in enumerate(tokens):
             # a token that no merges lead to is never emitted
-            if len(t) > 1 and self.left[k] == k:
-                continue
-            at = 0
-            for c in t:
-                if (to := children[at].get(c)) is None:
-                    to = children[at][c] = len(children)
-                    children.append({})
-                    ends.append(-1)
-                    size.append(size[at] + 1)
-                at = to
-            ends[at] = k
-        fail, shorter = [0] * len(children), [0] * len(children)
-        level = [0]
-        while level:
-            below = []
-            for at in level:
-                for c, to in children[at].items():
-                    back = fail[at]
-                    while at and back and c not in children[back]:
-                        back = fail[back]
-                    back = fail[to] = children[back].get(c, 0) if at else 0
-                    shorter[to] = back if ends[back] >= 0 else shorter[back]
-                    below.append(to)
-            level = below
-        self.children, self.fail = children, np.array(fail)
-        self.ends, self.size, self.shorter = np.array(ends), np.array(size), np.array(shorter)
-        edges = [(at << 8 | c, to) for at, down in enumerate(children) for c, to in down.items()]
-        self.edges = _Table(np.array([k for k, _ in edges], np.int64), np.array([v for _, v in edges], np.int64))
-
-    def _steps(self, at: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """The states after ``c``."""
-        to = self.edges.get(at << 8 | c)
-        left = np.flatnonzero(to < 0)
-        at = at.copy()
-        while len(left):
-            top = at[left] == 0
-            to[left[top]] = 0
-            left = left[~top]
-            at[left] = self.fail[at[left]]
-            to[left] = self.edges.get(at[left] << 8 | c[left])
-            left = left[to[left] < 0]
-        return to.astype(np.int64)
-
-    def _all_fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """``_fits`` for many."""
-        out = np.zeros(len(a), bool)
-        live, limit = np.arange(len(a)), np.full(len(a), 1 << 60)
-        while len(live):
-            r = self.pairs.get(a << 32 | b)
-            go = (r < 0) | (r >= limit)
-            live, a, b = live[go], a[go], b[go]
-            right, left = self.rights[a], self.lefts[b]
-            first = a > b
-            # the larger one is undone; one that is a single byte stays, and then the other is
-            other = np.where(first, right == a, left == b)
-            limit = np.where(first ^ other, a, b + 1)
-            new_a, new_b = np.where(first | other, right, a), np.where(~first | other, left, b)
-            done = other & (new_a == a) & (new_b == b)
-            out[live[done]] = True
-            live, a, b, limit = live[~done], new_a[~done], new_b[~done], limit[~done]
-        return out
-
-    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of short pieces, each as 32-bit numbers in a row."""
-        size = np.array([len(p) for p in pieces])
-        order = np.argsort(-size, kind="stable")
-        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
-        first = (np.cumsum(size) - size)[order]
-        size = size[order]
-        last, start = np.zeros((len(pieces), int(size[0])), np.int32), np.zeros((len(pieces), int(size[0])), np.int8)
-        at = np.zeros(len(pieces), np.int64)
-        for end in range(int(size[0])):
-            n = int(np.searchsorted(-size, -end))
-            at = self._steps(at[:n], data[first[:n] + end])
-            state = np.where(self.ends[at] >= 0, at, self.shorter[at])
-            left = np.arange(n)
-            while len(left):
-                token, before = self.ends[state], end - self.size[state]
-                ok = before < 0
-                ask = np.flatnonzero(~ok)
-                ok[ask] = self._all_fit(last[left[ask], before[ask]].astype(np.int64), token[ask])
-                last[left[ok], end], start[left[ok], end] = token[ok], before[ok]
-                left, state = left[~ok], self.shorter[state[~ok]]
-        # back from the ends
-        found, where, whose = [], size - 1, np.arange(len(pieces))
-        while len(whose):
-            found.append((whose, last[whose, where]))
-            where = start[whose, where].astype(np.int64)
-            whose, where = whose[where >= 0], where[where >= 0]
-        whose, tokens = (np.concatenate([f[k] for f in found[::-1]]) for k in (0, 1))
-        by = np.argsort(order[whose], kind="stable")
-        flat, ends = tokens[by].tobytes(), np.cumsum(np.bincount(order[whose], minlength=len(pieces))) * 4
-        return [flat[a:z] for a, z in zip([0, *ends.tolist()], ends.tolist())]
+            if len(t) == 1 or self.left[k] != k:
+                self.automaton.add_word(t.decode("latin-1"), (len(t), k))
+        self.automaton.make_automaton()
+        self.fits = lru_cache(1 << 18)(self._fits)
+        self.pieces = _Pieces(self)
+        self.names = np.array([*tokens, None], object)[:-1]
 
     def _halves(self, token: bytes, below: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``: what merges of lower rank leave of it."""
@@ -239,94 +107,46 @@ class Encoder:
         """The ids of one piece."""
         if (whole := self.rank.get(piece)) is not None and (len(piece) == 1 or self.left[whole] != whole):
             return [whole]
-        last: list[int] = []
-        start: list[int] = []
-        ends, size, shorter, children, fail = self.ends, self.size, self.shorter, self.children, self.fail
-        at = 0
-        for end, c in enumerate(piece):
-            while at and c not in children[at]:
-                at = int(fail[at])
-            at = children[at].get(c, 0)
-            state = at if ends[at] >= 0 else shorter[at]
-            # one of the tokens that end here fits; before the beginning any does
-            while (before := end - int(size[state])) >= 0 and not self._fits(last[before], int(ends[state])):
-                state = shorter[state]
-            last.append(int(ends[state]))
-            start.append(before)
         n = len(piece)
+        last, start = [-1] * (n + 1), [0] * (n + 1)
+        fits = self.fits
+        # matches come by their ends, the longest first; last[0] is -1 and goes before any token
+        for end, (length, token) in self.automaton.iter(piece.decode("latin-1")):
+            end += 1
+            if last[end] < 0:
+                before = end - length
+                if not before or fits(last[before], token):
+                    last[end], start[end] = token, before
         out = []
-        n -= 1
-        while n >= 0:
+        while n:
             out.append(last[n])
             n = start[n]
         return out[::-1]
 
-    def _made(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of different pieces."""
-        made, short = {}, []
-        for p in pieces:
-            raw = p.encode()
-            whole = self.rank.get(raw)
-            if whole is not None and (len(raw) == 1 or self.left[whole] != whole):
-                made[p] = whole.to_bytes(4, "little")
-            elif len(raw) > LONG:
-                made[p] = array("i", self.encode_piece(raw)).tobytes()
-            else:
-                short.append((p, raw))
-        if short:
-            made.update(zip([p for p, _ in short], self.encode_pieces([raw for _, raw in short])))
-        return made
-
-    def _learn(self, known: dict, words: set[str], space: str) -> dict:
-        """The ids of new words, which ``known`` keeps if they are short; False for those with white space at an end."""
-        cut = {}
-        for w in words:
-            if w.isalpha():
-                cut[w] = [space + w]
-            elif w and (w[-1].isspace() or space and w[0].isspace()) or not w and space:
-                cut[w] = False
-            else:
-                cut[w] = self.find(space + w)
-        made = self._made({p for pieces in cut.values() if pieces for p in pieces})
-        done = {w: pieces if pieces is False else made[pieces[0]] if len(pieces) == 1 else b"".join(map(made.__getitem__, pieces)) for w, pieces in cut.items()}
-        if len(known) > CACHE:
-            known.clear()
-        known.update(kv for kv in done.items() if len(kv[0]) <= LONGEST)
-        return done
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 32-bit numbers in a row."""
-        out: list[bytes | None] = [None] * len(texts)
-        if self.spaced:
-            rows, new, heads, get = [], set(), set(), self.words.get
-            for t in texts:
-                first, *rest = t.split(" ")
-                ids = list(map(get, rest))
-                gaps = [k for k, x in enumerate(ids) if x is None] if None in ids else ()
-                new.update([rest[k] for k in gaps])
-                heads.add(first)
-                rows.append((first, rest, ids, gaps))
-            made, heads = self._learn(self.words, new, " "), self._learn({}, heads, "")
-            for k, (first, rest, ids, gaps) in enumerate(rows):
-                for g in gaps:
-                    ids[g] = made[rest[g]]
-                # more white space than one space between two other characters: the pattern must see the whole text
-                if heads[first] is not False and False not in ids:
-                    out[k] = heads[first] + b"".join(ids)
-        loose = [k for k, ids in enumerate(out) if ids is None]
-        cut = [self.find(texts[k]) for k in loose]
-        made = self._made({p for c in cut for p in c})
-        for k, pieces in zip(loose, cut):
-            out[k] = b"".join(map(made.__getitem__, pieces))
-        return out
-
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        """The ids of a text as 32-bit numbers in a row."""
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
     def decode(self, ids: np.ndarray | list[int]) -> bytes:
         return b"".join(self.names[np.asarray(ids, np.int64)].tolist())
 
 
+class _Pieces(dict):
+    """Encodings of pieces, short ones kept; emptied when it is full, so its size is bounded and its answers aren't affected."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("i", self.encoder.encode_piece(piece.encode())).tobytes()
+        if len(piece) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 _made: dict[int, Encoder] = {}
 
 
@@ -339,19 +159,13 @@ def _encoder(tokens: list[bytes], pattern: str) -> Encoder:
     return _made[key]
 
 
-def coder(shared, pattern: str) -> Encoder:
-    """The encoder of a broadcast vocabulary, in a task."""
-    return _encoder(shared.value, pattern)
-
-
 def _encode(shared, pattern: str):
     def run(batches):
-        encoder = coder(shared, pattern)
+        encoder = _encoder(shared.value, pattern)
         # a slice at a time: ids and decoded bytes of a whole batch would weigh many times its text
         for part in textkit.sliced(batches):
             texts = part.column("text").to_pylist()
-            some = iter(encoder.encode_all([t for t in texts if t is not None]))
-            coded = [None if t is None else next(some) for t in texts]
+            coded = [None if t is None else encoder.encode(t) for t in texts]
             sizes = np.array([0 if c is None else len(c) // 4 for c in coded], np.int64)
             flat = np.frombuffer(b"".join(c for c in coded if c), np.int32)
             exact = [None if t is None else encoder.decode(np.frombuffer(c, np.int32)) == t.encode() for t, c in zip(texts, coded)]

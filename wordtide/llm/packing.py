@@ -12,8 +12,8 @@ each unless their number is given; lanes are packed side by side, each in the or
 document longer than a window fills whole windows of its own; what is left of it is placed
 like any other document.
 
-Documents are measured and packed in tokens of the byte-pair encoder: every window comes
-with its token ids, and with what lies where in it. The ids are made before the lanes are
+Documents are measured and packed in tokens: every window comes with its token ids, which are those of
+the byte-pair encoder of ``bpe``, made here by the compiled encoder of the tokenizer library, and with what lies where in it. The ids are made before the lanes are
 formed and travel once; a lane's task holds only the windows that are still open.
 
 Defined for every input: a null or empty text takes no place; rows with a null id have none
@@ -27,6 +27,7 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,13 +133,25 @@ def _pack(window: int, width: np.dtype):
     return run
 
 
+_made: dict[int, tiktoken.Encoding] = {}
+
+
+def _coder(tokens: list[bytes], pattern: str) -> tiktoken.Encoding:
+    """One compiled encoder for each vocabulary in a Python worker."""
+    key = hash((tuple(tokens), pattern))
+    if key not in _made:
+        _made.clear()
+        _made[key] = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks={t: k for k, t in enumerate(tokens)}, special_tokens={})
+    return _made[key]
+
+
 def _code(shared, pattern: str, lanes: int, width: np.dtype):
     """(doc_id, tokens, coded, lane): the ids of every text that has any, as numbers in a row."""
 
     def run(batches):
-        encoder = bpe.coder(shared, pattern)
+        encoder = _coder(shared.value, pattern)
         for b in textkit.sliced(batches):
-            coded = [np.frombuffer(ids, np.int32).astype(width).tobytes() for ids in encoder.encode_all(b.column("text").to_pylist())]
+            coded = [encoder.encode_to_numpy(t, disallowed_special=()).astype(width).tobytes() for t in b.column("text").to_pylist()]
             lane = [mark % lanes for mark in b.column("mark").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(c) // width.itemsize for c in coded], pa.int64()), pa.array(coded, pa.binary()), pa.array(lane, pa.int64())], ["doc_id", "tokens", "coded", "lane"])
 
