@@ -81,6 +81,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # all pairs of word triples; groups by the least id that can be reached
+    "op1_near_dedup": """
+        WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS w FROM documents WHERE text IS NOT NULL),
+        triples AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS t FROM words WHERE len(w) > 0),
+        sizes AS (SELECT doc_id, count(*) AS n FROM triples GROUP BY 1),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM triples a JOIN triples b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        edges AS (SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE s.n >= 0.5 * (x.n + y.n - s.n)),
+        links AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+        reach(node, root) AS (SELECT a, b FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.root)
+        SELECT node AS doc_id, min(root) AS dup_of FROM reach GROUP BY node HAVING min(root) < node""",
     "op2_topk": """
         SELECT vec_id, rank, neighbor_id, score FROM (
             SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor_id) AS INTEGER) AS rank FROM (
