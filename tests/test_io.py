@@ -55,7 +55,9 @@ def test_reports(spark, tmp_path):
     assert log.table(spark).first()["step"] == "read"
 
 
-def test_stream_gives_what_the_table_gives(spark, tmp_path):
+@pytest.mark.parametrize(("learner", "method"), [("mnb", learners.vanilla), ("mnb4sketch", learners.sketch_form), ("mnbfading", learners.fading)])
+def test_stream_gives_what_the_table_gives(spark, monkeypatch, tmp_path, learner, method):
+    monkeypatch.setattr(prequential, "EVERY", 2)
     table = streams.labelled_stream(spark, DATA).orderBy("seq").collect()
     cuts = [table[:20], table[20:50], table[50:]]
     for k, part in enumerate(cuts):
@@ -63,9 +65,9 @@ def test_stream_gives_what_the_table_gives(spark, tmp_path):
         __import__("time").sleep(1.1)
     stream = spark.readStream.schema(prequential.TIMED).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     votes = []
-    q = prequential.learn_stream(stream, str(tmp_path / "model"), str(tmp_path / "check"), lambda df, n: votes.extend(map(tuple, df.collect())))
+    q = prequential.learn_stream(stream, str(tmp_path / "model"), str(tmp_path / "check"), lambda df, n: votes.extend(map(tuple, df.collect())), learner)
     q.awaitTermination(300)
-    want = {r["seq"]: r for r in learners.vanilla(streams.labelled_stream(spark, DATA)).collect()}
+    want = {r["seq"]: r for r in method(streams.labelled_stream(spark, DATA)).collect()}
     assert len(votes) == len(want)
     for seq, label, p0, p1, pred in votes:
         assert (label, pred) == (want[seq]["label"], want[seq]["pred"]) and p0 == pytest.approx(want[seq]["p0"], abs=1e-9)
@@ -118,6 +120,22 @@ def test_app(spark, tmp_path):
     assert app.base_learners("ensemble_3") == 3 and app.base_learners("mnb") is None
 
 
+def test_online(spark, tmp_path):
+    """Documents read as a stream get the votes of the batch."""
+    config = app.parse(["online", "--data", DATA, "--scheme", "prequential", "--learner", "mnb", "--output", str(tmp_path / "out")])
+    got = {r["seq"]: r for r in app.run(spark, config).votes.collect()}
+    want = {r["seq"]: r for r in learners.vanilla(streams.labelled_stream(spark, DATA)).collect()}
+    assert got.keys() == want.keys() and all(got[k]["p0"] == pytest.approx(want[k]["p0"], abs=1e-9) for k in want)
+    assert app.Run("online", "", "prequential", "mnb", output="x").problems() and app.Run("online", DATA, "prequential", "mnb4timeseries", output="x").problems()
+
+
+def test_reports_of_an_ensemble(spark):
+    stream = streams.labelled_stream(spark, DATA).filter("seq < 60")
+    tables = app.evaluate(stream, "ensemble_2", tracked=("the",)).reports
+    assert {"base_learners", "base_learner_weights", "diversity", "forecasts", "window_counts"} <= set(tables)
+    assert tables["base_learners"].count() and tables["base_learner_weights"].count() and tables["window_counts"].count()
+
+
 def test_library_stands_without_the_training_data_operators(tmp_path):
     """The entry imports when that subpackage is gone, and other import errors are not hidden."""
     import shutil

@@ -2,8 +2,8 @@
 
 import math
 import random
-from collections import defaultdict
-from datetime import datetime
+from collections import Counter, defaultdict
+from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pytest
@@ -365,3 +365,48 @@ def test_adwin_skips_only_where_nothing_is_cut():
         for i in range(900):
             x = float(r.random() < (p if i < 450 else q))
             assert a.add(x) == b.add(x) and a.n == b.n
+
+
+def test_learners_behind_a_sketch(spark):
+    """A word that was evicted and comes back begins anew: the learner over renamed tokens, by plain loops."""
+    r = random.Random(11)
+    rows = [(i, datetime(2020, 1, 1) + timedelta(seconds=i), i % 2, " ".join(f"w{r.randrange(12)}" for _ in range(4))) for i in range(40)]
+    stream = spark.createDataFrame(rows, "seq long, ts timestamp, label int, text string")
+    seen = sketches.sketched(tk.tokens(stream), 5).collect()
+    sketch, epoch, want = sketches.SpaceSaving(5), {}, set()
+    for seq, _, _, text in rows:
+        for w in sorted(set(text.split())):
+            if w not in sketch.count:
+                epoch[w] = epoch.get(w, 0) + 1
+            sketch.add(w, float(text.split().count(w)))
+            want.add((seq, w if epoch[w] == 1 else f"{w}\x01{epoch[w]}"))
+    assert {(x["seq"], x["word"]) for x in seen} == want and any(n > 1 for n in epoch.values())
+    assert learners.vanilla(stream, sketches.sketched(tk.tokens(stream), 5)).count() == 40
+
+
+def test_merged_sketch_bounds(spark):
+    r = random.Random(12)
+    words = [f"w{int(r.paretovariate(0.8))}" for _ in range(4000)]
+    df = spark.createDataFrame([(i, w, 1.0) for i, w in enumerate(words)], "seq long, word string, x double").repartition(5)
+    true = Counter(words)
+    got = {x["word"]: (x["n"], x["error"]) for x in sketches.merged_sketch(df, 60).collect()}
+    assert len(got) == 60 and all(true[w] <= n + 1e-6 and n - e <= true[w] + 1e-6 for w, (n, e) in got.items())
+    error = next(iter(got.values()))[1]
+    assert error <= len(words) / 60 and {w for w, n in true.items() if n > error} <= set(got)
+
+
+def test_months_before(spark):
+    rows = [(1, 2020, 1), (2, 2020, 1), (3, 2020, 2), (4, 2020, 4), (5, 2020, 5), (6, 2020, 5)]
+    counted = spark.createDataFrame([(s, datetime(y, m, 3), "w", s % 2, float(s)) for s, y, m in rows], "seq long, ts timestamp, word string, label int, x double")
+    got = {x["seq"]: (x["v0"], x["v1"]) for x in lexical.loaded_before(counted, lexical.monthly_sentiment(counted)).collect()}
+    assert got == {3: (2.0, 1.0), 4: (1.0, 2.0), 5: (2.0, 1.5), 6: (2.0, 1.5)}
+
+
+def test_periods_begin_with_a_document(spark):
+    day = 86_400
+    rows = [(1, 10, 0, "a"), (2, day + 10, 1, "a"), (3, day + 11, 0, "a"), (4, 4 * day + 20, 1, "a"), (5, 4 * day + 30, 0, "a")]
+    got = [(x["start"], x["n0"], x["n1"]) for x in windows.anchored_counts(stream(spark, rows), "day").orderBy("start").collect()]
+    at = int(datetime(2024, 1, 1).timestamp())
+    assert [(s - at, a, b) for s, a, b in got] == [(10, 1, 1), (day + 11, 1, 0), (2 * day + 11, 0, 0), (3 * day + 11, 0, 0), (4 * day + 11, 0, 0), (4 * day + 20, 1, 1)]
+    assert windows._moved(int(datetime(2024, 3, 31, tzinfo=timezone.utc).timestamp()), "month", -1) == int(datetime(2024, 2, 29, tzinfo=timezone.utc).timestamp())
+    assert windows.anchored_counts(stream(spark, rows).limit(0), "day").count() == 0

@@ -5,7 +5,8 @@ All steps but stemming are built-in expressions. A null text gives a null, an em
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -68,6 +69,7 @@ def negations(words: Column, verbs: Sequence[str] = lexicons.VERBS, antonyms: Ma
     def one(z: Column) -> Column:
         at = lambda k: z.getField(field[k])
         t = at(0)
+        untouched = ~(is_negation(t) | is_negation(at(-1)) | is_negation(at(-2)))
         plain = F.when(at(1).isNotNull(), F.replace(t, F.lit("n't"), F.lit("not"))).otherwise(t)
         verb, filler, other = (lambda k: _in(at(k), verbs)), (lambda k: _in(at(k), fillers)), (lambda k: _in(at(k), listed))
         skips = lambda k: filler(k) & at(k + 1).isNotNull()
@@ -79,7 +81,8 @@ def negations(words: Column, verbs: Sequence[str] = lexicons.VERBS, antonyms: Ma
         )
         after = is_negation(at(-1)) & ~is_negation(t)
         return (
-            F.when(is_negation(t), negated)
+            F.when(untouched, t)
+            .when(is_negation(t), negated)
             .when(after & (verb(0) | skips(0) | other(0)), none)
             .when(is_negation(at(-2)) & ~verb(-1) & filler(-1) & ~is_negation(t) & other(0), none)
             .otherwise(t)
@@ -121,15 +124,34 @@ def rejoin(words: Column) -> Column:
     return F.array_join(words, " ")
 
 
+#: Texts that may hold a token which a step changes; the others pass it as they are.
+_MARKED = r"(?:^| )(?:[:;=()@#*]|http|haha|lol|&lt;|<3)"
+_NEGATED = r"n't|not|nor|neither"
+
+
+def _where(text: Column, guard: str, step: Callable[[Column], Column]) -> Column:
+    """The text with a step of the chain done on its words, if the guard finds that it may change any."""
+    return F.when(text.rlike(guard), rejoin(step(F.split(text, " ")))).otherwise(text)
+
+
 def clean(text: Column) -> Column:
-    """The whole chain but stemming: a cleaned text."""
-    words = unmark(emoticons(split_words(text)))
-    words = F.transform(negations(words), squeeze)
-    words = F.transform(colloquial(words), letters)
-    return rejoin(without_stop_words(words))
+    """The whole chain but stemming: a cleaned text.
+
+    What a step does to each word alone is done on the whole text at once where no pattern
+    reaches over a space; steps on single words run only where a text may hold one of them.
+    """
+    text = F.lower(F.rtrim(text))
+    text = _where(text, _MARKED, lambda words: unmark(emoticons(words)))
+    text = squeeze(_where(text, _NEGATED, negations))
+    text = _where(text, "(?:^| )(?:" + "|".join(lexicons.COLLOQUIAL) + ")(?: |$)", colloquial)
+    text = F.regexp_replace(text, "[^a-zA-Z ]+", "")
+    return rejoin(without_stop_words(F.split(text, " ")))
+
+
+_stem = lru_cache(1 << 16)(stem)
 
 
 @F.pandas_udf(StringType())
 def stemmed(text: pd.Series) -> pd.Series:
-    """Every word of a text by its stem."""
-    return text.map(lambda t: None if t is None else " ".join(map(stem, t.split(" "))))
+    """Every word of a text by its stem; a worker stems a word once."""
+    return text.map(lambda t: None if t is None else " ".join(map(_stem, t.split(" "))))

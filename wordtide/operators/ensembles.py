@@ -16,10 +16,10 @@ CHUNK = 2 * 3600
 _EPSILON = 1e-9
 
 
-def sliding_votes(stream: DataFrame, spans: Mapping[str, int] | None = None) -> DataFrame:
+def sliding_votes(stream: DataFrame, spans: Mapping[str, int] | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Votes of plain learners over several sliding windows; without any, of the one that never forgets."""
     spans = {f"w{k}": s for k, s in enumerate(SPANS, 1)} if spans is None else spans
-    out = [ln.windowed(stream, s).withColumn("learner", F.lit(name)) for name, s in spans.items()] or [ln.vanilla(stream).withColumn("learner", F.lit("all"))]
+    out = [ln.windowed(stream, s, counted).withColumn("learner", F.lit(name)) for name, s in spans.items()] or [ln.vanilla(stream, counted).withColumn("learner", F.lit("all"))]
     whole = out[0]
     for more in out[1:]:
         whole = whole.unionByName(more)
@@ -42,9 +42,10 @@ def weighted_average(votes: DataFrame) -> DataFrame:
 
 
 def scaled_votes(votes: DataFrame) -> DataFrame:
-    """Votes times their weight over one more than the number of learners, summed up."""
-    scale = lambda c: (F.sum(F.col(c) * F.col("weight")) / (F.count("*") + 1)).alias(c)
-    return _voted(votes.groupBy("seq", "label").agg(scale("p0"), scale("p1")))
+    """Votes times their weight over one more than the number of learners, summed up, as shares of both classes: a weight may be next to infinite."""
+    scale = lambda c: (F.sum(F.col(c) * F.col("weight")) / (F.count("*") + 1)).alias(f"_{c}")
+    share = lambda c: F.coalesce(F.try_divide(F.col(f"_{c}"), F.col("_p0") + F.col("_p1")), F.lit(0.0)).alias(c)
+    return _voted(votes.groupBy("seq", "label").agg(scale("p0"), scale("p1")).select("seq", "label", share("p0"), share("p1")))
 
 
 def _chunked(votes: DataFrame, stream: DataFrame, seconds: int) -> DataFrame:

@@ -57,18 +57,28 @@ def _score(docs: DataFrame, words: DataFrame, base: list[Column], word: list[Col
     return both.select("seq", "label", *((b + zero(f"w{c}")).alias(f"s{c}") for c, b in zip(CLASSES, base)), F.col("first"))
 
 
-def scores_vanilla(stream: DataFrame) -> DataFrame:
+def _counted(stream: DataFrame, counted: DataFrame | None) -> DataFrame:
+    """The tokens that a learner sees: those given, or all words of the stream."""
+    return settled(tk.tokens(stream) if counted is None else counted)
+
+
+def scores_vanilla(stream: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Log scores ln(1 + N_c) - n ln(V1 + 2 + T_c) + sum of x ln(1 + n_wc), from the state before each document."""
-    counted = settled(tk.tokens(stream))
-    docs = _prior_documents(tk.documents(stream, counted)).withColumn("first", F.col("n0") + F.col("n1") == 0)
-    words = prior(counted, ["word"], "seq", {f"c{c}": _of(c, F.col("x")) for c in CLASSES})
+    counted = _counted(stream, counted)
+    docs = _prior_documents(tk.documents(stream, counted))
+    return vanilla_scores(docs, prior(counted, ["word"], "seq", {f"c{c}": _of(c, F.col("x")) for c in CLASSES}))
+
+
+def vanilla_scores(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """The plain learner's scores of documents and words that come with the state before them."""
+    docs = docs.withColumn("first", F.col("n0") + F.col("n1") == 0)
     base = [F.log(SMOOTHING + F.col(f"n{c}")) - F.col("n") * F.log(SMOOTHING * (F.col("v1") + 2) + F.col(f"t{c}")) for c in CLASSES]
     return _score(docs, words, base, [F.log(SMOOTHING + F.col(f"c{c}")) for c in CLASSES])
 
 
-def vanilla(stream: DataFrame) -> DataFrame:
+def vanilla(stream: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Votes of plain multinomial Naive Bayes."""
-    return votes(scores_vanilla(stream))
+    return votes(scores_vanilla(stream, counted))
 
 
 def _normalised(docs: DataFrame, words: DataFrame, p: list[Column], t: list[Column], m: list[Column]) -> DataFrame:
@@ -87,18 +97,24 @@ def sketch_form(stream: DataFrame, counted: DataFrame | None = None) -> DataFram
     ``counted`` are tokens with the ``epoch`` of their word, where the sketch evicts; without them none is evicted.
     """
     plain = settled(tk.tokens(stream))
-    counted = plain.withColumn("epoch", F.lit(1)) if counted is None else counted
-    docs = _prior_documents(tk.documents(stream, plain)).withColumn("first", F.col("n0") + F.col("n1") == 0)
-    words = prior(counted, ["word", "epoch"], "seq", {f"c{c}": _of(c, F.col("x")) for c in CLASSES})
+    counted = plain if counted is None else counted
+    counted = counted if "epoch" in counted.columns else counted.withColumn("epoch", F.lit(1))
+    docs = _prior_documents(tk.documents(stream, plain))
+    return votes(sketch_scores(docs, prior(counted, ["word", "epoch"], "seq", {f"c{c}": _of(c, F.col("x")) for c in CLASSES})))
+
+
+def sketch_scores(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """The sketch learner's scores of documents and words that come with the state before them."""
+    docs = docs.withColumn("first", F.col("n0") + F.col("n1") == 0)
     p = [SMOOTHING + F.col(f"n{c}") for c in CLASSES]
     t = [SMOOTHING * (F.col("v1") - 1) + F.col(f"t{c}") for c in CLASSES]
     m = [F.when(F.col(f"c{c}") > 0, SMOOTHING + F.col(f"c{c}")).otherwise(0.0) for c in CLASSES]
-    return votes(_normalised(docs, words, p, t, m))
+    return _normalised(docs, words, p, t, m)
 
 
-def _numbered(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _numbered(stream: DataFrame, counted: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Documents with their prior state and position, and tokens with that position."""
-    counted = settled(tk.tokens(stream))
+    counted = _counted(stream, counted)
     docs = settled(ordinal(tk.documents(stream, counted), "seq", "pos"))
     return docs, counted.join(docs.select("seq", "pos"), "seq")
 
@@ -112,20 +128,26 @@ def _fade(now: Column, then: Column, degree: float, period: float) -> Column:
     return F.pow(F.lit(2.0), -degree * (now - then) / period)
 
 
-def fading(stream: DataFrame, degree: float = FADING["degree"], period: float = FADING["period"]) -> DataFrame:
+def fading(stream: DataFrame, counted: DataFrame | None = None, degree: float = FADING["degree"], period: float = FADING["period"]) -> DataFrame:
     """Votes of the learner whose counts fade with the documents since they last grew."""
-    docs, counted = _numbered(stream)
+    docs, counted = _numbered(stream, counted)
     last = {f"last{c}": _at(c) for c in CLASSES}
     sums = {f"n{c}": _of(c, F.lit(1.0)) for c in CLASSES} | {f"t{c}": _of(c, F.col("n")) for c in CLASSES}
     v1 = F.broadcast(tk.first_vocabulary(docs))
-    docs = prior(docs, [], "seq", sums, last).crossJoin(v1).withColumn("first", F.col("pos") == 1)
+    docs = prior(docs, [], "seq", sums, last).crossJoin(v1)
     words = prior(counted, ["word"], "seq", {f"c{c}": _of(c, F.col("x")) for c in CLASSES}, last)
+    return votes(fading_scores(docs, words, degree, period))
+
+
+def fading_scores(docs: DataFrame, words: DataFrame, degree: float = FADING["degree"], period: float = FADING["period"]) -> DataFrame:
+    """The fading learner's scores of documents and words that come with the state before them."""
+    docs = docs.withColumn("first", F.col("pos") == 1)
     trained = F.col("pos") - 1
     f = [_fade(trained, F.coalesce(F.col(f"last{c}"), F.lit(0)), degree, period) for c in CLASSES]
     p = [(SMOOTHING + F.col(f"n{c}")) * f[c] for c in CLASSES]
     t = [(SMOOTHING * (F.col("v1") - 1) + F.col(f"t{c}")) * f[c] for c in CLASSES]
     m = [F.when(F.col(f"c{c}") > 0, (SMOOTHING + F.col(f"c{c}")) * f[c]).otherwise(0.0) for c in CLASSES]
-    return votes(_normalised(docs, words, p, t, m))
+    return _normalised(docs, words, p, t, m)
 
 
 def _accumulated(df: DataFrame, by: list[str], x: Column, names: list[str], degree: float, period: float) -> DataFrame:
@@ -138,9 +160,9 @@ def _accumulated(df: DataFrame, by: list[str], x: Column, names: list[str], degr
     return df.withColumns(now).drop(*(f"_{k}{c}" for k in "ya" for c in CLASSES))
 
 
-def aggressive(stream: DataFrame, degree: float = AGGRESSIVE["degree"], period: float = AGGRESSIVE["period"]) -> DataFrame:
+def aggressive(stream: DataFrame, counted: DataFrame | None = None, degree: float = AGGRESSIVE["degree"], period: float = AGGRESSIVE["period"]) -> DataFrame:
     """Votes of the learner that accumulates faded increments."""
-    docs, counted = _numbered(stream)
+    docs, counted = _numbered(stream, counted)
     v1 = F.broadcast(tk.first_vocabulary(docs))
     docs = settled(_accumulated(docs, [], F.lit(1.0), ["n0", "n1"], degree, period).drop("last0", "last1"))
     docs = _accumulated(docs, [], F.col("n"), ["t0", "t1"], degree, period).crossJoin(v1).withColumn("first", F.col("pos") == 1)
@@ -162,12 +184,12 @@ def window_starts(docs: DataFrame, seconds: int) -> DataFrame:
     return timed.withColumn("lo", F.coalesce(F.col("_last._lo"), F.col("seq"))).drop("_s", "_lo", "_last")
 
 
-def windowed(stream: DataFrame, seconds: int) -> DataFrame:
+def windowed(stream: DataFrame, seconds: int, counted: DataFrame | None = None) -> DataFrame:
     """Votes of plain Naive Bayes that has un-learned what its sliding window no longer holds.
 
     A windowed count is the difference of two prefix sums: before the document, and before the window's first one.
     """
-    counted = settled(tk.tokens(stream))
+    counted = _counted(stream, counted)
     docs = settled(window_starts(settled(_prior_documents(tk.documents(stream, counted))), seconds))
     state = [f"{k}{c}" for k in "nt" for c in CLASSES]
     gone = docs.select(F.col("seq").alias("lo"), *(F.col(k).alias(f"{k}_gone") for k in state))
@@ -195,9 +217,9 @@ def model(stream: DataFrame) -> DataFrame:
     return both.select("word", "n0", "n1", *(((SMOOTHING + F.col(f"n{c}")) / (SMOOTHING * (F.col("v1") + 2) + F.col(f"t{c}"))).alias(f"p_word_{c}") for c in CLASSES))
 
 
-def time_series(stream: DataFrame, names: Sequence[str] = fc.EXPERTS) -> DataFrame:
+def time_series(stream: DataFrame, counted: DataFrame | None = None, names: Sequence[str] = fc.EXPERTS) -> DataFrame:
     """Votes of the learner that puts forecasts in the place of counts; there is no term for the length."""
-    counted = settled(tk.tokens(stream))
+    counted = _counted(stream, counted)
     words, classes = fc.document_forecasts(counted, stream, names)
     share = [F.log((F.col(f"f{c}") + SMOOTHING) / (F.col("f0") + F.col("f1") + 2 * SMOOTHING)) for c in CLASSES]
     start = F.broadcast(stream.agg(F.min("seq").alias("_start")))

@@ -30,6 +30,25 @@ def loaded(counted: DataFrame, sentiment: DataFrame, months: int = MONTHS) -> Da
     return counted.select("seq", "word").join(latest(sentiment, months), "word")
 
 
+def loaded_before(counted: DataFrame, sentiment: DataFrame, months: int = MONTHS) -> DataFrame:
+    """(seq, word, v0, v1): the mean of a word's last ``months`` lines before the month of the document.
+
+    Lines are asked for in the order of time together with the months that ask; a word's lines are few, one for each month.
+    """
+    line = (F.year("ts") * 12 + F.month("ts")).alias("line")
+    asked = counted.select("word", line).distinct()
+    w = Window.partitionBy("word").orderBy("line", "_ask")
+    none = F.lit(None).cast("double")
+    both = sentiment.select("word", "line", "pos", "neg", F.lit(1).alias("_ask")).union(asked.select("word", "line", none, none, F.lit(0)))
+    # of equal lines the question comes first, so its own month isn't among the answers
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    lines = both.withColumn("_n", F.sum("_ask").over(past))
+    given = lines.filter("_ask = 1").select("word", F.coalesce("_n", F.lit(0)).alias("_k"), "pos", "neg")
+    ask = lines.filter("_ask = 0 AND _n > 0").select("word", "line", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_n") - months), F.col("_n") - 1)).alias("_k"))
+    found = ask.join(given, ["word", "_k"]).groupBy("word", "line").agg(F.avg("pos").alias("v0"), F.avg("neg").alias("v1"))
+    return counted.select("seq", "word", line).join(found, ["word", "line"]).select("seq", "word", "v0", "v1")
+
+
 def predicted(counted: DataFrame, words: DataFrame, span: int, predictor: str = "average") -> DataFrame:
     """(seq, word, v0, v1) for ``words(word)``: what a predictor makes of the word's occurrences in the ``span`` seconds before.
 

@@ -7,15 +7,14 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a table below ``spark.checkpoint.dir``: nothing that reads it computes it again.
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name below ``spark.checkpoint.dir``.
 
     Where the setting is absent, in a local session, a temporary folder becomes the setting; it goes when Python ends.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
@@ -24,6 +23,11 @@ def settled(df: DataFrame) -> DataFrame:
         atexit.register(shutil.rmtree, folder, True)
         base = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/settled-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: nothing that reads it computes it again."""
+    path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .prefix import ordinal, prior
+from .settle import settled
 
 CAPACITY = 5000
 LAMBDA = 0.01
@@ -181,6 +182,48 @@ def with_epochs(counted: DataFrame, stays: DataFrame) -> DataFrame:
     return before.withColumn("epoch", F.greatest(F.coalesce("_e", F.lit(1)), F.coalesce("_b", F.lit(1)))).drop("_e", "_b")
 
 
+def sketched(counted: DataFrame, capacity: int = CAPACITY, lanes: int = 1) -> DataFrame:
+    """The tokens that a learner behind a bounded sketch sees: a word that comes back after its eviction is another word, of which nothing is known."""
+    seen = with_epochs(counted, space_saving(counted, capacity, lanes))
+    name = F.when(F.col("epoch") > 1, F.concat_ws("\x01", "word", "epoch")).otherwise(F.col("word"))
+    return seen.withColumn("word", name).drop("epoch")
+
+
+def _summary(capacity: int):
+    """The bounded sketch of a task's tokens: (word, n, least), least being the count that any other word may have."""
+
+    def run(batches):
+        sketch = SpaceSaving(capacity)
+        for b in batches:
+            words = b.column("word")
+            for word, x in zip(words.to_pylist(), b.column("x").to_pylist()):
+                sketch.add(word, x)
+        if sketch.count:
+            full = len(sketch.count) == capacity
+            least = min(sketch.count.values()) if full else 0.0
+            n = len(sketch.count)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sketch.count), pa.string()), pa.array(list(sketch.count.values()), pa.float64()), pa.array([least] * n), pa.array([1.0 / n] * n)], ["word", "n", "least", "share"])
+
+    return run
+
+
+def merged_sketch(counted: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(word, n, error): the ``capacity`` words of the merged bounded sketches of all tasks (Agarwal et al., "Mergeable summaries", 2012).
+
+    A word's count is at most n and at least n - error; the errors of all tasks add up to no more than
+    all occurrences over the capacity. No task holds more than ``capacity`` words. Which words below the error
+    are among the result hangs on how the rows are cut into tasks.
+    """
+    parts = counted.select("word", "x").mapInArrow(_summary(capacity), "word string, n double, least double, share double")
+    whole = settled(parts)
+    total = F.broadcast(whole.agg(F.coalesce(F.sum(F.col("least") * F.col("share")), F.lit(0.0)).alias("rest")))
+    # a task in which a word is missing may have seen it as often as its least count
+    words = whole.groupBy("word").agg(F.sum("n").alias("n"), F.sum("least").alias("own")).crossJoin(total)
+    absent = F.greatest(F.lit(0.0), F.round(F.col("rest") - F.col("own"), 6))
+    words = words.select("word", (F.col("n") + absent).alias("n"), F.col("rest").alias("error"))
+    return words.orderBy(F.desc("n"), "word").limit(capacity)
+
+
 class Adwin:
     """An adaptive window over a series (Bifet and Gavaldà, 2007): an exponential histogram that drops its oldest part when two parts differ."""
 

@@ -9,15 +9,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ensembles, evaluation, learners, windows
+from ..operators import ensembles, evaluation, forecasts, learners, sketches, trajectories, windows
+from ..operators import tokens as tk
 from ..operators.settle import settled
 from ..sinks import reports
 from ..sources import streams
+from ..streaming import prequential
 
 MODES = ("preprocess", "offline", "online")
 SCHEMES = ("prequential", "holdout")
 
-LEARNERS: dict[str, Callable[[DataFrame], DataFrame]] = {
+#: Each takes the stream, and the tokens that it may see.
+LEARNERS: dict[str, Callable[[DataFrame, DataFrame | None], DataFrame]] = {
     "mnb": learners.vanilla,
     "mnb4sketch": learners.sketch_form,
     "mnb4timeseries": learners.time_series,
@@ -26,8 +29,18 @@ LEARNERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def learner(name: str) -> Callable[[DataFrame], DataFrame]:
-    """The pipeline of a learner's name; ``ensemble_N`` averages plain learners over N sliding windows."""
+def learner(name: str, capacity: int | None = sketches.CAPACITY) -> Callable[[DataFrame], DataFrame]:
+    """The pipeline of a learner's name; ``ensemble_N`` averages plain learners over N sliding windows.
+
+    Learners stand behind a bounded sketch of ``capacity`` words and forget what it evicts; without a capacity they see all words.
+    """
+    bare = _learner(name)
+    if capacity is None:
+        return lambda stream: bare(stream, None)
+    return lambda stream: bare(stream, settled(sketches.sketched(settled(tk.tokens(stream)), capacity)))
+
+
+def _learner(name: str) -> Callable[[DataFrame, DataFrame | None], DataFrame]:
     lower = name.lower()
     if lower in LEARNERS:
         return LEARNERS[lower]
@@ -36,7 +49,7 @@ def learner(name: str) -> Callable[[DataFrame], DataFrame]:
             return learners.vanilla
         spans = {f"w{k}": s for k, s in enumerate(windows.SPANS[:n], 1)}
         if n == len(spans):
-            return lambda stream: ensembles.average(ensembles.sliding_votes(stream, spans))
+            return lambda stream, counted: ensembles.average(ensembles.sliding_votes(stream, spans, counted))
         raise ValueError(f"an ensemble has at most {len(windows.SPANS)} windows")
     raise ValueError(f"unknown learner {name}; known are {', '.join(LEARNERS)} and ensemble_N")
 
@@ -55,6 +68,8 @@ class Run:
     learner: str | None = None
     label: str = "toxic"
     output: str | None = None
+    capacity: int = sketches.CAPACITY
+    track: str = ""
 
     def problems(self) -> list[str]:
         """What is wrong with the configuration."""
@@ -65,13 +80,15 @@ class Run:
             out.append(f"scheme must be one of {', '.join(SCHEMES)}")
         if self.mode in ("offline", "online") and not (self.learner and self.scheme):
             out.append("evaluation needs a learner and a scheme")
-        if self.mode == "offline" and not self.data:
-            out.append("offline evaluation needs data")
+        if self.mode in ("offline", "online") and not self.data:
+            out.append("evaluation needs data")
+        if self.mode == "online" and (self.scheme == "holdout" or self.learner not in prequential.LEARNERS or not self.output):
+            out.append(f"online evaluation is prequential, of {', '.join(prequential.LEARNERS)}, and needs an output folder")
         if self.mode == "preprocess" and (self.learner or self.scheme):
             out.append("preprocessing takes no learner and no scheme")
         if self.learner:
             try:
-                learner(self.learner)
+                _learner(self.learner)
             except ValueError as wrong:
                 out.append(str(wrong))
         return out
@@ -86,24 +103,50 @@ class Result:
     reports: dict[str, DataFrame]
 
 
-def evaluate(stream: DataFrame, name: str, scheme: str = "prequential") -> Result:
-    """Votes of a learner on a stream, with all reports."""
-    votes = settled(learners.holdout(stream) if scheme == "holdout" else learner(name)(stream))
+def evaluate(stream: DataFrame, name: str, scheme: str = "prequential", capacity: int | None = sketches.CAPACITY, tracked: Sequence[str] = ()) -> Result:
+    """Votes of a learner on a stream, with all reports: of an ensemble those of its base learners too, of ``tracked`` words their forecasts."""
+    votes = settled(learners.holdout(stream) if scheme == "holdout" else learner(name, capacity)(stream))
     measured = settled(evaluation.windowed(votes))
     tables = {
         "daily_performance": reports.daily_performance(evaluation.daily(measured, stream)),
         "significance": evaluation.significance(votes),
         "statistics": evaluation.metrics(evaluation.confusion(votes)),
-        **{f"class_counts_{p}": windows.class_counts(stream, p) for p in ("day", "week", "month")},
+        "window_counts": windows.sliding(stream, windows.SPANS[-1]),
+        **{f"class_counts_{p}": windows.anchored_counts(stream, p).withColumn("start", reports.dated(F.timestamp_seconds("start"))) for p in ("day", "week", "month")},
     }
+    if scheme == "prequential" and (base_learners(name.lower()) or 0) > 1:
+        each = ensembles.sliding_votes(stream)
+        weights = ensembles.g_mean_weights(each, stream)
+        tables |= {"base_learners": evaluation.by_learner(each, stream), "base_learner_weights": weights, "diversity": evaluation.pairwise(each)}
+    if tracked:
+        tables["forecasts"] = forecasts.tracked(trajectories.anchored(trajectories.occurrences(tk.tokens(stream))), tracked)
     return Result(votes, tables["statistics"], tables)
 
 
+def follow(spark: SparkSession, config: Run) -> Result:
+    """Evaluate online: documents are read as a stream and voted on by micro-batch; votes, model and progress stay in the output folder."""
+    votes = f"{config.output}/votes"
+    live = streams.live_stream(spark, config.data, config.label)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{votes}/batch={number}")
+
+    query = prequential.learn_stream(live, f"{config.output}/model", f"{config.output}/progress", keep, config.learner)
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    done = spark.read.schema("seq long, label int, p0 double, p1 double, pred int").parquet(votes)
+    measured = evaluation.metrics(evaluation.confusion(done))
+    return Result(done, measured, {"statistics": measured})
+
+
 def run(spark: SparkSession, config: Run) -> Result | DataFrame:
     """Do what a valid configuration says; reports are written where it names a folder."""
     if problems := config.problems():
         raise ValueError("; ".join(problems))
     stream = streams.labelled_stream(spark, config.data, config.label)
+    if config.mode == "online":
+        return follow(spark, config)
     if config.mode == "preprocess":
         from ..functions import text
 
@@ -111,7 +154,7 @@ def run(spark: SparkSession, config: Run) -> Result | DataFrame:
         if config.output:
             reports.write(cleaned, config.output, "parquet")
         return cleaned
-    result = evaluate(stream, config.learner, config.scheme)
+    result = evaluate(stream, config.learner, config.scheme, config.capacity or None, config.track.split())
     if config.output:
         reports.write_all(result.reports, config.output)
     return result
@@ -124,6 +167,8 @@ def parse(args: Sequence[str] | None = None) -> Run:
     p.add_argument("--scheme", choices=SCHEMES)
     p.add_argument("--learner", help=f"{', '.join(LEARNERS)} or ensemble_N")
     p.add_argument("--label", default="toxic", choices=("toxic", "quality"))
+    p.add_argument("--capacity", type=int, default=sketches.CAPACITY, help="words of the sketch in front of the learner; 0 for none")
+    p.add_argument("--track", default="", help="words whose forecasts are reported, with spaces between them")
     p.add_argument("--output", help="folder for the reports; it must not exist")
     config = Run(**vars(p.parse_args(args)))
     if problems := config.problems():

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import ensembles, evaluation, forecasts, learners, lexical, sketches, trajectories, windows
 from ..operators import tokens as tk
-from ..operators.settle import settled
-from ..sources import streams
+from ..operators.prefix import prior
+from ..operators.settle import settled, shared_dir
+from ..sources import lexicons, streams
 from .oracle import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -83,10 +84,10 @@ def mnb_time_series(spark, sf_dir):
 
 @query
 def mnb_lexicon(spark, sf_dir):
-    """Plain Naive Bayes in which each word's monthly means stand for its counts."""
+    """Plain Naive Bayes in which means of the last two months before a document's stand for the counts of its words."""
     s = _stream(spark, sf_dir)
-    counted = tk.tokens(s)
-    return learners.vanilla_with(s, lexical.loaded(counted, lexical.monthly_sentiment(counted)))
+    counted = settled(tk.tokens(s))
+    return learners.vanilla_with(s, lexical.loaded_before(counted, lexical.monthly_sentiment(counted)))
 
 
 @query
@@ -143,6 +144,10 @@ for _period in ("day", "week", "month"):
     QUERIES[f"class_counts_{_period}"] = lambda spark, sf_dir, p=_period: windows.class_counts(_stream(spark, sf_dir), p)
 
 
+for _period in ("day", "week"):
+    QUERIES[f"class_periods_{_period}"] = lambda spark, sf_dir, p=_period: windows.anchored_counts(_stream(spark, sf_dir), p)
+
+
 @query
 def tumbling_counts(spark, sf_dir):
     t = windows.tumbling(_stream(spark, sf_dir), "6 hours")
@@ -475,6 +480,79 @@ def random_order(spark, sf_dir):
     return streams.random_order(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), "doc_id", 7)
 
 
+@query
+def ordered_scan(spark, sf_dir):
+    """Every document of the stream with its place in the order of time."""
+    s = _stream(spark, sf_dir).withColumn("_t", F.unix_seconds("ts"))
+    # a document's number among those of its second, after all seconds before
+    at = F.row_number().over(Window.partitionBy("_t").orderBy("seq"))
+    return prior(s.withColumn("_k", at), [], "_t", {"_n": F.lit(1).cast("long")}, block=86_400).select("seq", "label", (F.col("_n") + F.col("_k")).alias("position"))
+
+
+@query
+def scan_page(spark, sf_dir):
+    """A page of the ordered scan of a relation: limit and offset."""
+    c = streams.StreamConfig(path=f"{sf_dir}/orders.parquet", format="parquet", label="o_orderstatus", text="o_orderpriority", time="o_orderdate", order="o_orderkey", codes={"f": 0, "o": 1, "p": 1}, limit=500, offset=250)
+    return streams.load_stream(spark, c).select("seq", F.unix_seconds("ts").alias("s"), "label", "text")
+
+
+@query
+def time_units(spark, sf_dir):
+    """How many whole minutes, hours, days and weeks lie between the first event of a user and each one."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    first = e.groupBy("user_id").agg(F.min("ts").alias("first"))
+    both = e.join(first, "user_id")
+    return both.select("event_id", *(windows.whole_units(F.col("ts"), F.col("first"), u).alias(u) for u in ("minute", "hour", "day", "week")))
+
+
+def _lexicon(spark, lines):
+    """The lines of a column as a file in the shared folder."""
+    path = f"{shared_dir(spark)}/lexicon"
+    lines.coalesce(1).write.text(path)
+    return path
+
+
+@query
+def lexicon_keys(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_type").alias("value"))
+    return lexicons.keys(spark, _lexicon(spark, p))
+
+
+@query
+def lexicon_key_values(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey")
+    return lexicons.key_values(spark, _lexicon(spark, p.select(F.concat_ws("::", F.col("n_regionkey").cast("string"), "n_name").alias("value"))))
+
+
+@query
+def lexicon_opposites(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").select(F.lower("n_name").alias("value"))
+    return lexicons.opposites(spark, _lexicon(spark, n))
+
+
+@query
+def tracked_tail(spark, sf_dir):
+    """The last day of the trajectories of the tracked words; a word without any gets a zero at its end."""
+    rows = trajectories.occurrences(tk.tokens(_stream(spark, sf_dir)))
+    stop = _stream(spark, sf_dir).agg(F.unix_seconds(F.max("ts"))).first()[0] or 0
+    words = spark.createDataFrame([(w,) for w in (*TRACKED, "wordthatnoonesays")], "word string")
+    kept = trajectories.without_words(trajectories.tail(rows, stop, 86_400), words.filter("word = 'und'"))
+    return trajectories.or_zero(words, kept, stop)
+
+
+@query
+def spacesaving_merged(spark, sf_dir):
+    """The words of the merged sketches of all tasks, with the bound on their error."""
+    return sketches.merged_sketch(tk.tokens(_stream(spark, sf_dir)))
+
+
+@query
+def learner_fading_behind_sketch(spark, sf_dir):
+    """The fading learner behind a bounded sketch of 5000 words."""
+    s = _stream(spark, sf_dir)
+    return learners.fading(s, settled(sketches.sketched(settled(tk.tokens(s)))))
+
+
 @query
 def live_slice(spark, sf_dir):
     """The first documents of the stream in the order of time: the slice that the live relation has."""

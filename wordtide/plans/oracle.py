@@ -273,6 +273,16 @@ def _class_counts(period: str) -> str:
     FROM (SELECT CAST(unnest(generate_series(min(start)::TIMESTAMP, max(start)::TIMESTAMP, INTERVAL 1 {period})) AS DATE) AS start FROM counted) LEFT JOIN counted USING (start)"""
 
 
+def _class_periods(period: str) -> str:
+    """Each anchor is the first document more than a period after the one before; gaps are filled with zeros."""
+    return f"""WITH RECURSIVE {STREAM}, chain(a) AS (
+        SELECT min(ts) FROM stream UNION ALL SELECT (SELECT min(ts) FROM stream WHERE ts - INTERVAL 1 {period} > a) FROM chain WHERE a IS NOT NULL),
+    spans AS (SELECT a, lead(a) OVER (ORDER BY a) AS z FROM chain WHERE a IS NOT NULL),
+    every AS (SELECT a AS start, a, z FROM spans UNION ALL SELECT unnest(generate_series(a + INTERVAL 1 {period}, z - INTERVAL 1 SECOND, INTERVAL 1 {period})), NULL, NULL FROM spans WHERE z IS NOT NULL)
+    SELECT CAST(epoch(start) AS BIGINT) AS start, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1
+    FROM every LEFT JOIN stream ON ts >= a AND (z IS NULL OR ts < z) AND a IS NOT NULL GROUP BY start"""
+
+
 def _values(values: str) -> str:
     """Votes of the plain learner with other values for some words."""
     words = "words2 AS (SELECT w.seq, w.word, w.x, coalesce(v0, c0) AS c0, coalesce(v1_, c1) AS c1 FROM words w LEFT JOIN vals USING (seq, word))"
@@ -287,8 +297,11 @@ ORACLE_SQL: dict[str, str] = {
     "mnb_fading": f"WITH {_state()}, {_fading()} {_select()}",
     "mnb_aggressive": _aggressive(),
     "mnb_lexicon": _values(f"""monthly AS (SELECT word, year(ts) * 12 + month(ts) AS line, {", ".join(f"sum({_of(c, 'x')}) AS m{c}" for c in (0, 1))} FROM tokens GROUP BY 1, 2),
+        asked AS (SELECT DISTINCT word, year(ts) * 12 + month(ts) AS line FROM tokens),
         vals AS (SELECT t.seq, t.word, l.v0, l.v1_ FROM tokens t JOIN (
-            SELECT word, avg(m0) AS v0, avg(m1) AS v1_ FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY line DESC) AS r FROM monthly) WHERE r <= 2 GROUP BY word) l USING (word))"""),
+            SELECT word, line, avg(m0) AS v0, avg(m1) AS v1_ FROM (
+                SELECT a.word, a.line, m0, m1, row_number() OVER (PARTITION BY a.word, a.line ORDER BY m.line DESC) AS r FROM asked a JOIN monthly m ON m.word = a.word AND m.line < a.line)
+            WHERE r <= 2 GROUP BY word, line) l ON l.word = t.word AND l.line = year(t.ts) * 12 + month(t.ts))"""),
     "mnb_predictor": _values(f"""vals AS (
         SELECT k.seq, k.word, coalesce(avg({_of(0, 'h.x').replace('label', 'h.label')}) FILTER (h.seq IS NOT NULL), 0.0) AS v0, coalesce(avg({_of(1, 'h.x').replace('label', 'h.label')}) FILTER (h.seq IS NOT NULL), 0.0) AS v1_
         FROM tokens k LEFT JOIN tokens h ON h.word = k.word AND h.seq < k.seq AND h.ts >= k.ts - INTERVAL 86400 SECOND AND h.ts <= k.ts
@@ -305,12 +318,14 @@ ORACLE_SQL: dict[str, str] = {
     "mnb_window_12h": f"WITH {DOCS}, {_window(43200, 'votes')} {_select()}",
     "ensemble_2": f"WITH {_ENSEMBLE} SELECT seq, label, {_r('p0', 'p0')}, {_r('p1', 'p1')}, CASE WHEN p0 >= p1 THEN 0 ELSE 1 END AS pred FROM (SELECT seq, label, avg(p0) AS p0, avg(p1) AS p1 FROM votes GROUP BY seq, label)",
     "ensemble_weighted": _weighted(_GMEAN_WEIGHTS, "sum(p0 * weight) / sum(weight) AS p0, sum(p1 * weight) / sum(weight) AS p1"),
-    "ensemble_mse": _weighted(_MSE_WEIGHTS, "sum(p0 * weight) / (count(*) + 1) AS p0, sum(p1 * weight) / (count(*) + 1) AS p1"),
+    "ensemble_mse": _weighted(_MSE_WEIGHTS, ", ".join(f"coalesce(sum(p{c} * weight) / nullif(sum(p0 * weight) + sum(p1 * weight), 0), 0.0) AS p{c}" for c in (0, 1))),
     "sliding_window_counts": f"""WITH {STREAM}, held AS (SELECT seq, count(*) OVER w AS size, min(seq) OVER w AS first_seq FROM stream WINDOW w AS (ORDER BY ts RANGE BETWEEN INTERVAL 43200 SECOND PRECEDING AND CURRENT ROW))
         SELECT seq, size, first_seq, CASE WHEN first_seq > lag(first_seq) OVER (ORDER BY seq) THEN 1 ELSE 0 END AS slided FROM held""",
     "class_counts_day": _class_counts("day"),
     "class_counts_week": _class_counts("week"),
     "class_counts_month": _class_counts("month"),
+    "class_periods_day": _class_periods("day"),
+    "class_periods_week": _class_periods("week"),
     "tumbling_counts": f"WITH {STREAM} SELECT CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS start, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM stream GROUP BY 1",
     "shift_matrix": f"""WITH {EVENTS}, timed AS (SELECT *, make_timestamp(s * 1000000) AS ts FROM rows), weeks AS (
         SELECT *, date_diff('day', min(date_trunc('week', ts)) OVER (PARTITION BY word), date_trunc('week', ts)) // 7 AS week FROM timed)
@@ -385,5 +400,18 @@ ORACLE_SQL: dict[str, str] = {
     "learner_daily": f"""{_THREE}, placed AS (SELECT learner, CAST(ts AS DATE) AS day, CASE WHEN pred = v.label THEN 100.0 ELSE 0.0 END AS correct FROM votes v JOIN stream USING (seq))
         SELECT day, learner, count(*) AS n, {_r('avg(CAST(correct AS DOUBLE))', 'mean_correct')}, {_r('coalesce(stddev_samp(CAST(correct AS DOUBLE)), 0.0)', 'std_correct')} FROM placed GROUP BY 1, 2""",
     "random_order": "SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':7')) AS position FROM documents",
+    "ordered_scan": f"WITH {STREAM} SELECT seq, label, row_number() OVER (ORDER BY ts, seq) AS position FROM stream",
+    "scan_page": """SELECT o_orderkey AS seq, CAST(epoch(date_trunc('second', o_orderdate)) AS BIGINT) AS s, CASE o_orderstatus WHEN 'F' THEN 0 ELSE 1 END AS label, o_orderpriority AS text
+        FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 500 OFFSET 250""",
+    "time_units": f"""SELECT event_id, {", ".join(f"CAST(floor((s - min(s) OVER (PARTITION BY user_id)) / {n}) AS BIGINT) AS {u}" for u, n in dict(minute=60, hour=3600, day=86400, week=604800).items())}
+        FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)""",
+    "lexicon_keys": "SELECT DISTINCT p_type AS key FROM part WHERE p_type <> ''",
+    "lexicon_key_values": "SELECT CAST(n_regionkey AS VARCHAR) AS key, arg_max(n_name, n_nationkey) AS value FROM nation GROUP BY 1",
+    "lexicon_opposites": """WITH n AS (SELECT lower(n_name) AS w, row_number() OVER (ORDER BY n_nationkey) - 1 AS n FROM nation),
+        p AS (SELECT arg_min(w, n) AS a, arg_max(w, n) AS b FROM n GROUP BY n // 2 HAVING count(*) = 2)
+        SELECT a AS word, b AS opposite FROM p UNION ALL SELECT b, a FROM p""",
+    "tracked_tail": f"""WITH {TOKENS}, lim AS (SELECT CAST(epoch(max(ts)) AS BIGINT) AS stop FROM stream),
+        kept AS (SELECT word, CAST(epoch(ts) AS BIGINT) AS s, {_of(0, 'x')} AS n0, {_of(1, 'x')} AS n1 FROM tokens, lim WHERE epoch(ts) >= stop - 86400 AND word <> 'und')
+        SELECT w.word, coalesce(s, stop) AS s, coalesce(n0, 0.0) AS n0, coalesce(n1, 0.0) AS n1 FROM (SELECT unnest([{_q((*_TRACKED, 'wordthatnoonesays'))}]) AS word) w LEFT JOIN kept USING (word), lim""",
     "live_slice": f"WITH {STREAM} SELECT seq, label FROM stream ORDER BY ts, seq LIMIT 1000",
 }

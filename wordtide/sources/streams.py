@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.prefix import prior
 
 #: Class codes of the known label vocabularies.
 LABEL_CODES: dict[str, int] = {"4": 0, "0": 1, "spam": 0, "ham": 1, "legitimate": 1}
@@ -70,8 +69,18 @@ def load_stream(spark: SparkSession, config: StreamConfig) -> DataFrame:
 
 def labelled_stream(spark: SparkSession, sf_dir: str, label: str = "toxic") -> DataFrame:
     """The labelled documents, timed by the event with the same number."""
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    d = read("documents").select(F.col("doc_id").alias("seq"), "text")
+    return _labelled(spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir, label)
+
+
+def live_stream(spark: SparkSession, sf_dir: str, label: str = "toxic") -> DataFrame:
+    """The same as a stream: documents as they are added, with the labels and times that the tables have then."""
+    path = f"{sf_dir}/documents.parquet"
+    return _labelled(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path), sf_dir, label)
+
+
+def _labelled(documents: DataFrame, sf_dir: str, label: str) -> DataFrame:
+    read = lambda name: documents.sparkSession.read.parquet(f"{sf_dir}/{name}.parquet")
+    d = documents.select(F.col("doc_id").alias("seq"), "text")
     chosen = read("labels").select(F.col("doc_id").alias("seq"), F.col(label).cast("int").alias("label"))
     timed = read("events").select(F.col("event_id").alias("seq"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"))
     return d.join(chosen, "seq").join(timed, "seq").select("seq", "ts", "label", "text")
@@ -80,11 +89,14 @@ def labelled_stream(spark: SparkSession, sf_dir: str, label: str = "toxic") -> D
 def random_order(df: DataFrame, key: str, seed: int, to: str = "position") -> DataFrame:
     """``df`` with the place of each row in a repeatable random order, by a hash of its key."""
     h = df.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
-    h = h.withColumn("_p", F.conv(F.substring("_h", 1, 2), 16, 10).cast("long"))
+    h = h.withColumn("_p", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
     from pyspark.sql import Window
 
+    # 65536 parts, ranked side by side; the table of their sizes is small
     h = h.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_h")))
-    return prior(h, [], "_p", {"_n": F.lit(1).cast("long")}, block=1 << 20).withColumn(to, F.col("_n") + F.col("_r")).drop("_h", "_p", "_r", "_n")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = h.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_n"))
+    return h.join(F.broadcast(parts), "_p").withColumn(to, F.col("_n") + F.col("_r")).drop("_h", "_p", "_r", "_n")
 
 
 def replaced(stream: DataFrame, update: DataFrame | None) -> DataFrame:
