@@ -104,6 +104,7 @@ def _pack(window: int, width: np.dtype):
     """Rows sorted by lane to windows; a window leaves as soon as it is full, the others at the end of their lane."""
 
     def run(batches):
+        textkit.release()
         at, packer, open_ = None, None, {}
         done: list[tuple] = []
         held = 0
@@ -129,6 +130,8 @@ def _pack(window: int, width: np.dtype):
         done += sorted(open_.items())
         for k in range(0, len(done), 256):
             yield _windows(done[k : k + 256])
+        done, open_ = [], {}
+        textkit.release()
 
     return run
 
@@ -171,4 +174,5 @@ def pack(spark: SparkSession, docs: DataFrame, window: int = WINDOW, lane: int =
     width = _width(len(tokens))
     shared = spark.sparkContext.broadcast(tokens)
     coded = texts.withColumn("mark", F.xxhash64("doc_id", "text")).mapInArrow(_code(shared, pattern, lanes, width), _CODED)
-    return coded.repartition(lanes, "lane").sortWithinPartitions("lane", "doc_id", "tokens", "coded").mapInArrow(_pack(window, width), SCHEMA)
+    # a partition for each lane, not by a hash of its number, which would put several in one
+    return coded.repartitionById(lanes, F.col("lane").cast("int")).sortWithinPartitions("lane", "doc_id", "tokens", "coded").mapInArrow(_pack(window, width), SCHEMA)

@@ -6,6 +6,7 @@ numpy passes; no Python object is made for a word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -55,6 +56,20 @@ def sliced(batches: Iterable[pa.RecordBatch], name: str = "text", limit: int = C
         off = np.r_[0, np.cumsum(size.to_numpy(zero_copy_only=False), dtype=np.int64)]
         for lo, hi in chunks(off, limit):
             yield b.slice(lo, hi - lo)
+    release()
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Give free memory back to the system: workers live on after a task, and several stages' peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def column(array: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
