@@ -42,12 +42,14 @@ def test_small_corpus_matches_brute_force(spark, tmp_path):
 
 def test_edges(spark, tmp_path):
     base = duckdb.sql("SELECT doc_id, text, lang, source FROM '/root/testdata/sf0.001/documents.parquet' ORDER BY doc_id LIMIT 60").fetchall()
-    rows = base + [base[0], (None, base[1][1], "en", "s"), (900, None, None, None), (901, "", "en", "s"), (902, base[2][1], None, None)]
+    long = " ".join(r[1] for r in base if r[2] == "en") * 4
+    rows = base + [(950, long, "en", "s"), base[0], (None, base[1][1], "en", "s"), (900, None, None, None), (901, "", "en", "s"), (902, base[2][1], None, None)]
     clashing(frame(spark, rows)).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     inside = pieces_of(got)
     ids = {x[1] for x in inside}
-    assert ids and ids <= {r[0] for r in base} and len({x[1:3] for x in inside}) == sum(len(x["pieces"]) for x in got)
+    assert ids and ids <= {950, *(r[0] for r in base)} and sum(n for _, d, _, _, n, _ in inside if d == 950) > 10 * packing.WINDOW
+    assert len({x[1:3] for x in inside}) == sum(len(x["pieces"]) for x in got)
     frame(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
 

@@ -76,8 +76,7 @@ def test_hot_phrase_hides_no_repeat(spark, batches):
 
 def test_phrase_in_every_document(spark, monkeypatch):
     """A hot hash in ranges of ids, a crowded text in parts; the phrase alone is too short to be reported."""
-    monkeypatch.setattr(S, "ASKED", 7)
-    monkeypatch.setattr(S.verify, "__defaults__", (S.WORDS, S.GRAM, 7))
+    monkeypatch.setattr(S.verify, "__defaults__", (S.WORDS, S.GRAM, 7, None))
     r = random.Random(9)
     fill = lambda n: " ".join(r.choice(VOCABULARY) for _ in range(n))
     phrase, tails = fill(40), [fill(20) for _ in range(3)]

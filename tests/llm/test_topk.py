@@ -47,6 +47,7 @@ def test_far_cells_are_pruned(spark, monkeypatch, tmp_path):
     x = np.concatenate([c + rng.normal(size=(100, 16)) * 0.01 for c in centres]).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
     monkeypatch.setattr(runtime, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    monkeypatch.setattr(runtime, "forget", lambda *_: None)
     holds(topk.search(spark, df, k=5, block_rows=50, leaf=16).collect(), brute(list(range(len(x))), x, 5))
     blocks, pairs = (spark.read.parquet(f"file://{tmp_path}/shared/{name}") for name in ("blocks", "whole"))
     n = blocks.filter("role = 0").count()

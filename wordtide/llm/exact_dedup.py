@@ -163,12 +163,8 @@ def duplicates(spark: SparkSession, docs: DataFrame, fan_in: int = FAN_IN, lane_
     winners = level.filter("NOT lost").mapInArrow(_unpack, entry)
     losers = lost.mapInArrow(_unpack, entry)
     same = ["key", "sha", "size"]
-    return (
-        losers.join(winners.withColumnRenamed("doc_id", "dup_of"), same)
-        .filter("doc_id <> dup_of")
-        .select("doc_id", "dup_of", "key")
-        .distinct()
-    )
+    found = losers.join(winners.withColumnRenamed("doc_id", "dup_of"), same).filter("doc_id <> dup_of")
+    return runtime.handed_over(found.select("doc_id", "dup_of", "key").distinct(), base)
 
 
 def unrepeated(docs: DataFrame) -> DataFrame:
@@ -185,7 +181,6 @@ def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with one document for each text (the smallest id); all columns stay."""
     gone, key = runtime.fresh(docs, "_gone"), runtime.fresh(docs, "_key")
     pairs = duplicates(spark, docs).select(F.col("doc_id").alias(gone), F.col("key").alias(key))
-    pairs = runtime.stored(pairs, runtime.shared_dir(spark))
     lost = runtime.sized(pairs, pairs.count())
     kept = docs.join(lost, (docs["doc_id"].cast("long") == F.col(gone)) & (F.xxhash64(docs["text"].cast("string")) == F.col(key)), "left_anti")
     return unrepeated(kept)

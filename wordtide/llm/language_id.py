@@ -168,7 +168,7 @@ def _fuse(languages: list[str], overall: np.ndarray, declared_totals: np.ndarray
     return run
 
 
-def identify(spark: SparkSession, rows: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def identify(spark: SparkSession, rows: DataFrame, labelled: DataFrame, sample: int = SAMPLE, base: str | None = None) -> DataFrame:
     """Languages of ``rows(…, text, declared, suffix, host)``.
 
     Gives the columns of ``rows`` but the text, and grams, lang, confidence, accepted.
@@ -178,7 +178,7 @@ def identify(spark: SparkSession, rows: DataFrame, labelled: DataFrame, sample:
     if not languages:
         return rows.select(*keep, F.lit(0).cast("long").alias("grams"), F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    base = runtime.shared_dir(spark)
+    base = base or runtime.shared_dir(spark)
     scored = runtime.stored(rows.mapInArrow(_score(model), f"{schema}, grams long, loglik array<double>, alone array<double>"), f"{base}/scored")
 
     k = len(languages)
@@ -214,6 +214,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 def accept(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """``docs`` without those whose language is rejected or whose id is null; all columns stay."""
-    found = identify(spark, document_rows(docs), docs, **how).filter("NOT accepted AND doc_id IS NOT NULL").select("doc_id").distinct()
-    found = runtime.stored(found, runtime.shared_dir(spark))
+    base = runtime.shared_dir(spark)
+    found = identify(spark, document_rows(docs), docs, base=base, **how).filter("NOT accepted AND doc_id IS NOT NULL").select("doc_id").distinct()
+    found = runtime.handed_over(found, base)
     return runtime.without_ids(docs.filter("doc_id IS NOT NULL"), runtime.sized(found, found.count()))

@@ -264,6 +264,8 @@ def _edges(threshold: float, hashes: int, leaf: int, exhaustive: bool = False, e
             node, ids, sig, chosen = (np.concatenate(x) for x in zip(*held))
             if (out := solve(node.view(np.uint64), ids, sig, chosen)) is not None:
                 yield out
+            del held, node, ids, sig, chosen
+        textkit.release()
 
     return run
 
@@ -297,9 +299,9 @@ def _verify(threshold: float):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float, size: int = SHINGLE) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose whole shingle sets reach the threshold."""
-    ids = runtime.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), runtime.shared_dir(pairs.sparkSession))
+def verified(pairs: DataFrame, docs: DataFrame, threshold: float, path: str, size: int = SHINGLE) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose whole shingle sets reach the threshold; their ids are written to ``path``."""
+    ids = runtime.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), path)
     texts = runtime.cast_ids(docs).join(runtime.sized(ids, ids.count()), "doc_id", "left_semi")
     sets = texts.mapInArrow(_sets(size), "doc_id long, tokens binary").dropDuplicates(["doc_id"])
     x = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
@@ -371,15 +373,15 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, s
     edges = runtime.stored(reduce(DataFrame.union, [compared(*f) for f in found]).distinct(), f"{base}/edges")
     of = lambda rank: edges.filter(F.col("rank") == rank).select("a", "b")
     links = lambda parts: parts.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    parts = runtime.stored(runtime.components(spark, of(2).union(equal)), f"{base}/parts")
+    parts = runtime.components(spark, of(2).union(equal), f"{base}/parts")
 
     def joined(parts: DataFrame, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """(components with those of the pairs that hold, the pairs that don't)"""
         near = runtime.stored(_apart(pairs, parts), f"{base}/{name}")
         if not near.limit(1).count():
             return parts, near
-        good = runtime.stored(verified(near, docs, threshold, size), f"{base}/{name}-good")
-        return runtime.stored(runtime.components(spark, links(parts).union(good)), f"{base}/{name}-parts"), near.join(good, ["a", "b"], "left_anti")
+        good = runtime.stored(verified(near, docs, threshold, f"{base}/{name}-ids", size), f"{base}/{name}-good")
+        return runtime.components(spark, links(parts).union(good), f"{base}/{name}-parts"), near.join(good, ["a", "b"], "left_anti")
 
     safe = parts
     parts, bad = joined(parts, of(1).distinct(), "strong")
@@ -387,7 +389,7 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, s
     pairs = of(0)
     if bad.limit(1).count():
         # whoever a forest with a false edge connected: their pairs were left out on the strength of it
-        forest = runtime.stored(runtime.components(spark, links(safe).union(of(1))), f"{base}/forest")
+        forest = runtime.components(spark, links(safe).union(of(1)), f"{base}/forest")
         whole = forest.select("node", "root").union(forest.select(F.col("root").alias("node"), "root")).distinct()
         roots = bad.select(F.col("a").alias("node")).join(whole, "node").select("root").distinct()
         doubted = runtime.stored(whole.join(roots, "root", "left_semi").select(F.col("node").alias("doc_id"), F.lit(True).alias("open")).distinct(), f"{base}/doubted")
@@ -399,12 +401,10 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, s
             again.append(compared(rows.join(wanted, "node", "left_semi"), exhaustive, True))
         pairs = pairs.union(reduce(DataFrame.union, again).select("a", "b"))
     parts, _ = joined(parts, pairs.distinct(), "near")
-    for k in range(1, depth + 1):
-        runtime.forget(spark, f"{base}/level{k}")
-    return parts.select(F.col("node").alias("doc_id"), F.col("root").alias("dup_of"))
+    return runtime.handed_over(parts.select(F.col("node").alias("doc_id"), F.col("root").alias("dup_of")), base)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one document (the smallest id) of each near-duplicate group; all columns stay."""
-    found = runtime.stored(groups(spark, docs, **how).select("doc_id"), runtime.shared_dir(spark))
+    found = groups(spark, docs, **how).select("doc_id")
     return runtime.without_ids(docs, runtime.sized(found, found.count()))

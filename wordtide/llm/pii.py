@@ -192,12 +192,12 @@ def _marked(docs: DataFrame, mark: str) -> DataFrame:
     return docs.withColumn(mark, F.xxhash64("text"))
 
 
-def disclosing(spark: SparkSession, docs: DataFrame, context: int = CONTEXT, back_off: float = BACK_OFF, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
+def disclosing(spark: SparkSession, docs: DataFrame, context: int = CONTEXT, back_off: float = BACK_OFF, generalise: float = GENERALISE, remove: float = REMOVE, base: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(every text that has entities (mark), its disclosing terms (mark, entity, term, share, remove)) of ``docs(text)``.
 
-    ``mark`` is xxhash64 of the text.
+    ``mark`` is xxhash64 of the text. All tables lie below ``base``.
     """
-    base = runtime.shared_dir(spark)
+    base = base or runtime.shared_dir(spark)
     texts = _marked(docs.select("text").filter("text IS NOT NULL"), "mark")
     seen = texts.filter(F.col("text").rlike(SUSPECT)).mapInArrow(_contexts(context), "mark long, entity long, term long")
     seen = runtime.stored(seen, f"{base}/contexts")
@@ -280,11 +280,12 @@ def _rewrite(gone: str, general: str, keep: list[str]):
 def sanitise(spark: SparkSession, docs: DataFrame, entities: str = "_entities", removed: str = "_removed", **how) -> DataFrame:
     """``docs`` with sanitised texts, and two more columns, whose names must be free: how many entities and terms were replaced."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    marks, of_text = disclosing(spark, docs, **how)
+    base = runtime.shared_dir(spark)
+    marks, of_text = disclosing(spark, docs, base=base, **how)
     mark, own, gone, general = (runtime.fresh(docs, name) for name in ("_mark", "_own", "_gone", "_general"))
     plan = of_text.select("mark", "term", "remove").union(marks.select("mark", F.lit(None).cast("long"), F.lit(None).cast("boolean"))).groupBy(F.col("mark").alias(mark))
     plan = plan.agg(*(F.collect_set(F.when(F.col("remove") == r, F.col("term"))).alias(c) for c, r in ((gone, True), (general, False))))
-    plan = runtime.stored(plan, runtime.shared_dir(spark))
+    plan = runtime.handed_over(plan, base)
     size = plan.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(gone) + F.size(general)), F.lit(0)).alias("m")).first()
     bytes_ = 96 * size["n"] + 16 * size["m"]
     keep = [f for f in docs.schema if f.name != "text"]

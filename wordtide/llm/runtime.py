@@ -33,6 +33,13 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def handed_over(df: DataFrame, base: str) -> DataFrame:
+    """``df`` written beside the working folder ``base``, which goes with all that it holds: only the result stays."""
+    out = stored(df, f"{base}-result")
+    forget(df.sparkSession, base)
+    return out
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``stored`` wrote."""
     jvm = spark._jvm
@@ -69,8 +76,8 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(a, b)`` as (node, root), root the smallest node.
+def components(spark: SparkSession, edges: DataFrame, path: str | None = None) -> DataFrame:
+    """Connected components of ``edges(a, b)`` as (node, root), root the smallest node, written to ``path``.
 
     Alternating star contraction (Kiveris et al. 2014): every round is two
     grouped minima; the number of rounds grows with the logarithm of the
@@ -98,5 +105,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         now = stored(star(star(now, True), False), f"{base}/{n}")
         forget(spark, f"{base}/{n - 1}")
         if (new := measure(now)) == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = stored(now.select(F.col("a").alias("node"), F.col("b").alias("root")), path or f"{base}-result")
+            forget(spark, base)
+            return out
         seen = new

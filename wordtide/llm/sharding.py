@@ -98,4 +98,4 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS) -> DataFra
     own = runtime.stored(own, f"{base}/own")
     groups = runtime.stored(own.groupBy("key").agg(F.sum("bytes").alias("size")), f"{base}/groups")
     homes = assign(groups, shards).select("key", "shard")
-    return own.join(homes, "key").select("doc_id", F.col("bytes").alias("size"), "shard")
+    return runtime.handed_over(own.join(homes, "key").select("doc_id", F.col("bytes").alias("size"), "shard"), base)

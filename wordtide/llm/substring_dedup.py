@@ -431,11 +431,11 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return mine.join(wanted.hint("shuffle_hash"), "doc_id")
 
 
-def verify(spark: SparkSession, found: DataFrame, docs: DataFrame, words: int = WORDS, gram: int = GRAM, asked: int = ASKED) -> DataFrame:
+def verify(spark: SparkSession, found: DataFrame, docs: DataFrame, words: int = WORDS, gram: int = GRAM, asked: int = ASKED, base: str | None = None) -> DataFrame:
     """The matches that the texts of ``docs(doc_id, text)`` bear out, as FOUND."""
     entry = lambda other, source: F.struct(F.col(other).alias("other"), "shift", "lo", "hi", F.lit(source).alias("source")).alias("e")
     sides = found.select("doc_id", entry("src_id", False)).union(found.select(F.col("src_id").alias("doc_id"), entry("doc_id", True)))
-    base = runtime.shared_dir(spark)
+    base = base or runtime.shared_dir(spark)
     sides = runtime.stored(sides, f"{base}/sides")
     # of a text that very many others are compared with the questions come in parts, each with the text
     crowded = runtime.stored(sides.groupBy("doc_id").count().filter(F.col("count") > asked), f"{base}/crowded")
@@ -478,9 +478,9 @@ def _whole_windows(words: int):
     return run
 
 
-def unsettled(spark: SparkSession, hits: DataFrame, prints: DataFrame, matches: DataFrame, docs: DataFrame, words: int = WORDS, gram: int = GRAM, since: int = 0) -> DataFrame | None:
+def unsettled(spark: SparkSession, hits: DataFrame, prints: DataFrame, matches: DataFrame, docs: DataFrame, words: int = WORDS, gram: int = GRAM, since: int = 0, base: str | None = None) -> DataFrame | None:
     """Candidates for the repeated windows of batches from ``since`` on that ``matches`` leave out, each with its first place; None if no fingerprint is in question."""
-    base = runtime.shared_dir(spark)
+    base = base or runtime.shared_dir(spark)
     a = F.col("pos") - F.col("back")
     asked = hits.filter((F.size("more") > 0) & (F.col("many") > 0)).select("h", "doc_id", a.alias("a"), (a + F.col("many") - 1 + words).alias("z"))
     hot = runtime.stored(_uncovered(asked, matches).select("h").distinct(), f"{base}/hot")
@@ -502,12 +502,10 @@ def _resolved(spark: SparkSession, index: Index, hits: DataFrame, docs: DataFram
     """What the texts of ``docs`` bear out of the hits of batches from ``since`` on."""
     base = runtime.shared_dir(spark)
     near = runtime.stored(candidates(hits, base, words, gram), f"{base}/candidates")
-    matches = runtime.stored(verify(spark, near, docs, words, gram), f"{base}/matches")
-    rest = unsettled(spark, hits, index.prints(), matches, docs, words, gram, since)
-    done = matches if rest is None else runtime.stored(joined(matches.union(verify(spark, rest, docs, words, gram))), f"{base}/done")
-    for name in ("marked", "candidates", *(["matches"] if rest is not None else [])):
-        runtime.forget(spark, f"{base}/{name}")
-    return done
+    matches = runtime.stored(verify(spark, near, docs, words, gram, base=f"{base}/verified"), f"{base}/matches")
+    runtime.forget(spark, f"{base}/verified")
+    rest = unsettled(spark, hits, index.prints(), matches, docs, words, gram, since, f"{base}/unsettled")
+    return runtime.handed_over(matches if rest is None else joined(matches.union(verify(spark, rest, docs, words, gram, base=f"{base}/verified"))), base)
 
 
 def _unrepeated(texts: DataFrame) -> DataFrame:

@@ -392,4 +392,4 @@ def search(spark: SparkSession, vectors: DataFrame, k: int = K, asked: str | Non
         found = found.union(_elsewhere(spark, base, mine, theirs, known, cells, k))
     best = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "neighbor_id"))
     found = found.withColumn("n", best("query")).filter(F.col("n") <= k + 1).join(members, "query").filter("vec_id <> neighbor_id")
-    return found.withColumn("rank", best("vec_id")).filter(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", "score")
+    return runtime.handed_over(found.withColumn("rank", best("vec_id")).filter(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", "score"), base)
