@@ -5,8 +5,8 @@ All steps but stemming are built-in expressions. A null text gives a null, an em
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -134,7 +134,7 @@ def _where(text: Column, guard: str, step: Callable[[Column], Column]) -> Column
     return F.when(text.rlike(guard), rejoin(step(F.split(text, " ")))).otherwise(text)
 
 
-def clean(text: Column) -> Column:
+def clean(text: Column, verbs: Sequence[str] = lexicons.VERBS, antonyms: Mapping[str, str] = lexicons.ANTONYMS, terms: Mapping[str, str] = lexicons.COLLOQUIAL) -> Column:
     """The whole chain but stemming: a cleaned text.
 
     What a step does to each word alone is done on the whole text at once where no pattern
@@ -142,16 +142,14 @@ def clean(text: Column) -> Column:
     """
     text = F.lower(F.rtrim(text))
     text = _where(text, _MARKED, lambda words: unmark(emoticons(words)))
-    text = squeeze(_where(text, _NEGATED, negations))
-    text = _where(text, "(?:^| )(?:" + "|".join(lexicons.COLLOQUIAL) + ")(?: |$)", colloquial)
+    text = squeeze(_where(text, _NEGATED, lambda words: negations(words, verbs, antonyms)))
+    if terms:
+        text = _where(text, "(?:^| )(?:" + "|".join(map(re.escape, terms)) + ")(?: |$)", lambda words: colloquial(words, terms))
     text = F.regexp_replace(text, "[^a-zA-Z ]+", "")
     return rejoin(without_stop_words(F.split(text, " ")))
 
 
-_stem = lru_cache(1 << 16)(stem)
-
-
 @F.pandas_udf(StringType())
 def stemmed(text: pd.Series) -> pd.Series:
     """Every word of a text by its stem; a worker stems a word once."""
-    return text.map(lambda t: None if t is None else " ".join(map(_stem, t.split(" "))))
+    return text.map(lambda t: None if t is None else " ".join(map(stem, t.split(" "))))

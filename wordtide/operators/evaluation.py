@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .prefix import ordinal, prior
 from .settle import settled
+from .windows import UNITS, day_batches
 
 WINDOW = 1000
 BATCH = 50
@@ -142,6 +143,22 @@ def daily(measured: DataFrame, stream: DataFrame, values: Sequence[str] = ("accu
     return timed.groupBy("day", *by).agg(F.count("*").alias("n"), *(f(v).alias(f"{name}_{v}") for v in values for name, f in (("mean", F.avg), ("std", lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))))))
 
 
+def anchored_daily(measured: DataFrame, stream: DataFrame, values: Sequence[str] = ("accuracy", "kappa")) -> DataFrame:
+    """Mean and standard deviation of ``values`` in batches of a day that begin with a document.
+
+    Documents and batches meet by the calendar days that a batch touches: no more than two batches touch one.
+    """
+    day = UNITS["day"]
+    batches = settled(day_batches(stream))
+    last = F.floor((F.coalesce("stop", F.col("start") + day) - 1) / day)
+    open_ = stream.agg(F.unix_seconds(F.max("ts")).alias("_end"))
+    batches = batches.crossJoin(F.broadcast(open_)).withColumn("_last", F.when(F.col("stop").isNull(), F.floor(F.col("_end") / day)).otherwise(last))
+    batches = batches.select("start", "stop", F.explode(F.sequence(F.floor(F.col("start") / day), F.col("_last"))).alias("_day"))
+    timed = measured.join(stream.select("seq", F.unix_seconds("ts").alias("_s"), F.floor(F.unix_seconds("ts") / day).alias("_day")), "seq")
+    inside = timed.join(batches, "_day").filter((F.col("_s") >= F.col("start")) & (F.col("stop").isNull() | (F.col("_s") < F.col("stop"))))
+    return inside.groupBy("start").agg(F.count("*").alias("n"), *(f(v).alias(f"{name}_{v}") for v in values for name, f in (("mean", F.avg), ("std", lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))))))
+
+
 def count_batches(votes: DataFrame, size: int = BATCH) -> DataFrame:
     """Measures of each batch of ``size`` votes in a row."""
     at = ordinal(votes.select("seq", "label", "pred"), "seq", "pos").withColumn("batch", F.floor((F.col("pos") - 1) / size))

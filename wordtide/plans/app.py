@@ -13,7 +13,7 @@ from ..operators import ensembles, evaluation, forecasts, learners, sketches, tr
 from ..operators import tokens as tk
 from ..operators.settle import settled
 from ..sinks import reports
-from ..sources import streams
+from ..sources import lexicons, streams
 from ..streaming import prequential
 
 MODES = ("preprocess", "offline", "online")
@@ -70,6 +70,9 @@ class Run:
     output: str | None = None
     capacity: int = sketches.CAPACITY
     track: str = ""
+    verbs: str | None = None
+    antonyms: str | None = None
+    colloquial: str | None = None
 
     def problems(self) -> list[str]:
         """What is wrong with the configuration."""
@@ -108,7 +111,7 @@ def evaluate(stream: DataFrame, name: str, scheme: str = "prequential", capacity
     votes = settled(learners.holdout(stream) if scheme == "holdout" else learner(name, capacity)(stream))
     measured = settled(evaluation.windowed(votes))
     tables = {
-        "daily_performance": reports.daily_performance(evaluation.daily(measured, stream)),
+        "daily_performance": evaluation.anchored_daily(measured, stream).withColumn("start", reports.dated(F.timestamp_seconds("start"))),
         "significance": evaluation.significance(votes),
         "statistics": evaluation.metrics(evaluation.confusion(votes)),
         "window_counts": windows.sliding(stream, windows.SPANS[-1]),
@@ -150,7 +153,15 @@ def run(spark: SparkSession, config: Run) -> Result | DataFrame:
     if config.mode == "preprocess":
         from ..functions import text
 
-        cleaned = stream.withColumn("text", text.stemmed(text.clean(F.col("text"))))
+        # lexicon files are small; without them the lists of our own are used
+        given = {}
+        if config.verbs:
+            given["verbs"] = [r["key"] for r in lexicons.keys(spark, config.verbs).collect()]
+        if config.antonyms:
+            given["antonyms"] = {r["word"]: r["opposite"] for r in lexicons.opposites(spark, config.antonyms).collect()}
+        if config.colloquial:
+            given["terms"] = {r["key"]: r["value"] for r in lexicons.key_values(spark, config.colloquial).collect()}
+        cleaned = stream.withColumn("text", text.stemmed(text.clean(F.col("text"), **given)))
         if config.output:
             reports.write(cleaned, config.output, "parquet")
         return cleaned
@@ -169,6 +180,8 @@ def parse(args: Sequence[str] | None = None) -> Run:
     p.add_argument("--label", default="toxic", choices=("toxic", "quality"))
     p.add_argument("--capacity", type=int, default=sketches.CAPACITY, help="words of the sketch in front of the learner; 0 for none")
     p.add_argument("--track", default="", help="words whose forecasts are reported, with spaces between them")
+    for name in ("verbs", "antonyms", "colloquial"):
+        p.add_argument(f"--{name}", help="lexicon file for preprocessing, in the place of our own list")
     p.add_argument("--output", help="folder for the reports; it must not exist")
     config = Run(**vars(p.parse_args(args)))
     if problems := config.problems():

@@ -241,6 +241,8 @@ def cleaning_counters(spark, sf_dir):
         mark(tx.is_negation(F.col("w")), "negations"),
         mark(tx.squeeze(F.col("w")) != F.col("w"), "repetitions"),
         mark(F.col("w").isin(*tx.lexicons.COLLOQUIAL), "colloquial"),
+        mark(F.col("w").isin(*tx.lexicons.VERBS), "verbs"),
+        mark(F.col("w").isin(*tx.lexicons.ANTONYMS), "opposites"),
         mark(F.col("w").isin(*tx.lexicons.STOP_WORDS), "stop_words"),
         F.countDistinct(F.when(F.col("w") != "", F.col("w"))).alias("distinct_words"),
     )
@@ -346,6 +348,13 @@ def time_tree(spark, sf_dir):
     return trajectories.time_tree(tk.tokens(s), s)[1]
 
 
+@query
+def time_tree_words(spark, sf_dir):
+    """The other half of the time tree: the words of every second."""
+    s = _stream(spark, sf_dir)
+    return trajectories.time_tree(tk.tokens(s), s)[0]
+
+
 @query
 def inverted_index(spark, sf_dir):
     rows = trajectories.inverted_index(tk.tokens(_stream(spark, sf_dir)))
@@ -406,6 +415,12 @@ def expert_forecast(spark, sf_dir):
     return done.select("word", "period_id", "f0", "f1")
 
 
+@query
+def expert_forecast_all(spark, sf_dir):
+    """Weights and forecasts of all four experts, ARIMA among them."""
+    return forecasts.weighted(forecasts.experts(_event_periods(spark, sf_dir), forecasts.EXPERTS), forecasts.EXPERTS)
+
+
 @query
 def tracked_forecasts(spark, sf_dir):
     """Truth and forecasts, of all four experts, for every closed period of the tracked words."""
@@ -445,6 +460,12 @@ def daily_performance(spark, sf_dir):
     return evaluation.daily(evaluation.windowed(learners.vanilla(s)), s)
 
 
+@query
+def anchored_daily_performance(spark, sf_dir):
+    s = _stream(spark, sf_dir)
+    return evaluation.anchored_daily(evaluation.windowed(learners.vanilla(s)), s)
+
+
 @query
 def count_batches(spark, sf_dir):
     return evaluation.count_batches(_votes(spark, sf_dir))

@@ -346,7 +346,7 @@ ORACLE_SQL: dict[str, str] = {
     "cleaned_text": _clean(),
     "cleaning_counters": f"""SELECT {", ".join(f"count(*) FILTER (e <> t AND e = '{k}') AS {k}" for k in ("positive", "negative", "smile", "love"))},
         count(*) FILTER (t LIKE '%n''t' OR t LIKE '%not' OR t IN ('nor', 'neither')) AS negations, count(*) FILTER ({_SQUEEZE.format('t')} <> t) AS repetitions,
-        count(*) FILTER (t IN ({_q(lexicons.COLLOQUIAL)})) AS colloquial, count(*) FILTER (t IN ({_q(lexicons.STOP_WORDS)})) AS stop_words, count(DISTINCT nullif(t, '')) AS distinct_words
+        count(*) FILTER (t IN ({_q(lexicons.COLLOQUIAL)})) AS colloquial, count(*) FILTER (t IN ({_q(lexicons.VERBS)})) AS verbs, count(*) FILTER (t IN ({_q(lexicons.ANTONYMS)})) AS opposites, count(*) FILTER (t IN ({_q(lexicons.STOP_WORDS)})) AS stop_words, count(DISTINCT nullif(t, '')) AS distinct_words
         FROM (SELECT t, {_EMOTICON} AS e FROM (SELECT unnest(string_split(lower(rtrim(text, ' ')), ' ')) AS t FROM documents))""",
     "label_encode": "SELECT doc_id, CASE WHEN quality = 1 THEN 0 ELSE 1 END AS rating, CASE WHEN toxic = 1 THEN 0 ELSE 1 END AS mail, CAST(NULL AS INTEGER) AS unknown FROM labels",
     "date_seconds": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 1.0 ELSE CAST(epoch(o_orderdate) AS DOUBLE) END AS seconds FROM orders",
@@ -368,6 +368,7 @@ ORACLE_SQL: dict[str, str] = {
     "time_tree": f"""WITH {TOKENS} SELECT s, documents0, documents1, coalesce(tokens0, 0.0) AS tokens0, coalesce(tokens1, 0.0) AS tokens1
         FROM (SELECT CAST(epoch(ts) AS BIGINT) AS s, sum({_of(0, '1.0')}) AS documents0, sum({_of(1, '1.0')}) AS documents1 FROM stream GROUP BY 1)
         LEFT JOIN (SELECT CAST(epoch(ts) AS BIGINT) AS s, sum({_of(0, 'x')}) AS tokens0, sum({_of(1, 'x')}) AS tokens1 FROM tokens GROUP BY 1) USING (s)""",
+    "time_tree_words": f"WITH {TOKENS} SELECT CAST(epoch(ts) AS BIGINT) AS s, word, sum({_of(0, 'x')}) AS n0, sum({_of(1, 'x')}) AS n1 FROM tokens GROUP BY 1, 2",
     "inverted_index": f"WITH {TOKENS} SELECT word, array_to_string(list_sort(list_distinct(list(CAST(epoch(ts) AS BIGINT)))), ',') AS times FROM tokens GROUP BY word",
     "class_trajectory": f"""WITH {TOKENS}, lim AS (SELECT max(ts) - INTERVAL 86400 SECOND AS lo FROM stream)
         SELECT d.*, t.* FROM (SELECT 1 + coalesce(sum({_of(0, '1.0')}), 0.0) AS prior0, 1 + coalesce(sum({_of(1, '1.0')}), 0.0) AS prior1 FROM stream, lim WHERE ts >= lo) d,
@@ -389,6 +390,11 @@ ORACLE_SQL: dict[str, str] = {
     "fading_estimates": _fading_estimates(),
     "daily_performance": f"""{_V}, {_KAPPA_CTE} SELECT CAST(ts AS DATE) AS day, count(*) AS n, {", ".join(f"{_r(f'avg({c})', f'mean_{c}')}, {_r(f'coalesce(stddev_samp({c}), 0.0)', f'std_{c}')}" for c in ("accuracy", "kappa"))}
         FROM seen JOIN stream USING (seq) GROUP BY 1""",
+    "anchored_daily_performance": f"""{_V.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_KAPPA_CTE}, chain(a) AS (
+            SELECT min(ts) FROM stream UNION ALL SELECT (SELECT min(ts) FROM stream WHERE ts - INTERVAL 1 DAY >= a) FROM chain WHERE a IS NOT NULL),
+        spans AS (SELECT a, lead(a) OVER (ORDER BY a) AS z FROM chain WHERE a IS NOT NULL)
+        SELECT CAST(epoch(a) AS BIGINT) AS start, count(*) AS n, {", ".join(f"{_r(f'avg({c})', f'mean_{c}')}, {_r(f'coalesce(stddev_samp({c}), 0.0)', f'std_{c}')}" for c in ("accuracy", "kappa"))}
+        FROM seen JOIN stream USING (seq) JOIN spans ON ts >= a AND (z IS NULL OR ts < z) GROUP BY 1""",
     "count_batches": f"{_V} SELECT batch, tp, fn, tn, fp, {_METRICS} FROM (SELECT batch, {_CELLS} FROM (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // 50 AS batch FROM votes) GROUP BY batch)",
     "significance_rows": f"{_V} SELECT row_number() OVER (ORDER BY seq) AS num, pred AS predicted, CASE WHEN pred = label THEN 1 ELSE 0 END AS correct FROM votes",
     "pairwise_kappa": f"""{_THREE}, placed AS (SELECT v.*, (pos - 1) // 100 AS batch FROM votes v JOIN docs USING (seq)),

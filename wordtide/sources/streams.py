@@ -75,7 +75,8 @@ def labelled_stream(spark: SparkSession, sf_dir: str, label: str = "toxic") -> D
 def live_stream(spark: SparkSession, sf_dir: str, label: str = "toxic") -> DataFrame:
     """The same as a stream: documents as they are added, with the labels and times that the tables have then."""
     path = f"{sf_dir}/documents.parquet"
-    return _labelled(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path), sf_dir, label)
+    # as a pattern, which may name a file as well as a folder
+    return _labelled(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*"), sf_dir, label)
 
 
 def _labelled(documents: DataFrame, sf_dir: str, label: str) -> DataFrame:
