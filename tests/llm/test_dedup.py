@@ -1,12 +1,14 @@
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wordtide.llm import exact_dedup, near_dedup, runtime
 
-from .helpers import clashing, frame, near_groups
+from .helpers import clashing, frame, near_groups, union_find, word_triples
 
 VOCABULARY = [f"w{i}" for i in range(3000)]
 
@@ -53,6 +55,58 @@ def test_near_crowd_below_the_threshold(spark):
     assert near_dedup.groups(spark, frame(spark, docs)).count() == 0
 
 
+def crowd(n, share):
+    """One node of n signatures that have each value of a common one with probability ``share``, and its batch."""
+    rng = np.random.default_rng(n)
+    sig = np.where(rng.random((n, 128)) < share, rng.integers(0, 1 << 16, 128), rng.integers(0, 1 << 16, (n, 128))).astype(np.uint16)
+    return sig, pa.RecordBatch.from_pydict({"node": np.full(n, 5), "doc_id": np.arange(n), "sig": [x.tobytes() for x in sig]})
+
+
+@pytest.mark.parametrize("share", [0.95, 0.83, 0.72])
+def test_near_crowd_in_bounded_memory(share):
+    """What a task holds, and sends at once, doesn't grow with the square of a crowd: 4.5 million pairs here."""
+    _, b = crowd(3000, share)
+    tracemalloc.start()
+    largest = max(x.num_rows for x in near_dedup._edges(0.5, 128, 128, True)(iter([b])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+    assert largest <= 1 << 19
+
+
+@pytest.mark.parametrize("share", [0.95, 0.8, 0.72])
+@pytest.mark.parametrize("most", [300, 1 << 18])
+def test_near_settled_pairs_are_whole(share, most):
+    """Settled early or late: every pair near the threshold is connected or goes out to be verified."""
+    sig, b = crowd(200, share)
+    out = [tuple(e.values()) for x in near_dedup._edges(0.5, 128, 32, True, most=most)(iter([b])) for e in x.to_pylist()]
+    equal = {(i, j): int((sig[i] == sig[j]).sum()) for i in range(200) for j in range(i)}
+    high, safe = (64 + k * (0.25 / 128) ** 0.5 * 128 for k in (near_dedup.MARGIN, near_dedup.SAFE))
+    for bar, rank in ((safe, 2), (high, 1)):
+        got, want = union_find([e[:2] for e in out if e[2] >= rank]), union_find([p for p, eq in equal.items() if eq >= bar])
+        assert got == want
+    whole = union_find([p for p, eq in equal.items() if eq >= high])
+    sent = {(max(e[:2]), min(e[:2])) for e in out if e[2] < 1}
+    low = 128 - high
+    assert sent >= {(i, j) for (i, j), eq in equal.items() if eq >= low and whole.get(i, i) != whole.get(j, j)}
+    best = [e[:2] for e in out if e[2] == 0]
+    assert len(best) < 200 if most > 300 else best or not sent
+
+
+def test_near_pairs_are_verified_where_they_are_joined(spark, tmp_path):
+    """A long text comes with every pair of it: no batch of such pairs is made for Python."""
+    r = random.Random(4)
+    long = [r.choice(VOCABULARY) for _ in range(3000)]
+    docs = [(0, " ".join(long))] + [(i, " ".join(long[: 150 * i])) for i in range(1, 20)]
+    pairs = [(i, j) for i in range(20) for j in range(i)]
+    got = near_dedup.verified(spark.createDataFrame(pairs, "a long, b long"), frame(spark, docs), 0.5, f"{tmp_path}/ids")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan[: plan.index("Join")]
+    sets = {d: word_triples(t) for d, t in docs}
+    want = {(i, j) for i, j in pairs if 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j])}
+    assert {tuple(x) for x in got.collect()} == want
+
+
 def test_near_edges(spark):
     long = " ".join(VOCABULARY[i % 3000] + str(i) for i in range(30_000))
     rows = [(1, None), (2, ""), (3, "..."), (4, "one two"), (5, "One, two!"), (5, "One, two!"), (None, "one two"), (6, long), (7, long + " end"), (8, "other words here")]

@@ -22,7 +22,8 @@ Documents with equal signatures are collapsed first, so that thousands of
 copies are one entry. A compared pair is an edge unseen only where its estimate is so high
 that not one pair below the threshold is expected there in any crowd (SAFE). Of pairs well above the
 threshold a spanning forest of each task is verified on the whole shingle sets, of pairs near it
-all whose ends that forest leaves apart; pairs below are dropped. Where a pair of a forest
+all whose ends that forest leaves apart, a forest of the best of them first; pairs below are dropped. A crowd's
+pairs are the square of its size: a task holds HELD of them and settles which are needed. Where a pair of a forest
 fails, the pairs that it stood for are compared again and verified one by one. Verified edges
 become groups by connected components.
 
@@ -57,6 +58,8 @@ MARGIN = 3.0
 SAFE = 8.6
 #: A child with more than this share of its parent shows a dense node: compare it, don't branch it.
 DENSE = 0.7
+#: Compared pairs that a task holds before it settles which of them are needed.
+HELD = 1 << 18
 #: Levels branched by Spark before what is left is compared in blocks.
 LEVELS = 8
 
@@ -179,68 +182,122 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndar
         label = _labels(n, label[x[kept[-1]]], label[y[kept[-1]]])[label]
 
 
-def _edges(threshold: float, hashes: int, leaf: int, exhaustive: bool = False, every: bool = False):
+def _equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many values of each row are equal; eight comparisons are added at a time."""
+    same = x == y
+    if same.shape[1] % 8 or same.shape[1] > 248:
+        return same.sum(1)
+    eighths = same.view(np.uint64).sum(1)
+    return ((eighths * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
+
+
+def _edges(threshold: float, hashes: int, leaf: int, exhaustive: bool = False, every: bool = False, most: int = HELD):
     """Rows sorted by node to edges (a, b, rank): the subtree below each node, then comparison.
 
-    rank: 2 is safe, 1 well above the threshold, 0 near it. exhaustive: compare every node as it is.
-    every: all pairs that safe ones don't connect, between rows that are ``open``.
+    rank: 2 is safe, 1 well above the threshold, 0 and -1 near it: 0 a spanning forest of what the others leave apart, to be verified first. exhaustive: compare every node as it is.
+    every: all pairs that safe ones don't connect, between rows whose ``part`` is known and not the same.
+
+    A crowd has as many pairs as the square of its size, so ``most`` are held at once: then the forest takes up
+    those it needs, and pairs that it connects are dropped. Pairs that it leaves apart go out by as many.
     """
     sd = (threshold * (1 - threshold) / hashes) ** 0.5
     low, high, safe = (threshold - MARGIN * sd) * hashes, min(1.0, threshold + MARGIN * sd) * hashes, min(1.0, threshold + SAFE * sd) * hashes
+    bar = safe if every else high
+    steps = np.unique(np.ceil(np.linspace(bar, safe, 9)))
 
-    def solve(node: np.ndarray, ids: np.ndarray, sig: np.ndarray, chosen: np.ndarray):
-        unique, who = np.unique(ids, return_inverse=True)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def solve(node: np.ndarray, ids: np.ndarray, sig: np.ndarray, part: np.ndarray, chosen: np.ndarray):
+        unique, at_first, who = np.unique(ids, return_index=True, return_inverse=True)
+        n = len(unique)
+        base = np.arange(n)
+        if every:
+            _, of = np.unique(part[at_first], return_inverse=True)
+            heads = np.full(n, n)
+            np.minimum.at(heads, of, base)
+            base = np.where(chosen[at_first], heads[of], base)
+        # what edges of at least so many equal values connect, by steps: a pair is of no use to the forest if better edges connect its ends
+        joined = np.tile(base, (len(steps), 1))
 
         def compare(i, j):
             for k in range(0, len(i), 1 << 16):
                 a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                eq = (sig[a] == sig[b]).sum(1)
-                near = (eq >= low) & chosen[a] & chosen[b]
-                if near.any():
-                    found.append((who[a[near]], who[b[near]], eq[near]))
+                go = chosen[a] & chosen[b] & (joined[-1][who[a]] != joined[-1][who[b]])
+                a, b = a[go], b[go]
+                yield who[a], who[b], _equal(sig[a], sig[b])
 
         def dense(rows):
             """All pairs of a node that doesn't shrink, a row against the later ones."""
-            mine = sig[rows]
+            rows = rows[chosen[rows]]
+            mine, own = sig[rows], who[rows]
             for k in range(len(rows) - 1):
-                eq = (mine[k + 1 :] == mine[k]).sum(1)
-                near = np.flatnonzero((eq >= low) & chosen[rows[k]] & chosen[rows[k + 1 :]])
-                if len(near):
-                    found.append((np.full(len(near), who[rows[k]]), who[rows[k + 1 + near]], eq[near]))
-
-        at = np.arange(len(ids))
-        parent = np.full(len(ids), 0 if exhaustive else 1 << 62)
-        while len(at):
-            order = np.argsort(node, kind="stable")
-            node, at, parent = node[order], at[order], parent[order]
-            first, count = textkit.runs(node)
-            small = (count > 1) & (count <= leaf)
-            for i, j in _pairs_of(first[small], count[small]):
-                compare(at[i], at[j])
-            stuck = (count > leaf) & (count > DENSE * parent[first])
-            for f, c in zip(first[stuck], count[stuck]):
-                dense(at[f : f + c])
-            go = np.repeat((count > leaf) & ~stuck, count)
-            sizes = np.repeat(count, count)[go]
-            rows, child = _children(node[go], sig[at[go]], threshold)
-            at, node, parent = at[go][rows], child, sizes[rows]
-        if not found:
-            return None
-        a, b, eq = (np.concatenate(x) for x in zip(*found))
-        n = len(unique)
-        strong = np.flatnonzero(eq >= (safe if every else high))
-        tree = strong[_forest(n, a[strong], b[strong], eq[strong])]
-        label = _labels(n, a[tree], b[tree])
-        rank = (eq[tree] >= high).astype(np.int8) + (eq[tree] >= safe)
-        open_ = np.flatnonzero(label[a] != label[b])
-        lo, hi = np.minimum(a[open_], b[open_]), np.maximum(a[open_], b[open_])
-        pairs = np.unique(lo * len(unique) + hi)
-        lo, hi = pairs // len(unique), pairs % len(unique)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[unique[a[tree]], unique[hi]]), pa.array(np.r_[unique[b[tree]], unique[lo]]), pa.array(np.r_[rank, np.zeros(len(hi), np.int8)])],
-            ["a", "b", "rank"],
-        )
+                later = k + 1 + np.flatnonzero(joined[-1][own[k + 1 :]] != joined[-1][own[k]])
+                if len(later):
+                    yield np.full(len(later), own[k]), own[later], _equal(mine[later], mine[k])
+
+        def compared(node):
+            at = np.arange(len(ids))
+            parent = np.full(len(ids), 0 if exhaustive else 1 << 62)
+            while len(at):
+                order = np.argsort(node, kind="stable")
+                node, at, parent = node[order], at[order], parent[order]
+                first, count = textkit.runs(node)
+                small = (count > 1) & (count <= leaf)
+                for i, j in _pairs_of(first[small], count[small]):
+                    yield from compare(at[i], at[j])
+                stuck = (count > leaf) & (count > DENSE * parent[first])
+                for f, c in zip(first[stuck], count[stuck]):
+                    yield from dense(at[f : f + c])
+                go = np.repeat((count > leaf) & ~stuck, count)
+                sizes = np.repeat(count, count)[go]
+                rows, child = _children(node[go], sig[at[go]], threshold)
+                at, node, parent = at[go][rows], child, sizes[rows]
+
+        none = np.zeros(0, np.int64)
+        tree, left, held, count = (none, none, none), (none, none, none), [], 0
+
+        def settle() -> None:
+            nonlocal tree, left, held, count
+            a, b, eq = (np.concatenate(x) for x in zip(tree, *held))
+            strong = np.flatnonzero(eq >= bar)
+            kept = strong[_forest(n, a[strong], b[strong], eq[strong])]
+            tree = a[kept], b[kept], eq[kept]
+            for s, step in enumerate(steps):
+                better = tree[2] >= step
+                joined[s] = _labels(n, base[tree[0][better]], base[tree[1][better]])[base]
+            weak = eq < bar
+            a, b, eq = np.r_[left[0], a[weak]], np.r_[left[1], b[weak]], np.r_[left[2], eq[weak]]
+            _, once = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_index=True)
+            once = once[joined[0][a[once]] != joined[0][b[once]]]
+            left, held, count = (a[once], b[once], eq[once]), [], 0
+
+        def batch(a, b, rank):
+            return pa.RecordBatch.from_arrays([pa.array(unique[a]), pa.array(unique[b]), pa.array(rank.astype(np.int8))], ["a", "b", "rank"])
+
+        def near(a, b, eq):
+            rank = np.full(len(a), -1)
+            rank[_forest(n, joined[0][a], joined[0][b], eq)] = 0
+            return batch(np.maximum(a, b), np.minimum(a, b), rank)
+
+        for a, b, eq in compared(node):
+            step = np.minimum(np.searchsorted(steps, eq), len(steps) - 1)
+            keep = (eq >= low) & (joined[step, a] != joined[step, b])
+            if not keep.any():
+                continue
+            a, b, eq = a[keep], b[keep], eq[keep]
+            held.append((a, b, eq))
+            count += len(a)
+            if (sure := eq >= safe).any():
+                joined[-1] = _labels(n, joined[-1][a[sure]], joined[-1][b[sure]])[joined[-1]]
+            if count + len(left[0]) >= most:
+                settle()
+                if len(left[0]) >= most // 2:
+                    yield near(*left)
+                    left = none, none, none
+        settle()
+        a, b, eq = tree
+        if len(a):
+            yield batch(a, b, (eq >= high).astype(np.int8) + (eq >= safe))
+        if len(left[0]):
+            yield near(*left)
 
     def run(batches):
         held: list[tuple] = []
@@ -248,23 +305,23 @@ def _edges(threshold: float, hashes: int, leaf: int, exhaustive: bool = False, e
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append((b.column("node").to_numpy(), b.column("doc_id").to_numpy(), _sigs(b.column("sig"), hashes), b.column("open").to_numpy(zero_copy_only=False) if every else np.ones(b.num_rows, bool)))
+            ids = b.column("doc_id").to_numpy()
+            part = (b.column("part").fill_null(0).to_numpy(), b.column("part").is_valid().to_numpy(zero_copy_only=False)) if every else (ids, np.ones(b.num_rows, bool))
+            held.append((b.column("node").to_numpy(), ids, _sigs(b.column("sig"), hashes), *part))
             rows += b.num_rows
             if rows < 30_000:
                 continue
-            node, ids, sig, chosen = (np.concatenate(x) for x in zip(*held))
+            node, *rest = (np.concatenate(x) for x in zip(*held))
             cut = int(np.searchsorted(node, node[-1]))  # the last node may go on
             if cut:
-                if (out := solve(node[:cut].view(np.uint64), ids[:cut], sig[:cut], chosen[:cut])) is not None:
-                    yield out
-                held, rows = [(node[cut:], ids[cut:], sig[cut:], chosen[cut:])], len(node) - cut
-            else:
-                held = [(node, ids, sig, chosen)]
+                yield from solve(node[:cut].view(np.uint64), *(x[:cut] for x in rest))
+            held, rows = [tuple(x[cut:].copy() for x in (node, *rest))], len(node) - cut
+            del node, rest
         if held:
-            node, ids, sig, chosen = (np.concatenate(x) for x in zip(*held))
-            if (out := solve(node.view(np.uint64), ids, sig, chosen)) is not None:
-                yield out
-            del held, node, ids, sig, chosen
+            node, *rest = (np.concatenate(x) for x in zip(*held))
+            held = []
+            yield from solve(node.view(np.uint64), *rest)
+            del node, rest
         textkit.release()
 
     return run
@@ -279,34 +336,27 @@ def _sets(size: int):
                 if not len(h):
                     continue
                 first, count = textkit.runs(row)
-                sets = [np.unique(h[f : f + c]).tobytes() for f, c in zip(first, count)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row[first])), pa.array(sets, pa.binary())], ["doc_id", "tokens"])
-
-    return run
-
-
-def _verify(threshold: float):
-    def run(batches):
-        for b in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(b.column("x"), b.column("y"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                if both >= threshold * (len(x) + len(y) - both):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(keep, pa.int64())), b.column("b").take(pa.array(keep, pa.int64()))], ["a", "b"])
+                sets = [np.unique(h[f : f + c]).view(np.int64) for f, c in zip(first, count)]
+                ends = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row[first])), tokens], ["doc_id", "tokens"])
 
     return run
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float, path: str, size: int = SHINGLE) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose whole shingle sets reach the threshold; their ids are written to ``path``."""
+    """Those of ``pairs(a, b)`` whose whole shingle sets reach the threshold; their ids are written to ``path``.
+
+    A long text's set comes with every pair of it, so pairs are verified one by one where they are joined:
+    a batch of them for Python has no bound.
+    """
     ids = runtime.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), path)
     texts = runtime.cast_ids(docs).join(runtime.sized(ids, ids.count()), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(size), "doc_id long, tokens binary").dropDuplicates(["doc_id"])
+    sets = texts.mapInArrow(_sets(size), "doc_id long, tokens array<long>").dropDuplicates(["doc_id"])
     x = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long")
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(x, "a").join(y, "b").filter(both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -386,21 +436,27 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, s
     safe = parts
     parts, bad = joined(parts, of(1).distinct(), "strong")
     bad = runtime.stored(bad, f"{base}/bad")
-    pairs = of(0)
+    best, rest = of(0), of(-1)
     if bad.limit(1).count():
         # whoever a forest with a false edge connected: their pairs were left out on the strength of it
         forest = runtime.components(spark, links(safe).union(of(1)), f"{base}/forest")
         whole = forest.select("node", "root").union(forest.select(F.col("root").alias("node"), "root")).distinct()
         roots = bad.select(F.col("a").alias("node")).join(whole, "node").select("root").distinct()
-        doubted = runtime.stored(whole.join(roots, "root", "left_semi").select(F.col("node").alias("doc_id"), F.lit(True).alias("open")).distinct(), f"{base}/doubted")
+        ends = whole.join(roots, "root", "left_semi").select("node").distinct()
+        # what holds is connected already: only pairs between its parts are compared
+        ends = ends.join(parts.select("node", F.col("root").alias("part")), "node", "left").select(F.col("node").alias("doc_id"), F.coalesce("part", "node").alias("part"))
+        doubted = runtime.stored(ends, f"{base}/doubted")
         few = runtime.sized(doubted, doubted.count())
         again = []
         for rows, exhaustive in found:
-            rows = rows.join(few, "doc_id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-            wanted = rows.filter("open").groupBy("node").count().filter("count > 1").select("node")
+            rows = rows.join(few, "doc_id", "left")
+            wanted = rows.filter("part IS NOT NULL").groupBy("node").agg(F.min("part").alias("low"), F.max("part").alias("top")).filter("low < top").select("node")
             again.append(compared(rows.join(wanted, "node", "left_semi"), exhaustive, True))
-        pairs = pairs.union(reduce(DataFrame.union, again).select("a", "b"))
-    parts, _ = joined(parts, pairs.distinct(), "near")
+        again = runtime.stored(reduce(DataFrame.union, again).distinct(), f"{base}/again")
+        best, rest = best.union(again.filter("rank >= 0").select("a", "b")), rest.union(again.filter("rank < 0").select("a", "b"))
+    # first the best pairs near the threshold: what they connect need not be verified
+    parts, _ = joined(parts, best.distinct(), "best")
+    parts, _ = joined(parts, rest.distinct(), "near")
     return runtime.handed_over(parts.select(F.col("node").alias("doc_id"), F.col("root").alias("dup_of")), base)
 
 
