@@ -1,6 +1,10 @@
 """The pipeline against a brute-force version, and its edge cases."""
 
+import random
+import threading
+
 import duckdb
+import psutil
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -59,3 +63,30 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "").columns == docs.columns
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_crowd_of_near_copies_in_bounded_memory(spark):
+    """3000 near copies in the stage near_dedup: no Python worker holds their pairs."""
+    r = random.Random(7)
+    base = [f"w{r.randrange(10**6)}" for _ in range(100)]
+    docs = frame(spark, [(i, " ".join(w if r.random() > 0.04 else f"x{r.randrange(10**6)}" for w in base)) for i in range(3000)])
+    most, over = [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.05):
+            for p in psutil.Process().children(recursive=True):
+                try:
+                    if "pyspark" in " ".join(p.cmdline()):
+                        most[0] = max(most[0], p.memory_info().rss if "java" not in p.name() else 0)
+                except psutil.Error:
+                    pass
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    try:
+        kept = [x["doc_id"] for x in corpus_pipeline.near(spark, docs, "").collect()]
+    finally:
+        over.set()
+        thread.join()
+    assert len(kept) < 60 and 0 in kept
+    assert 0 < most[0] < 500 << 20, most[0] >> 20
