@@ -7,10 +7,15 @@ last return the columns of ``docs``.
 Rows with a null id can't be named by any result and go in the first stage; of
 rows that repeat an id and a text one goes on. An empty table passes through
 as an empty table.
+
+The stages hold the session's Arrow batches to runtime.BATCH_BYTES: executors keep
+what they have grown to from stage to stage.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,12 +51,23 @@ def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(spark, docs)
 
 
+def _bounded(stage):
+    """``stage`` in small Arrow batches; those of what it returns are made later, so the limit stays."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        runtime.small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language_id", languages),
-    ("exact_dedup", exact),
-    ("near_dedup", near),
-    ("pii", private),
-    ("packing", windows),
+    ("language_id", _bounded(languages)),
+    ("exact_dedup", _bounded(exact)),
+    ("near_dedup", _bounded(near)),
+    ("pii", _bounded(private)),
+    ("packing", _bounded(windows)),
 ]
 
 #: Language models, minwise trees and online packing can't be expressed in SQL; the tests hold the pipeline against a brute-force version.

@@ -4,11 +4,13 @@ import random
 import threading
 
 import duckdb
+import numpy as np
 import psutil
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wordtide.llm import packing
+from wordtide.llm import exact_dedup, packing
 
 from .helpers import clashing, frame, languages, near_groups, packed
 from .test_pii import brute as sanitised
@@ -90,3 +92,35 @@ def test_crowd_of_near_copies_in_bounded_memory(spark):
         thread.join()
     assert len(kept) < 60 and 0 in kept
     assert 0 < most[0] < 500 << 20, most[0] >> 20
+
+
+def test_stages_hand_python_small_batches(spark):
+    """Every stage holds Arrow batches to a few megabytes, also of what it returns; a lower limit of the session stays."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    docs = frame(spark, [(i, f"some words of document number {i} are here", "en", "s") for i in range(5)])
+    wide = spark.range(4000, numPartitions=1).select(F.repeat(F.lit("text "), 1000).alias("text"))
+    before = spark.conf.get(limit)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.set(limit, "64m")
+            stage(spark, docs, "")
+            seen = [x["n"] for x in wide.mapInArrow(sizes, "n long").collect()]
+            assert sum(seen) >= 20_000_000 and max(seen) < 5 << 20, (name, max(seen))
+            spark.conf.set(limit, "1m")
+            stage(spark, docs, "")
+            assert max(x["n"] for x in wide.mapInArrow(sizes, "n long").collect()) < 2 << 20, name
+    finally:
+        spark.conf.set(limit, before)
+
+
+def test_lanes_leave_in_small_batches():
+    """Runs of many entries, cut into lanes: no batch holds all lanes, and none of them is lost."""
+    n = 200_000
+    key = np.sort(np.random.default_rng(3).integers(0, 1 << 64, n, dtype=np.uint64))
+    sha = np.zeros(n, "S32")
+    got = list(exact_dedup._emit(0, 4, key, sha, np.zeros(n, np.int64), np.arange(n)))
+    assert max(b.nbytes for b in got) < 4 << 20
+    rows = [r for b in got for r in b.to_pylist()]
+    assert sorted(r["lane"] for r in rows) == list(range(16))
+    assert np.array_equal(np.concatenate([np.frombuffer(r["key"], np.uint64) for r in rows]), key)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
-from .textkit import runs
+from .textkit import chunks, runs
 
 #: Runs merged at once in a round; a power of two.
 FAN_IN = 8
@@ -35,6 +35,8 @@ FAN_IN = 8
 LANE_ROWS = 500_000
 #: A first run is cut into no more than 2 to this power lanes.
 FIRST_BITS = 6
+#: Entries of the lanes that leave Python in one batch, or one lane: a batch is in memory as a whole on both sides.
+BATCH_ROWS = 1 << 15
 
 _RUN = "lane int, run int, lost boolean, key binary, sha binary, size binary, id binary"
 _ENTRY = np.dtype("S32")
@@ -93,8 +95,8 @@ def _emit(number: int, bits: int, key, sha, size, ids):
         # both come in the order of the keys, so a lane is a range of them
         lanes = (key[at] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(at), np.int64)
         first, count = runs(lanes)
-        for lo in range(0, len(first), 64):
-            cut = zip(first[lo : lo + 64], count[lo : lo + 64])
+        for lo, hi in chunks(np.r_[first, len(at)], BATCH_ROWS):
+            cut = zip(first[lo:hi], count[lo:hi])
             parts = [(int(lanes[f]), at[f : f + n]) for f, n in cut]
             yield _batch([_pack(lane, number, gone, key[p], sha[p], size[p], ids[p]) for lane, p in parts])
 

@@ -118,7 +118,7 @@ def _score(model: np.ndarray):
             data, off = textkit.column(b.column("text"), lower=True)
             n = b.num_rows
             grams, sums = np.zeros(n, np.int64), np.zeros((n, languages))
-            for lo, hi in textkit.chunks(off):
+            for lo, hi in textkit.chunks(off, textkit.FINE_BYTES):
                 cell, row = _cells(data, off, lo, hi)
                 if not len(cell):
                     continue

@@ -75,7 +75,7 @@ def _signatures(size: int, hashes: int, trees: int, threshold: float):
         for b in textkit.sliced(batches):
             data, off = textkit.column(b.column("text"), lower=True)
             ids = b.column("doc_id")
-            for lo, hi in textkit.chunks(off):
+            for lo, hi in textkit.chunks(off, textkit.FINE_BYTES):
                 h, row = textkit.shingles(textkit.words(data, off, lo, hi), size)
                 if not len(h):
                     continue
@@ -331,7 +331,7 @@ def _sets(size: int):
     def run(batches):
         for b in textkit.sliced(batches):
             data, off = textkit.column(b.column("text"), lower=True)
-            for lo, hi in textkit.chunks(off):
+            for lo, hi in textkit.chunks(off, textkit.FINE_BYTES):
                 h, row = textkit.shingles(textkit.words(data, off, lo, hi), size)
                 if not len(h):
                     continue

@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 
 #: A side of at most so many bytes may be broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 32 << 20
+#: An Arrow batch for Python ends with the row that takes it to so many bytes.
+BATCH_BYTES = 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_BYTES, unless it has a lower limit.
+
+    By rows alone 10,000 texts are a batch, tens of megabytes. The executor's direct buffers double as one is
+    written, a worker holds it too, and neither gives all of it back: a long session adds up its stages' peaks.
+    """
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_LIMIT)) > BATCH_BYTES:
+        spark.conf.set(_LIMIT, BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
