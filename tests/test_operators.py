@@ -410,3 +410,12 @@ def test_periods_begin_with_a_document(spark):
     assert [(s - at, a, b) for s, a, b in got] == [(10, 1, 1), (day + 11, 1, 0), (2 * day + 11, 0, 0), (3 * day + 11, 0, 0), (4 * day + 11, 0, 0), (4 * day + 20, 1, 1)]
     assert windows._moved(int(datetime(2024, 3, 31, tzinfo=timezone.utc).timestamp()), "month", -1) == int(datetime(2024, 2, 29, tzinfo=timezone.utc).timestamp())
     assert windows.anchored_counts(stream(spark, rows).limit(0), "day").count() == 0
+
+
+def test_words_are_counted_within_their_document(spark):
+    """Rows of one document, time and label are one; no aggregate holds the words of many documents."""
+    s = stream(spark, [(1, 0, 0, "b  a B "), (1, 0, 0, " b"), (1, 0, 1, "b"), (2, 1, 1, ""), (3, 1, 1, None), (4, 1, 0, "ä a ä")])
+    got = tk.tokens(s)
+    assert sorted((r["seq"], r["label"], r["word"], r["x"]) for r in got.collect()) == [(1, 0, "a", 1), (1, 0, "b", 3), (1, 1, "b", 1), (4, 0, "a", 1), (4, 0, "ä", 2)]
+    keys = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate(" in line]
+    assert keys and not any("word" in line for line in keys)
