@@ -419,3 +419,53 @@ def test_words_are_counted_within_their_document(spark):
     assert sorted((r["seq"], r["label"], r["word"], r["x"]) for r in got.collect()) == [(1, 0, "a", 1), (1, 0, "b", 3), (1, 1, "b", 1), (4, 0, "a", 1), (4, 0, "ä", 2)]
     keys = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate(" in line]
     assert keys and not any("word" in line for line in keys)
+
+
+def _unordered(n):
+    """(seq, s): numbers that mostly follow the times, with ties and some that don't."""
+    r = random.Random(7)
+    at = sorted(r.randrange(900) for _ in range(n))
+    for _ in range(n // 20):
+        i = r.randrange(n - 1)
+        at[i], at[i + 1] = at[i + 1], at[i]
+    return list(enumerate(at))
+
+
+def test_predictors_by_loops(spark):
+    """Running sums over the span before, and a join where numbers don't follow the times, against loops."""
+    docs = [(k, s, k % 3 % 2, " ".join(["a"] * (1 + k % 4))) for k, s in _unordered(200)]
+    words = spark.createDataFrame([("a",)], "word string")
+    counted = tk.tokens(stream(spark, docs)).cache()
+    for name in lexical.PREDICTORS:
+        got = {r["seq"]: (r["v0"], r["v1"]) for r in lexical.predicted(counted, words, 100, name).collect()}
+        assert len(got) == len(docs)
+        for k, s, _, _ in docs:
+            past = [(t - s, label, 1 + j % 4) for j, t, label, _ in docs if j < k and s - 100 <= t <= s]
+            for c in (0, 1):
+                y = np.array([x * (label == c) for _, label, x in past], float)
+                t = np.array([t for t, _, _ in past], float)
+                if not past:
+                    want = 0.0
+                elif name == "regression":
+                    want = max(0.0, np.polyfit(t, y, 1)[1] if len(set(t)) > 1 else y.mean())
+                else:
+                    want = y.mean() if name == "average" else y.sum()
+                assert got[k][c] == pytest.approx(want, abs=1e-6), (name, k, c)
+
+
+def test_span_before_by_loops(spark):
+    """The least number and the rows within a span, times with ties and without order, by key and for a null time."""
+    rows = [(k % 2, s, k) for k, s in _unordered(300)] + [(0, None, 7), (None, 5, 3), (None, 50, 2)]
+    df = spark.createDataFrame(rows, "g int, t long, v long")
+    got = prefix.earliest_within(df, "t", 60, "v", "m", ["g"]).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        held = [v for g, t, v in rows if g == r["g"] and (t is None and r["t"] is None or t is not None and r["t"] is not None and r["t"] - 60 <= t <= r["t"])]
+        assert (r["m"], r["m_rows"]) == (min(held), len(held))
+
+
+def test_span_before_grows_with_the_rows(spark):
+    """Frames of no window slide: a sliding one is summed up again for every row."""
+    df = spark.range(10).select(F.col("id").alias("t"), F.col("id").alias("v"))
+    plan = prefix.earliest_within(df, "t", 5, "v", "m")._jdf.queryExecution().analyzed().toString()
+    assert "specifiedwindowframe" in plan and "-5" not in plan

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .settle import settled
 from .trajectories import occurrences
 
 MONTHS = 2
@@ -49,17 +50,61 @@ def loaded_before(counted: DataFrame, sentiment: DataFrame, months: int = MONTHS
     return counted.select("seq", "word", line).join(found, ["word", "line"]).select("seq", "word", "v0", "v1")
 
 
+def _before(rows: DataFrame, span: int) -> DataFrame:
+    """(word, ask, k, y0, y1, u, uu, uy0, uy1, lo, hi, at, last): sums over the rows of a word in the ``span`` seconds before each one.
+
+    Times are cut into buckets of the span's length, so the rows before are the end of one bucket and the beginning of the next:
+    two running sums. u is a row's time from the start of the asking row's bucket, at that of the asking row itself; last is the greatest
+    seq of the rows, and the sums hold where it is less than ask.
+    """
+    value = ["u", "n0", "n1", "seq"]
+    own = rows.select("word", F.col("seq").alias("ask"), F.col("_b").alias("_bucket"), F.col("s").alias("_o"), (F.col("s") - F.col("_b") * span).cast("double").alias("at"), F.lit(True).alias("_own"), (F.col("s") - F.col("_b") * span).cast("double").alias("u"), "n0", "n1", "seq")
+    none = [F.lit(None).cast(own.schema[c].dataType).alias(c) for c in value]
+    back = rows.select("word", F.col("seq").alias("ask"), (F.col("_b") - 1).alias("_bucket"), (F.col("s") - span).alias("_o"), (F.col("s") - F.col("_b") * span).cast("double").alias("at"), F.lit(False).alias("_own"), *none)
+    w = Window.partitionBy("word", "_bucket")
+    upto = w.orderBy("_o", "ask").rowsBetween(Window.unboundedPreceding, -1)
+    since = w.orderBy(F.desc("_o")).rangeBetween(Window.unboundedPreceding, 0)
+    over = lambda f: F.when(F.col("_own"), f.over(upto)).otherwise(f.over(since))
+    u = F.col("u")
+    sums = {"k": F.count("seq"), "y0": F.sum("n0"), "y1": F.sum("n1"), "u": F.sum(u), "uu": F.sum(u * u), "uy0": F.sum(u * F.col("n0")), "uy1": F.sum(u * F.col("n1"))}
+    both = own.unionByName(back).select("word", "ask", "at", "_own", *(over(f).alias(f"_{k}") for k, f in sums.items()), over(F.min("u")).alias("_lo"), over(F.max("u")).alias("_hi"), over(F.max("seq")).alias("last"))
+    # the bucket before lies a span further back
+    k, d = F.col("_k"), F.when(F.col("_own"), F.lit(0.0)).otherwise(F.lit(float(span)))
+    moved = {"k": k, "y0": F.col("_y0"), "y1": F.col("_y1"), "u": F.col("_u") - k * d, "uu": F.col("_uu") - 2 * d * F.col("_u") + k * d * d, "uy0": F.col("_uy0") - d * F.col("_y0"), "uy1": F.col("_uy1") - d * F.col("_y1")}
+    parts = both.select("word", "ask", "at", "_own", "last", *(x.alias(c) for c, x in moved.items()), (F.col("_lo") - d).alias("lo"), (F.col("_hi") - d).alias("hi"))
+    return parts.groupBy("word", "ask").agg(*(F.sum(c).alias(c) for c in moved), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("at").alias("at"), F.max("last").alias("last"), F.count_if("_own").alias("times"))
+
+
 def predicted(counted: DataFrame, words: DataFrame, span: int, predictor: str = "average") -> DataFrame:
     """(seq, word, v0, v1) for ``words(word)``: what a predictor makes of the word's occurrences in the ``span`` seconds before.
 
-    A word's occurrences meet its questions in buckets of the span's length, so a question looks
-    into its own bucket and the one before.
+    They are those with a lower number and a time from ``span`` seconds before the document's up to it. Where numbers follow the times all come from
+    running sums; a document that lies in its span before one with a lower number is joined with the span's rows.
     """
     if predictor not in PREDICTORS:
         raise ValueError(f"predictor must be one of {', '.join(PREDICTORS)}")
-    rows = occurrences(counted).join(words.select("word").distinct(), "word", "left_semi").withColumn("_b", F.floor(F.col("s") / span))
-    ask = rows.select("word", F.col("seq").alias("ask"), F.col("s").alias("at"), F.explode(F.array(F.col("_b"), F.col("_b") - 1)).alias("_b"))
-    past = ask.join(rows, ["word", "_b"]).filter((F.col("seq") < F.col("ask")) & (F.col("s") >= F.col("at") - span))
+    rows = settled(occurrences(counted).join(words.select("word").distinct(), "word", "left_semi").withColumn("_b", F.floor(F.col("s") / span)))
+    late = (F.col("last") >= F.col("ask")) | (F.col("times") > 1)
+    sums = settled(_before(rows, span).withColumn("_late", F.coalesce(late, F.lit(False))))
+
+    def line(c: int) -> Column:
+        k, u, y = F.col("k"), F.col("u"), F.col(f"y{c}")
+        slope = (k * F.col(f"uy{c}") - u * y) / (k * F.col("uu") - u * u)
+        return F.greatest(F.when(F.col("hi") > F.col("lo"), (y + slope * (k * F.col("at") - u)) / k).otherwise(y / k), F.lit(0.0))
+
+    of = {"average": lambda c: F.col(f"y{c}") / F.col("k"), "sum": lambda c: F.col(f"y{c}"), "regression": line}[predictor]
+    value = lambda c: F.when(F.col("k") > 0, of(c)).otherwise(0.0).alias(f"v{c}")
+    out = sums.filter("NOT _late").select(F.col("ask").alias("seq"), "word", value(0), value(1))
+    if sums.filter("_late").isEmpty():
+        return out
+    asked = rows.join(sums.filter("_late").select("word", F.col("ask").alias("seq")), ["word", "seq"])
+    return out.unionByName(_joined(asked, rows, span, predictor))
+
+
+def _joined(asked: DataFrame, rows: DataFrame, span: int, predictor: str) -> DataFrame:
+    """The same by a join of each asking row with the rows of its bucket and the one before."""
+    ask = asked.select("word", F.col("seq").alias("ask"), F.col("s").alias("at"), F.explode(F.array(F.col("_b"), F.col("_b") - 1)).alias("_b"))
+    past = ask.join(rows, ["word", "_b"]).filter((F.col("seq") < F.col("ask")) & (F.col("s") >= F.col("at") - span) & (F.col("s") <= F.col("at")))
     t = (F.col("s") - F.col("at")).cast("double")
     value = {
         "average": lambda c: F.avg(f"n{c}"),
@@ -68,5 +113,5 @@ def predicted(counted: DataFrame, words: DataFrame, span: int, predictor: str =
     }[predictor]
     found = past.groupBy("word", "ask").agg(value(0).alias("v0"), value(1).alias("v1"))
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    every = rows.select("word", F.col("seq").alias("ask"))
+    every = asked.select("word", F.col("seq").alias("ask")).distinct()
     return every.join(found, ["word", "ask"], "left").select(F.col("ask").alias("seq"), "word", zero("v0"), zero("v1"))

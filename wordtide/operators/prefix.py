@@ -43,11 +43,18 @@ def ordinal(df: DataFrame, order: str, to: str, block: int = BLOCK) -> DataFrame
 def earliest_within(df: DataFrame, time: str, span: int, value: str, to: str, by: Sequence[str] = ()) -> DataFrame:
     """``df`` with the least ``value`` and number of rows whose ``time`` (in seconds) lies within ``span`` before a row's, its own included.
 
-    A row goes to the bucket of its own time and to the next one, so that every
-    frame lies in one bucket of twice the span.
+    Times are cut into buckets of the span's length, so a span is the end of one bucket and the beginning of the next. Both are
+    running aggregates over the different times of a bucket: the work grows with the rows, however many lie within a span.
     """
-    bucket = F.floor(F.col(time) / span)
-    spread = df.withColumn("_at", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_bucket", bucket + F.col("_at"))
-    w = Window.partitionBy(*by, "_bucket").orderBy(time).rangeBetween(-span, 0)
-    spread = spread.withColumns({to: F.min(value).over(w), f"{to}_rows": F.count("*").over(w)})
-    return spread.filter("_at = 0").drop("_at", "_bucket")
+    keys = [*by, "_bucket"]
+    seconds = df.groupBy(*by, F.col(time).alias("_t")).agg(F.min(value).alias("_m"), F.count("*").alias("_n"))
+    bucket = F.floor(F.col("_t") / span)
+    own = seconds.select(*by, "_t", bucket.alias("_bucket"), F.col("_t").alias("_o"), "_m", "_n", F.lit(True).alias("_own"))
+    none = F.lit(None)
+    ask = seconds.filter("_t IS NOT NULL").select(*by, "_t", (bucket - 1).alias("_bucket"), (F.col("_t") - span).alias("_o"), none.cast(seconds.schema["_m"].dataType).alias("_m"), none.cast("long").alias("_n"), F.lit(False).alias("_own"))
+    upto, since = (Window.partitionBy(*keys).orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("_o"), F.desc("_o")))
+    over = lambda f: F.when(F.col("_own"), f.over(upto)).otherwise(f.over(since))
+    parts = own.unionByName(ask).select(*by, "_t", over(F.min("_m")).alias("_m"), over(F.sum("_n")).alias("_n"))
+    found = parts.groupBy(*by, "_t").agg(F.min("_m").alias(to), F.coalesce(F.sum("_n"), F.lit(0)).alias(f"{to}_rows"))
+    on = [df[k].eqNullSafe(found[k]) for k in by] + [df[time].eqNullSafe(found["_t"])]
+    return df.join(found, on).drop("_t", *(found[k] for k in by))

@@ -87,15 +87,16 @@ def mnb_lexicon(spark, sf_dir):
     """Plain Naive Bayes in which means of the last two months before a document's stand for the counts of its words."""
     s = _stream(spark, sf_dir)
     counted = settled(tk.tokens(s))
-    return learners.vanilla_with(s, lexical.loaded_before(counted, lexical.monthly_sentiment(counted)))
+    return learners.vanilla_with(s, lexical.loaded_before(counted, lexical.monthly_sentiment(counted)), counted)
 
 
 @query
 def mnb_predictor(spark, sf_dir):
     """Plain Naive Bayes in which means over a day stand for the counts of the tracked words."""
     s = _stream(spark, sf_dir)
+    counted = settled(tk.tokens(s))
     words = spark.createDataFrame([(w,) for w in TRACKED], "word string")
-    return learners.vanilla_with(s, lexical.predicted(tk.tokens(s), words, 86_400))
+    return learners.vanilla_with(s, lexical.predicted(counted, words, 86_400), counted)
 
 
 @query
