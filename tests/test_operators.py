@@ -469,3 +469,23 @@ def test_span_before_grows_with_the_rows(spark):
     df = spark.range(10).select(F.col("id").alias("t"), F.col("id").alias("v"))
     plan = prefix.earliest_within(df, "t", 5, "v", "m")._jdf.queryExecution().analyzed().toString()
     assert "specifiedwindowframe" in plan and "-5" not in plan
+
+
+def test_space_saving_part_by_part(spark, monkeypatch):
+    """One fold over the stream, cut into parts that begin with what the sketch held, against the sketch itself; ties of counts included."""
+    monkeypatch.setattr(sketches, "PART", 60)
+    monkeypatch.setattr(sketches, "RUN", 7)
+    r = random.Random(5)
+    docs = [(k, k, k % 2, " ".join(r.choice("abcdefghijklmnop") for _ in range(9))) for k in range(120)]
+    tokens = [(k, w, float(n)) for k, _, _, text in docs for w, n in sorted(Counter(text.split()).items())]
+    sketch, since, want = sketches.SpaceSaving(6), {}, []
+    for seq, word, x in tokens:
+        known = word in sketch.count
+        slot, gone = sketch.add(word, x)
+        if gone is not None:
+            want.append((0, slot, gone, since.pop(gone), seq, None))
+        if not known:
+            since[word] = seq
+    want += [(0, sketch.slot[w], w, since[w], None, n) for w, n in sketch.count.items()]
+    got = [tuple(x) for x in sketches.space_saving(tk.tokens(stream(spark, docs)), 6).collect()]
+    assert len(tokens) > 10 * 60 and sorted(got, key=repr) == sorted(want, key=repr)

@@ -9,6 +9,8 @@ from .settle import settled
 from .trajectories import occurrences
 
 MONTHS = 2
+#: A list of so many words, some megabytes, may be broadcast.
+MOST_BROADCAST = 1 << 16
 PREDICTORS = ("average", "sum", "regression")
 
 
@@ -83,7 +85,9 @@ def predicted(counted: DataFrame, words: DataFrame, span: int, predictor: str =
     """
     if predictor not in PREDICTORS:
         raise ValueError(f"predictor must be one of {', '.join(PREDICTORS)}")
-    rows = settled(occurrences(counted).join(words.select("word").distinct(), "word", "left_semi").withColumn("_b", F.floor(F.col("s") / span)))
+    words = words.select("word").distinct()
+    words = F.broadcast(words) if words.count() <= MOST_BROADCAST else words
+    rows = settled(occurrences(counted).join(words, "word", "left_semi").withColumn("_b", F.floor(F.col("s") / span)))
     late = (F.col("last") >= F.col("ask")) | (F.col("times") > 1)
     sums = settled(_before(rows, span).withColumn("_late", F.coalesce(late, F.lit(False))))
 
