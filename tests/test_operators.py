@@ -489,3 +489,27 @@ def test_space_saving_part_by_part(spark, monkeypatch):
     want += [(0, sketch.slot[w], w, since[w], None, n) for w, n in sketch.count.items()]
     got = [tuple(x) for x in sketches.space_saving(tk.tokens(stream(spark, docs)), 6).collect()]
     assert len(tokens) > 10 * 60 and sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_zeros_at_once():
+    """A run of zeros leaves the adaptive window as zeros one by one do, and takes few steps."""
+    r = random.Random(11)
+    for rate in (0.001, 0.02, 0.2, 0.7):
+        one, many = sketches.Adwin(), sketches.Adwin()
+        cuts = 0
+        for _ in range(60):
+            gap = min(3000, int(r.expovariate(rate if r.random() < 0.8 else rate / 10)))
+            x = float(r.choice((1, 1, 1, 2, 5, 9)))
+            for _ in range(gap):
+                cuts += one.add(0.0)
+            cuts += one.add(x)
+            many.zeros(gap)
+            many.add(x)
+            assert many.n == one.n and many.sum == one.sum and many.m2 == pytest.approx(one.m2)
+            assert [[s for s, _ in row] for row in many.rows] == [[s for s, _ in row] for row in one.rows]
+        assert cuts or rate < 0.01
+    window, calls = sketches.Adwin(), []
+    window.add(1.0)
+    window.add = lambda x, add=window.add: calls.append(x) or add(x)
+    window.zeros(1_000_000)
+    assert window.n == 1_000_001 and len(calls) < 1000

@@ -405,6 +405,8 @@ class Adwin:
             # parts can't differ by more than all values vary: where that is too little for any cut none is tried
             if v * max(0.0, sqrt(self.n) - sqrt(2 * max(d, 0))) ** 2 * self.n * (1 + 1e-6) + 1e-9 < (4 / 3 * d) ** 2:
                 return cut
+            d = max(d, 0)
+            near = 2 * v * d * (1 - 1e-9)
             for k in range(len(self.rows) - 1, -1, -1):
                 size = 1 << k
                 for s, _ in self.rows[k]:
@@ -412,7 +414,8 @@ class Adwin:
                     if n1 < 1:
                         break
                     m = 1 / n0 + 1 / n1
-                    if abs(s0 / n0 - s1 / n1) > sqrt(2 * m * v * max(d, 0)) + 2 / 3 * m * max(d, 0) and n0 >= 5 and n1 >= 5:
+                    far = s0 / n0 - s1 / n1
+                    if far * far > near * m and abs(far) > sqrt(2 * m * v * d) + 2 / 3 * m * d and n0 >= 5 and n1 >= 5:
                         again = True
                         break
                 if again or n1 < 1:
@@ -422,6 +425,77 @@ class Adwin:
             cut = True
             self._drop()
 
+    def zeros(self, k: int) -> None:
+        """Take ``k`` zeros: as many at once as certainly cut nothing, the others one by one."""
+        while k > 0:
+            step = k
+            while step >= 3 and not self._quiet(step):
+                step //= 4
+            if step >= 3:
+                self._extend(step)
+            else:
+                step = min(8, k)
+                for _ in range(step):
+                    self.add(0.0)
+            k -= step
+
+    def _quiet(self, k: int) -> bool:
+        """Whether none of the next ``k`` zeros can cut the window, wherever a bucket may end.
+
+        The variance has its least value at the first or the last of them, the logarithm at the first. With these, what the means of the two
+        parts differ by less its bound is convex in 1 / the length of the second part, so it is greatest at the shortest or the longest. Of
+        the cuts behind today's values that just behind them is the nearest.
+        """
+        n, whole = self.n, self.sum
+        if n < 5 or whole < 0:
+            return False
+        d = max(log(2 * max(1.0, log(n)) / self.delta), 0)
+        spread, square = self.m2 + whole * whole / n, whole * whole
+        v = max(0.0, min((spread - square / (n + i)) / (n + i) for i in (1, k))) * (1 - 1e-9)
+        if whole * (1 + 1e-9) > sqrt(2 * v * d * (n + n * n / k)) + 2 / 3 * d * (1 + n / k):
+            return False
+        near, c, n0, s0, n1, s1 = 2 * v * d, 2 / 3 * d, 0, 0.0, n, whole
+        for level in range(len(self.rows) - 1, -1, -1):
+            size = 1 << level
+            for s, _ in self.rows[level]:
+                n0, s0, n1, s1 = n0 + size, s0 + s, n1 - size, s1 - s
+                if n0 < 5 or n1 + k < 5:
+                    continue
+                a, u = s0 / n0, 1 / n0
+                t = 1 / (n1 + 1 if n1 > 3 else 5)
+                far = abs(a - s1 * t) * (1 + 1e-9) + 1e-12 - c * (u + t)
+                if far > 0 and far * far > near * (u + t):
+                    return False
+                t = 1 / (n1 + k)
+                far = abs(a - s1 * t) * (1 + 1e-9) + 1e-12 - c * (u + t)
+                if far > 0 and far * far > near * (u + t):
+                    return False
+        return True
+
+    def _extend(self, k: int) -> None:
+        """``k`` zeros that cut nothing: level by level, the oldest two buckets of a full one become one of the next."""
+        if self.n:
+            self.m2 += self.sum * self.sum * (1 / self.n - 1 / (self.n + k))
+        self.n += k
+        level, came = 0, []
+        while came or k:
+            if level == len(self.rows):
+                self.rows.append([])
+            here = self.rows[level] + came
+            pairs = max(0, -(-(len(here) + k - self.BUCKETS) // 2))
+            size, came = 1 << level, []
+            while pairs and here:
+                s, v = here.pop(0)
+                if here:
+                    t, w = here.pop(0)
+                else:
+                    t, w, k = 0.0, 0.0, k - 1
+                came.append((s + t, v + w + (s - t) ** 2 / (2 * size)))
+                pairs -= 1
+            self.rows[level] = here + [(0.0, 0.0)] * (k - 2 * pairs)
+            k = pairs
+            level += 1
+
     def _drop(self) -> None:
         k = len(self.rows) - 1
         s, w = self.rows[k].pop(0)
@@ -443,19 +517,17 @@ def _adwin(delta: float):
         word, window, at, last = None, None, 0, 0
 
         def done():
-            for _ in range(last - at):
-                window.add(0.0)
+            window.zeros(last - at)
             return word, window.mean, window.n
 
         for b in batches:
             rows = []
-            for w, pos, x, end in zip(*(b.column(c).to_pylist() for c in ("word", "pos", "x", "last"))):
+            for w, pos, x, end in zip(*(_list(b.column(c)) for c in ("word", "pos", "x", "last"))):
                 if w != word:
                     if word is not None:
                         rows.append(done())
                     word, window, at, last = w, Adwin(delta), pos - 1, end
-                for _ in range(pos - 1 - at):
-                    window.add(0.0)
+                window.zeros(pos - 1 - at)
                 window.add(x)
                 at = pos
             if rows:
@@ -476,8 +548,11 @@ def adwin_counts(counted: DataFrame, stream: DataFrame, capacity: int, delta: fl
 
     Every document after a word's first one counts, with 0 where the word is missing.
     """
-    docs = ordinal(stream.select("seq"), "seq", "pos")
+    counted = settled(counted)
+    docs = settled(ordinal(stream.select("seq"), "seq", "pos"))
     end = F.broadcast(docs.agg(F.max("pos").alias("last")))
     held = counted.join(top_words(counted, capacity).select("word"), "word", "left_semi")
     rows = held.join(docs, "seq").crossJoin(end).select("word", "pos", "x", "last")
-    return rows.repartition("word").sortWithinPartitions("word", "pos").mapInArrow(_adwin(delta), "word string, mean double, width long")
+    # by number, else the partitions, which are small but take long, are put together
+    tasks = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "word").sortWithinPartitions("word", "pos").mapInArrow(_adwin(delta), "word string, mean double, width long")
