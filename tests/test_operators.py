@@ -513,3 +513,17 @@ def test_zeros_at_once():
     window.add = lambda x, add=window.add: calls.append(x) or add(x)
     window.zeros(1_000_000)
     assert window.n == 1_000_001 and len(calls) < 1000
+
+
+def test_arima_fits_equal_series_once_and_all_lengths_together(monkeypatch):
+    import pandas as pd
+
+    r = np.random.default_rng(3)
+    series = [r.poisson(1.0, n).astype(float) for n in list(range(0, 100)) * 2]
+    series += [s.copy() for s in series]
+    fit, calls = forecasts.arima_fit, []
+    monkeypatch.setattr(forecasts, "arima_fit", lambda d, last: calls.append(len(d)) or fit(d, last))
+    got = forecasts.arima_of.func(pd.Series(series))
+    want = [fit(np.diff(s)[None, :], s[-1:])[0] if len(s) > 1 else 0.0 for s in series]
+    assert np.array_equal(got.to_numpy(), np.array(want))
+    assert len(calls) == 1 and sum(calls) <= len(series) / 2
