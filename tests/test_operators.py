@@ -527,3 +527,14 @@ def test_arima_fits_equal_series_once_and_all_lengths_together(monkeypatch):
     want = [fit(np.diff(s)[None, :], s[-1:])[0] if len(s) > 1 else 0.0 for s in series]
     assert np.array_equal(got.to_numpy(), np.array(want))
     assert len(calls) == 1 and sum(calls) <= len(series) / 2
+
+
+def test_windows_of_an_ensemble_share_their_words(spark, noisy, monkeypatch):
+    """Windows of several lengths give what each gives alone, over one table of tokens and one sort of the words."""
+    s = stream(spark, noisy)
+    alone = {f"w{k}": {r["seq"]: r["p0"] for r in learners.windowed(s, n).collect()} for k, n in enumerate((100, 4000))}
+    made, real = [], tk.tokens
+    monkeypatch.setattr(tk, "tokens", lambda *a: made.append(1) or real(*a))
+    both = ensembles.sliding_votes(s, {"w0": 100, "w1": 4000}).collect()
+    assert len(made) == 1 and len(both) == 2 * len(noisy)
+    assert all(r["p0"] == pytest.approx(alone[r["learner"]][r["seq"]], abs=1e-12) for r in both)

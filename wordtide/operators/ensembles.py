@@ -19,7 +19,8 @@ _EPSILON = 1e-9
 def sliding_votes(stream: DataFrame, spans: Mapping[str, int] | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Votes of plain learners over several sliding windows; without any, of the one that never forgets."""
     spans = {f"w{k}": s for k, s in enumerate(SPANS, 1)} if spans is None else spans
-    out = [ln.windowed(stream, s, counted).withColumn("learner", F.lit(name)) for name, s in spans.items()] or [ln.vanilla(stream, counted).withColumn("learner", F.lit("all"))]
+    each = ln.windowed_all(stream, list(spans.values()), counted) if spans else []
+    out = [v.withColumn("learner", F.lit(name)) for name, v in zip(spans, each)] or [ln.vanilla(stream, counted).withColumn("learner", F.lit("all"))]
     whole = out[0]
     for more in out[1:]:
         whole = whole.unionByName(more)
