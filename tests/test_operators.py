@@ -538,3 +538,13 @@ def test_windows_of_an_ensemble_share_their_words(spark, noisy, monkeypatch):
     both = ensembles.sliding_votes(s, {"w0": 100, "w1": 4000}).collect()
     assert len(made) == 1 and len(both) == 2 * len(noisy)
     assert all(r["p0"] == pytest.approx(alone[r["learner"]][r["seq"]], abs=1e-12) for r in both)
+
+
+def test_negations_are_looked_for_at_the_end_of_words(spark):
+    """Only texts with a negation go through the words one by one; the cleaned text is that of the step on every text."""
+    assert not any(__import__("re").search(tx._NEGATED, t) for t in ("notes on another knotty notary", "minor norm", "neithers"))
+    texts = ["i do not like it", "it isn't good", "neither", "nor bad", "cannot go", "notes x  not", "not", "another knot is  noted", "", "don't the bad"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    words = tx.split_words(F.col("t"))
+    got = df.select(tx._where(F.lower(F.rtrim("t")), tx._NEGATED, tx.negations).alias("a"), tx.rejoin(tx.negations(words)).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got)

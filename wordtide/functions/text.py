@@ -126,7 +126,7 @@ def rejoin(words: Column) -> Column:
 
 #: Texts that may hold a token which a step changes; the others pass it as they are.
 _MARKED = r"(?:^| )(?:[:;=()@#*]|http|haha|lol|&lt;|<3)"
-_NEGATED = r"n't|not|nor|neither"
+_NEGATED = r"(?:n't|not)(?: |$)|(?:^| )(?:nor|neither)(?: |$)"
 
 
 def _where(text: Column, guard: str, step: Callable[[Column], Column]) -> Column:
